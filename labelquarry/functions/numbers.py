@@ -34,6 +34,15 @@ def two_digit_scientific(value: Column) -> Column:
     return F.when(v == 0, F.lit(0.0)).otherwise(mantissa * F.pow(F.lit(10.0), exponent))
 
 
+def bind(value: Column, body) -> Column:
+    """``body`` applied to a value that is computed once per row.
+
+    Written out inside a higher-order function, an array expression would be computed again
+    for every element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def score_to_probability(score: Column) -> Column:
     return (score + 1.0) / 2.0
 

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from labelquarry.functions.numbers import bind
+
 # Points after resampling and number of frequency bands.
 RESAMPLE_POINTS = 128
 FREQUENCY_BANDS = 6
@@ -39,33 +41,31 @@ def _bends(points: Column, spur_rule: bool) -> Column:
     return F.filter(points, keep)
 
 
+def _cleaned(points: Column, spur_rule: bool) -> Column:
+    return bind(points, lambda raw: bind(drop_repeats(raw), lambda clean: _bends(clean, spur_rule)))
+
+
 def merge_colinear(df: DataFrame, points: str = "points") -> DataFrame:
     """Repeats go, and inner points at which the slope does not change. Going back along a
     vertical line counts as a change of slope (from +∞ to −∞)."""
-    cleaned = df.withColumn(points, drop_repeats(F.col(points)))
-    return cleaned.withColumn(points, _bends(F.col(points), spur_rule=False))
+    return df.withColumn(points, _cleaned(F.col(points), spur_rule=False))
 
 
 def remove_spurs(df: DataFrame, points: str = "points") -> DataFrame:
     """Repeats go, and inner points at which the outline turns back on itself horizontally or
     vertically."""
-    cleaned = df.withColumn(points, drop_repeats(F.col(points)))
-    return cleaned.withColumn(points, _bends(F.col(points), spur_rule=True))
+    return df.withColumn(points, _cleaned(F.col(points), spur_rule=True))
 
 
 def duplicate_vertices(df: DataFrame, keep: list[str], points: str = "points") -> DataFrame:
     """The vertices whose position occurs more than once in their outline."""
-    marked = F.filter(
-        F.transform(
-            points,
-            lambda p, i: F.struct(
-                i.alias("pos"), p["x"].alias("x"), p["y"].alias("y"),
-                F.size(F.filter(points, lambda q: q == p)).alias("times"),
-            ),
-        ),
-        lambda v: v["times"] > 1,
+    placed = df.select(*keep, F.posexplode(points)).select(
+        *keep, "pos", F.col("col.x").alias("x"), F.col("col.y").alias("y")
     )
-    return df.select(*keep, F.inline(marked))
+    shared = placed.groupBy(*keep, "x", "y").agg(
+        F.collect_list("pos").alias("_at"), F.count(F.lit(1)).cast("int").alias("times")
+    ).where("times > 1")
+    return shared.select(*keep, F.explode("_at").alias("pos"), "x", "y", "times")
 
 
 def _coordinates(points) -> tuple[np.ndarray, np.ndarray]:
@@ -134,22 +134,21 @@ def fourier_descriptors(df: DataFrame, keep: list[str], points: str = "points",
 
 def polygon_morphometry(df: DataFrame, keep: list[str], points: str = "points") -> DataFrame:
     """Area, perimeter, circularity 4πA/P², bounding box and extent of closed outlines."""
-    ring = F.transform(
-        points,
-        lambda p, i: F.struct(
-            p["x"].alias("x"), p["y"].alias("y"),
-            F.get(points, (i + 1) % F.size(points))["x"].alias("nx"),
-            F.get(points, (i + 1) % F.size(points))["y"].alias("ny"),
-        ),
-    )
-    add = lambda f: F.aggregate("_ring", F.lit(0.0), lambda acc, e: acc + f(e))
-    measured = df.withColumn("_ring", ring).select(
-        *keep,
-        (F.abs(add(lambda e: e["x"] * e["ny"] - e["nx"] * e["y"])) / 2).alias("area"),
-        add(lambda e: F.sqrt(F.pow(e["nx"] - e["x"], 2) + F.pow(e["ny"] - e["y"], 2))).alias("perimeter"),
-        (F.array_max(F.transform(points, lambda p: p["x"])) - F.array_min(F.transform(points, lambda p: p["x"]))).alias("width"),
-        (F.array_max(F.transform(points, lambda p: p["y"])) - F.array_min(F.transform(points, lambda p: p["y"]))).alias("height"),
-    )
+
+    def measures(p: Column) -> Column:
+        def around(term):
+            # Each vertex with its successor; the last one closes the ring.
+            terms = F.transform(p, lambda v, i: term(v, F.get(p, (i + 1) % F.size(p))))
+            return F.aggregate(terms, F.lit(0.0), lambda total, v: total + v)
+
+        span = lambda c: F.array_max(F.transform(p, lambda v: v[c])) - F.array_min(F.transform(p, lambda v: v[c]))
+        return F.struct(
+            (F.abs(around(lambda v, w: v["x"] * w["y"] - w["x"] * v["y"])) / 2).alias("area"),
+            around(lambda v, w: F.hypot(w["x"] - v["x"], w["y"] - v["y"])).alias("perimeter"),
+            span("x").alias("width"), span("y").alias("height"),
+        )
+
+    measured = df.select(*keep, F.inline(F.transform(F.array(points), measures)))
     return measured.withColumns({
         "circularity": F.try_divide(4 * math.pi * F.col("area"), F.pow("perimeter", F.lit(2))),
         "extent": F.try_divide(F.col("area"), F.col("width") * F.col("height")),

@@ -50,6 +50,25 @@ def running_totals(
     )
 
 
+def previous_values(
+    df: DataFrame, keys: Sequence[str], order: str, value: str, bucket: Column | None = None
+) -> DataFrame:
+    """Column ``previous``: the value of the row before, per ``keys`` in the order of a numeric
+    column; null on the first row. ``df`` has one row per (keys, order)."""
+    keys = list(keys)
+    binned = df.withColumn("_bucket", magnitude_bucket(F.col(order)) if bucket is None else bucket)
+    ends = binned.groupBy(*keys, "_bucket").agg(F.max_by(value, order).alias("_end")).withColumn(
+        "_before", F.lag("_end").over(Window.partitionBy(*keys).orderBy("_bucket"))
+    ).drop("_end")
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(order)
+    local = binned.withColumns(
+        {"_local": F.lag(value).over(inside), "_first": F.row_number().over(inside) == 1}
+    )
+    return local.join(ends, [*keys, "_bucket"]).select(
+        *df.columns, F.when(F.col("_first"), F.col("_before")).otherwise(F.col("_local")).alias("previous")
+    )
+
+
 def values_at_ranks(
     counts: DataFrame,
     keys: Sequence[str],

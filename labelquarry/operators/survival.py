@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from labelquarry.operators.ranks import median, running_totals
+from labelquarry.operators.ranks import median, previous_values, running_totals
 
 
 def survival_clean(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -93,18 +93,14 @@ def km_confidence(curve: DataFrame, z: float = 1.96, kind: str = "ordinary") ->
 
 def km_step_points(curve: DataFrame, value: str = "survival") -> DataFrame:
     """Corner points of the step function: at each time the previous value, then the own one."""
-    from pyspark.sql import Window
-
-    previous = F.lag(value).over(Window.partitionBy("group").orderBy("time"))
-    first = F.row_number().over(Window.partitionBy("group").orderBy("time")) == 1
     points = F.array(
-        F.struct(F.lit(0).alias("part"), F.when(~first, previous).alias("y")),
+        F.struct(F.lit(0).alias("part"), F.col("previous").alias("y")),
         F.struct(F.lit(1).alias("part"), F.col(value).alias("y")),
     )
     return (
-        curve.select("group", "time", F.inline(points))
+        previous_values(curve, ["group"], "time", value)
+        .select("group", F.col("time").alias("x"), F.inline(points))
         .where(F.col("y").isNotNull() & ~F.isnan("y"))
-        .select("group", F.col("time").alias("x"), "part", "y")
     )
 
 

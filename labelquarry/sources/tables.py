@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from labelquarry import schemas
+from labelquarry.functions.numbers import bind
 from labelquarry.functions.text import clean_header
 
 
@@ -88,11 +89,13 @@ def json_columns_to_rows(df: DataFrame, payload: str, keys: list[str], by: list[
 
     The columns of one payload meet in its own row, so no shuffle is needed.
     """
-    columns = F.from_json(F.col(payload), schemas.COLUMN_PAYLOAD)
-    values = {k: F.get(F.filter("_cols", lambda c, k=k: c["key"] == k), 0)["value"] for k in keys}
+    def values(columns: Column, key: str) -> Column:
+        return F.get(F.filter(columns, lambda c: c["key"] == key), F.lit(0))["value"].alias(key)
+
+    parsed = F.from_json(F.col(payload), schemas.COLUMN_PAYLOAD)
+    rows = bind(parsed, lambda columns: F.arrays_zip(*[values(columns, k) for k in keys]))
     return (
-        df.withColumn("_cols", columns)
-        .select(*by, F.posexplode(F.arrays_zip(*[v.alias(k) for k, v in values.items()])))
+        df.select(*by, F.posexplode(rows))
         .select(*by, F.col("pos"), *[F.col(f"col.{k}").alias(k) for k in keys])
     )
 

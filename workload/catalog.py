@@ -92,23 +92,23 @@ def samples_enriched(spark, d):
 
 
 @query("thumbnail_window", with_ctes("""
-SELECT object_id, round((x - 25 * scale) / x_size, 6) AS "left", round((y - 25 * scale) / y_size, 6) AS top,
-       round(50.0 * scale / x_size, 6) AS width, round(50.0 * scale / y_size, 6) AS height
+SELECT object_id, round((x - 25 * scale) / x_size, 9) AS "left", round((y - 25 * scale) / y_size, 9) AS top,
+       round(50.0 * scale / x_size, 9) AS width, round(50.0 * scale / y_size, 9) AS height
 FROM labeled JOIN slides ON slides.name = slide""", OBJ, LABELED, SLIDES))
 def thumbnail_window(spark, d):
     rich = c.enrich_samples(t.labeled(spark, d), t.slides(spark, d))
-    return c.thumbnail_window(rich).select("object_id", *[F.round(v, 6).alias(v) for v in ("left", "top", "width", "height")])
+    return c.thumbnail_window(rich).select("object_id", *[F.round(v, 9).alias(v) for v in ("left", "top", "width", "height")])
 
 
 @query("thumbnail_window_region", with_ctes("""
-SELECT object_id, round((x - off * scale) / x_size, 6) AS "left", round((y - off * scale) / y_size, 6) AS top,
-       round(ext * scale / x_size, 6) AS width, round(ext * scale / y_size, 6) AS height
+SELECT object_id, round((x - off * scale) / x_size, 9) AS "left", round((y - off * scale) / y_size, 9) AS top,
+       round(ext * scale / x_size, 9) AS width, round(ext * scale / y_size, 9) AS height
 FROM (SELECT *, CASE iteration WHEN 8 THEN 18 ELSE 64 END AS off, CASE iteration WHEN 8 THEN 32.0 ELSE 128.0 END AS ext FROM labeled)
 JOIN slides ON slides.name = slide""", OBJ, LABELED, SLIDES))
 def thumbnail_window_region(spark, d):
     rich = c.enrich_samples(t.labeled(spark, d).withColumn("superpixel_size", F.col("iteration")), t.slides(spark, d))
     return c.thumbnail_window(rich, region=True).select(
-        "object_id", *[F.round(v, 6).alias(v) for v in ("left", "top", "width", "height")]
+        "object_id", *[F.round(v, 9).alias(v) for v in ("left", "top", "width", "height")]
     )
 
 

@@ -180,13 +180,13 @@ def rgb_to_lab(spark, d):
 
 
 @query("lab_round_trip", with_ctes("""
-SELECT object_id, px, py, round(4.4687 * l - 3.5887 * m + 0.1196 * s, 6) + 0.0 AS r, round(-1.2197 * l + 2.3831 * m - 0.1626 * s, 6) + 0.0 AS g,
-       round(0.0585 * l - 0.2611 * m + 1.2057 * s, 6) + 0.0 AS b
+SELECT object_id, px, py, round(4.4687 * l - 3.5887 * m + 0.1196 * s, 9) + 0.0 AS r, round(-1.2197 * l + 2.3831 * m - 0.1626 * s, 9) + 0.0 AS g,
+       round(0.0585 * l - 0.2611 * m + 1.2057 * s, 9) + 0.0 AS b
 FROM (SELECT object_id, px, py, pow(10, lab_l / sqrt(3) + lab_a / sqrt(6) + lab_b / sqrt(2)) AS l, pow(10, lab_l / sqrt(3) + lab_a / sqrt(6) - lab_b / sqrt(2)) AS m,
              pow(10, lab_l / sqrt(3) - 2 * lab_a / sqrt(6)) AS s FROM lab)""", VEC, PIXELS, LAB))
 def lab_round_trip(spark, d):
     back = px.lab_to_rgb(px.rgb_to_lab(t.pixels(spark, d)))
-    return back.select("object_id", "px", "py", *[(F.round(c, 6) + 0.0).alias(c) for c in "rgb"])
+    return back.select("object_id", "px", "py", *[(F.round(c, 9) + 0.0).alias(c) for c in "rgb"])
 
 
 @query("foreground_pixels", with_ctes("SELECT object_id, px, py FROM lab WHERE front", VEC, PIXELS, LAB))
