@@ -19,8 +19,8 @@ def position_key(x: Column, y: Column) -> Column:
 
 
 def position_decimal(value: Column) -> Column:
-    """A coordinate as the decimal(10,1) that positions are joined on."""
-    return F.round(value.cast("double"), 1).cast("decimal(10,1)")
+    """A coordinate as the decimal(10,1) that positions are joined on (the cast rounds half up)."""
+    return value.cast("decimal(10,1)")
 
 
 def polygon_points(text: Column, separator: str = " ") -> Column:

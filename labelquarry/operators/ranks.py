@@ -15,6 +15,12 @@ from pyspark.sql import functions as F
 from labelquarry.functions.numbers import magnitude_bucket
 
 
+def _bucket(order: str, bucket: Column | None) -> Column:
+    """Never null, so that joining on it adds no filter to one of two equal subplans and the
+    exchange below them is reused."""
+    return F.coalesce((magnitude_bucket(F.col(order)) if bucket is None else bucket).cast("long"), F.lit(0))
+
+
 def running_totals(
     df: DataFrame,
     keys: Sequence[str],
@@ -28,7 +34,7 @@ def running_totals(
     and no null keys.
     """
     keys = list(keys)
-    binned = df.withColumn("_bucket", magnitude_bucket(F.col(order)) if bucket is None else bucket)
+    binned = df.withColumn("_bucket", _bucket(order, bucket))
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         binned.groupBy(*keys, "_bucket")
@@ -56,7 +62,7 @@ def previous_values(
     """Column ``previous``: the value of the row before, per ``keys`` in the order of a numeric
     column; null on the first row. ``df`` has one row per (keys, order)."""
     keys = list(keys)
-    binned = df.withColumn("_bucket", magnitude_bucket(F.col(order)) if bucket is None else bucket)
+    binned = df.withColumn("_bucket", _bucket(order, bucket))
     ends = binned.groupBy(*keys, "_bucket").agg(F.max_by(value, order).alias("_end")).withColumn(
         "_before", F.lag("_end").over(Window.partitionBy(*keys).orderBy("_bucket"))
     ).drop("_end")
@@ -83,9 +89,7 @@ def values_at_ranks(
     tie_rank``, where ``tie_rank`` counts from the first row that shares the value.
     """
     keys = list(keys)
-    binned = counts.select(
-        *keys, value, "n", (magnitude_bucket(F.col(value)) if bucket is None else bucket).alias("_bucket")
-    )
+    binned = counts.select(*keys, value, "n", _bucket(value, bucket).alias("_bucket"))
     ordered = Window.partitionBy(*keys).orderBy("_bucket")
     per_bucket = (
         binned.groupBy(*keys, "_bucket")

@@ -22,7 +22,7 @@ def with_ctes(body: str, *ctes: str) -> str:
 # folded into [-1, 1). Label: the return flag (A positive, R negative, N not labelled).
 
 def cents() -> Column:
-    return F.round(F.col("l_extendedprice") * 100).cast("long")
+    return F.floor(F.col("l_extendedprice") * 100 + 0.5)
 
 
 def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ obj AS (
          CAST(cents % 200000 AS DOUBLE) / 100000 - 1 AS score,
          CASE l_returnflag WHEN 'A' THEN 1 WHEN 'R' THEN -1 END AS label,
          l_linenumber AS iteration, round(l_discount * 20 - 1, 3) AS coarse_score
-  FROM (SELECT *, CAST(round(l_extendedprice * 100) AS BIGINT) AS cents FROM lineitem)
+  FROM (SELECT *, CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT) AS cents FROM lineitem)
 )"""
 
 
@@ -71,8 +71,8 @@ sizes AS (SELECT slide AS name, CAST(ceil(max(x) + 1) AS INTEGER) AS x_size,
 def boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One square outline per position; its id is the smallest object id there."""
     places = objects(spark, sf_dir).groupBy(
-        "slide", F.round("x", 1).cast("decimal(10,1)").alias("centroid_x"),
-        F.round("y", 1).cast("decimal(10,1)").alias("centroid_y"),
+        "slide", F.col("x").cast("decimal(10,1)").alias("centroid_x"),
+        F.col("y").cast("decimal(10,1)").alias("centroid_y"),
     ).agg(F.min("object_id").alias("id"))
     left, right = (F.col("centroid_x") - 2).cast("int").cast("string"), (F.col("centroid_x") + 2).cast("int").cast("string")
     top, bottom = (F.col("centroid_y") - 2).cast("int").cast("string"), (F.col("centroid_y") + 2).cast("int").cast("string")
