@@ -7,7 +7,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelquarry.functions.numbers import zscore
+from labelquarry.functions.numbers import unzscore, zscore
+from labelquarry.operators.ranks import single_row
 
 # Fixed value: slides scanned at this magnification are stored at half scale.
 DOUBLE_SCALE_MAGNIFICATION = 40.0
@@ -59,26 +60,19 @@ def feature_stats(df: DataFrame, features: str = "features") -> DataFrame:
 
 
 def zscore_features(df: DataFrame, params: DataFrame, features: str = "features") -> DataFrame:
-    """Normalise by a one-row parameter table, read as scalar subqueries."""
-    mean, std = params.select("mean").scalar(), params.select("std").scalar()
-    return df.withColumns({"_mean": mean, "_std": std}).withColumn(
-        features, zscore(F.col(features), F.col("_mean"), F.col("_std"))
-    ).drop("_mean", "_std")
+    """Normalise by a one-row parameter table."""
+    return df.withColumn("_p", single_row(params)).withColumn(
+        features, zscore(F.col(features), F.col("_p.mean"), F.col("_p.std"))
+    ).drop("_p")
 
 
 def renormalize(df: DataFrame, own: DataFrame, target: DataFrame, features: str = "features") -> DataFrame:
     """Vectors normalised with ``own`` parameters, expressed in those of ``target``."""
-    named = {
-        "_m0": own.select("mean").scalar(), "_s0": own.select("std").scalar(),
-        "_m1": target.select("mean").scalar(), "_s1": target.select("std").scalar(),
-    }
-    raw = F.zip_with(
-        F.zip_with(features, F.col("_s0"), lambda f, s: f.cast("double") * s), F.col("_m0"), lambda f, m: f + m
-    )
+    raw = unzscore(F.col(features), F.col("_own.mean"), F.col("_own.std"))
     return (
-        df.withColumns(named)
-        .withColumn(features, zscore(raw, F.col("_m1"), F.col("_s1")))
-        .drop(*named)
+        df.withColumns({"_own": single_row(own), "_target": single_row(target)})
+        .withColumn(features, zscore(raw, F.col("_target.mean"), F.col("_target.std")))
+        .drop("_own", "_target")
     )
 
 

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelquarry.operators.ranks import median
+from labelquarry.operators.ranks import median, single_row
 
 # Colour matrices, discriminants and stains.
 RGB_TO_LMS = (
@@ -81,10 +81,10 @@ def color_stats(pixels: DataFrame) -> DataFrame:
 def transfer_colors(lab_pixels: DataFrame, own: DataFrame, target: DataFrame) -> DataFrame:
     """Lab pixels shifted and scaled from their slide's statistics (``own``, one row per slide)
     to those of ``target`` (one row)."""
-    joined = lab_pixels.join(own, "slide")
+    joined = lab_pixels.join(own, "slide").withColumn("_target", single_row(target))
     changes = {}
     for c in ("lab_l", "lab_a", "lab_b"):
-        mean_t, std_t = target.select(f"mean_{c}").scalar(), target.select(f"std_{c}").scalar()
+        mean_t, std_t = F.col(f"_target.mean_{c}"), F.col(f"_target.std_{c}")
         changes[c] = (F.col(c) - F.col(f"mean_{c}")) * (std_t / F.col(f"std_{c}")) + mean_t
     return joined.withColumns(changes).select(*lab_pixels.columns)
 

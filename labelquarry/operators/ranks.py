@@ -21,6 +21,22 @@ def _bucket(order: str, bucket: Column | None) -> Column:
     return F.coalesce((magnitude_bucket(F.col(order)) if bucket is None else bucket).cast("long"), F.lit(0))
 
 
+def _per_bucket(binned: DataFrame, keys: list[str], *aggregates: Column) -> DataFrame:
+    """Aggregates per bucket that read every column.
+
+    Without the (always true) condition on all columns the optimizer would prune this branch
+    differently from the one that keeps the rows, and everything below would run twice
+    instead of sharing an exchange.
+    """
+    others = [c for c in binned.columns if c not in (*keys, "_bucket")]
+    return (
+        binned.groupBy(*keys, "_bucket")
+        .agg(*aggregates, *[F.max(c).alias(f"_any_{c}") for c in others])
+        .where(" OR ".join(f"`_any_{c}` IS NOT NULL" for c in others))
+        .drop(*[f"_any_{c}" for c in others])
+    )
+
+
 def running_totals(
     df: DataFrame,
     keys: Sequence[str],
@@ -37,8 +53,7 @@ def running_totals(
     binned = df.withColumn("_bucket", _bucket(order, bucket))
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        binned.groupBy(*keys, "_bucket")
-        .agg(*[F.sum(c).alias(f"_sum_{out}") for out, c in totals.items()])
+        _per_bucket(binned, keys, *[F.sum(c).alias(f"_sum_{out}") for out, c in totals.items()])
         .select(
             *keys,
             "_bucket",
@@ -63,7 +78,7 @@ def previous_values(
     column; null on the first row. ``df`` has one row per (keys, order)."""
     keys = list(keys)
     binned = df.withColumn("_bucket", _bucket(order, bucket))
-    ends = binned.groupBy(*keys, "_bucket").agg(F.max_by(value, order).alias("_end")).withColumn(
+    ends = _per_bucket(binned, keys, F.max_by(value, order).alias("_end")).withColumn(
         "_before", F.lag("_end").over(Window.partitionBy(*keys).orderBy("_bucket"))
     ).drop("_end")
     inside = Window.partitionBy(*keys, "_bucket").orderBy(order)
@@ -129,6 +144,11 @@ def values_at_ranks(
     )
 
 
+def single_row(df: DataFrame) -> Column:
+    """The columns of a one-row table as a struct, read by one scalar subquery."""
+    return df.select(F.struct(*df.columns)).scalar()
+
+
 def ranks(**by_label: Column) -> Column:
     """An array of ``struct<label, rank>`` for :func:`values_at_ranks`."""
     return F.array(

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from labelquarry.operators.ranks import median, previous_values, running_totals
+from labelquarry.operators.ranks import median, previous_values, running_totals, single_row
 
 
 def survival_clean(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -49,9 +49,8 @@ def kaplan_meier(df: DataFrame) -> DataFrame:
     undefined after such a step are null.
     """
     counts = _per_time(with_defaults(df), ["group"])
-    upto = running_totals(counts, ["group"], "time", {"_upto": "_n"})
-    totals = counts.groupBy("group").agg(F.sum("_n").alias("_all"))
-    at_risk = upto.join(totals, "group").withColumn("n_at_risk", F.col("_all") - F.col("_upto") + F.col("_n"))
+    # Counted from the latest time back, the running total is the number at risk.
+    at_risk = running_totals(counts.withColumn("_back", -F.col("time")), ["group"], "_back", {"n_at_risk": "_n"})
     d, n = F.col("n_events").cast("double"), F.col("n_at_risk").cast("double")
     last = F.col("n_events") == F.col("n_at_risk")
     terms = at_risk.select(
@@ -115,12 +114,12 @@ def logrank_statistic(df: DataFrame, group: str = "in_first") -> DataFrame:
         F.count(F.lit(1)).alias("_n"), F.sum(first).alias("_n1"),
         F.sum(event).alias("_d"), F.sum(event * first).alias("_d1"),
     )
-    upto = running_totals(counts, [], "time", {"_un": "_n", "_un1": "_n1"})
-    whole = counts.agg(F.sum("_n").alias("n"), F.sum("_n1").alias("n1"))
-    n = (whole.select("n").scalar() - F.col("_un") + F.col("_n")).cast("double")
-    n1 = (whole.select("n1").scalar() - F.col("_un1") + F.col("_n1")).cast("double")
-    d, d1 = F.col("_d").cast("double"), F.col("_d1").cast("double")
-    at_risk = upto.select(n.alias("n"), n1.alias("n1"), d.alias("d"), d1.alias("d1")).where("d > 0")
+    backward = running_totals(
+        counts.withColumn("_back", -F.col("time")), [], "_back", {"n": "_n", "n1": "_n1"}
+    )
+    at_risk = backward.select(
+        *[F.col(c).cast("double").alias(out) for out, c in (("n", "n"), ("n1", "n1"), ("d", "_d"), ("d1", "_d1"))]
+    ).where("d > 0")
     share = F.col("n1") / F.col("n")
     spread = F.when(
         F.col("n") > 1, F.col("d") * share * (1 - share) * (F.col("n") - F.col("d")) / (F.col("n") - 1)
@@ -146,10 +145,10 @@ def median_split(df: DataFrame, covariate: str) -> DataFrame:
     clean = survival_clean(df, [covariate])
     middle = median(clean, [], covariate).select("median").scalar()
     # A third distinct value shows in the smallest and largest ones: nothing lies between two.
-    ends = clean.agg(F.min(covariate).alias("lo"), F.max(covariate).alias("hi"))
-    between = clean.where(
-        (F.col(covariate) > ends.select("lo").scalar()) & (F.col(covariate) < ends.select("hi").scalar())
-    ).agg((F.count(F.lit(1)) > 0).alias("many")).scalar()
+    ends = single_row(clean.agg(F.min(covariate).alias("lo"), F.max(covariate).alias("hi")))
+    between = clean.withColumn("_ends", ends).agg(
+        F.bool_or((F.col(covariate) > F.col("_ends.lo")) & (F.col(covariate) < F.col("_ends.hi"))).alias("many")
+    ).scalar()
     above = F.when(F.col(covariate) >= F.col("_median"), f"above median of {covariate}").otherwise(
         f"below median of {covariate}"
     )
@@ -183,21 +182,16 @@ def standardize_covariates(df: DataFrame, covariates: list[str]) -> DataFrame:
     binary = covariate_cardinality(df, covariates).where("is_binary").agg(
         F.collect_list("variable").alias("v")
     ).scalar()
-    moments = df.agg(
+    moments = single_row(df.agg(
         *[F.avg(c).alias(f"m_{c}") for c in covariates], *[F.stddev_samp(c).alias(f"s_{c}") for c in covariates]
-    )
-    stats = df.withColumns({
-        "_binary": binary,
-        **{f"_m_{c}": moments.select(f"m_{c}").scalar() for c in covariates},
-        **{f"_s_{c}": moments.select(f"s_{c}").scalar() for c in covariates},
-    })
+    ))
     scaled: dict[str, Column] = {
         c: F.when(F.array_contains("_binary", c), F.col(c).cast("double")).otherwise(
-            (F.col(c) - F.col(f"_m_{c}")) / F.col(f"_s_{c}")
+            (F.col(c) - F.col(f"_moments.m_{c}")) / F.col(f"_moments.s_{c}")
         )
         for c in covariates
     }
-    return stats.withColumns(scaled).select(*df.columns)
+    return df.withColumns({"_binary": binary, "_moments": moments}).withColumns(scaled).select(*df.columns)
 
 
 def risk_index(df: DataFrame, hazard_ratios: dict[str, float]) -> DataFrame:

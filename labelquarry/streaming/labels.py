@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -21,12 +21,28 @@ ACCEPTED_SCHEMA = "uid string, submission_id long, iteration int, recorded int,
 
 
 def label_sessions(requests: DataFrame, gap: str = SESSION_GAP, watermark: str | None = None) -> DataFrame:
-    """Sessions of each uid, split where nothing arrives for the gap. Works on tables and, with
-    a watermark, on streams (a finished session is what is saved and evicted)."""
+    """Sessions of each uid, split where nothing arrives for longer than the gap.
+
+    On a stream (with a watermark) a session comes out when it is finished, which is when it is
+    saved and evicted. On a table, sessions are formed per uid and day first and then joined
+    across midnight, so a uid with very many requests is spread over its days.
+    """
     timed = requests.withWatermark("ts", watermark) if watermark else requests
-    return timed.groupBy("uid", F.session_window("ts", gap).alias("session")).agg(
+    days = [] if requests.isStreaming else [F.to_date("ts").alias("_day")]
+    parts = timed.groupBy("uid", *days, F.session_window("ts", gap).alias("session")).agg(
         F.count(F.lit(1)).alias("requests")
     ).select("uid", F.col("session.start").alias("start"), F.col("session.end").alias("end"), "requests")
+    if requests.isStreaming:
+        return parts
+    # A handful of parts per uid and day are left.
+    in_order = Window.partitionBy("uid").orderBy("start", "end")
+    fresh = F.coalesce(F.col("start") > F.lag("end").over(in_order), F.lit(True)).cast("int")
+    return (
+        parts.withColumn("_fresh", fresh).withColumn("_session", F.sum("_fresh").over(in_order))
+        .groupBy("uid", "_session")
+        .agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("requests").alias("requests"))
+        .drop("_session")
+    )
 
 
 class SubmissionGate(StatefulProcessor):

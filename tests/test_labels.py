@@ -65,6 +65,15 @@ def test_sessions_split_at_the_gap(requests):
     assert [(r["uid"], r["requests"]) for r in rows] == [("a", 4), ("a", 1), ("b", 2)]
 
 
+def test_sessions_join_across_midnight(spark):
+    rows = [("a", 23, 50), ("a", 24, 10), ("a", 24, 40), ("a", 25, 11), ("b", 23, 59), ("b", 24, 30)]
+    day = dt.datetime(2024, 1, 1)
+    df = spark.createDataFrame([(u, day + dt.timedelta(hours=h, minutes=m)) for u, h, m in rows], "uid string, ts timestamp")
+    got = [(r["uid"], r["start"].hour, r["start"].minute, r["requests"]) for r in stream.label_sessions(df).orderBy("uid", "start").collect()]
+    # Exactly the gap apart still belongs together; 31 minutes do not.
+    assert got == [("a", 23, 50, 3), ("a", 1, 11, 1), ("b", 23, 59, 1), ("b", 0, 30, 1)]
+
+
 def test_streamed_sessions_match_the_table(spark, requests, tmp_path):
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
     # A late last row moves the watermark past every session.

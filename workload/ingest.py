@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from labelquarry.functions.numbers import unzscore
 from labelquarry.functions.text import compact_polygon, polygon_points, polygon_text
 from labelquarry.operators import features as f
+from labelquarry.operators.ranks import single_row
 from labelquarry.sinks.tables import boundary_lines, segmentation_lines
 from labelquarry.sources.segmentation import parse_segmentation
 from labelquarry.sources.tables import decode_label_batch, json_columns_to_rows, with_schema
@@ -134,8 +135,8 @@ SELECT object_id, CAST(dim AS INTEGER) AS dim, round(f * s + m, 6) + 0.0 AS raw
 def unzscore_features(spark, d):
     vectors = t.vectors(spark, d)
     stats = f.feature_stats(vectors)
-    raw = vectors.withColumns({"_m": stats.select("mean").scalar(), "_s": stats.select("std").scalar()})
-    long = raw.select("object_id", F.posexplode(unzscore(F.col("features"), F.col("_m"), F.col("_s"))))
+    raw = vectors.withColumn("_p", single_row(stats))
+    long = raw.select("object_id", F.posexplode(unzscore(F.col("features"), F.col("_p.mean"), F.col("_p.std"))))
     return long.select("object_id", F.col("pos").alias("dim"), (F.round("col", 6) + 0.0).alias("raw"))
 
 

@@ -120,7 +120,7 @@ def session_status(spark, d):
 @query("label_sessions", with_ctes("""
 SELECT uid, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, strftime(max(ts) + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S') AS "end", count(*) AS requests
 FROM (SELECT *, sum(fresh) OVER (PARTITION BY uid ORDER BY ts, submission_id) AS session FROM (
-        SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY uid ORDER BY ts, submission_id) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM subs))
+        SELECT *, CASE WHEN ts <= lag(ts) OVER (PARTITION BY uid ORDER BY ts, submission_id) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM subs))
 GROUP BY uid, session""", SUBMISSIONS))
 def label_sessions(spark, d):
     sessions = stream.label_sessions(t.submissions(spark, d))
@@ -193,3 +193,21 @@ def active_learning_step(spark, d):
         LinearScorer(t.WEIGHTS), UncertaintyStrategy(),
     )
     return result.batch.select("object_id", "slide", F.round("score", 6).alias("score"))
+
+
+@query("current_batch", with_ctes("""
+SELECT object_id, slide, score, label_count FROM (
+  SELECT object_id, slide, score FROM obj WHERE label IS NULL ORDER BY abs(score), object_id LIMIT 8),
+  (SELECT count(*) AS label_count FROM labeled)""", OBJ, LABELED))
+def current_batch(spark, d):
+    """The batch of an iteration asked for twice; the second request reads the stored one."""
+    import uuid
+
+    from labelquarry.operators.sampling import uncertain, unlabeled_pool
+    from labelquarry.plans.active import current_batch as batch
+
+    session = uuid.uuid4().hex
+    choose = lambda: uncertain(unlabeled_pool(t.objects(spark, d), t.labeled(spark, d)))
+    batch(spark, session, 0, choose)
+    again = batch(spark, session, 0, choose).select("object_id", "slide", "score")
+    return again.withColumn("label_count", t.labeled(spark, d).agg(F.count(F.lit(1))).scalar())
