@@ -133,10 +133,15 @@ def fit_cox_univariate(df: DataFrame, covariates: list[str], flip_event: bool =
             open_models = [c for c in covariates if c not in done]
             if not open_models:
                 break
-            coefficient = F.create_map(*[F.lit(v) for c in open_models for v in (c, float(beta[c]))])
-            linear = F.col("x0") * F.element_at(coefficient, F.col("variable"))
-            part = data.where(F.col("variable").isin(open_models))
-            for row in _derivatives(part, ["variable"], 1, linear).collect():  # one row per model
+            coefficient = F.lit(None).cast("double")
+            for c in open_models:
+                coefficient = F.when(F.col("variable") == c, float(beta[c])).otherwise(coefficient)
+            # The linear term is a column of its own: written into the aggregates, the chain of
+            # conditions makes code that does not compile, and Spark falls back to slow paths.
+            part = data.select(
+                "variable", "time", "event", "x0", (F.col("x0") * coefficient).alias("linear")
+            ).where(F.col("variable").isin(open_models))
+            for row in _derivatives(part, ["variable"], 1, F.col("linear")).collect():  # one row per model
                 c, value = row["variable"], row["ll"]
                 if not math.isfinite(value) or value < best[c] - 1e-12 * abs(best[c]):
                     step[c] /= 2.0
