@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from labelquarry.llm import bpe_automaton
+from labelquarry.llm import bpe_automaton, superkmers
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -35,3 +35,9 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = bpe_automaton.encode_texts(docs, vocabulary(), ("n_tokens", "ids_sha256", "decoded_sha256"))
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+@query("op8_superkmer_substrings")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return superkmers.drop_repeats(docs, texts=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
