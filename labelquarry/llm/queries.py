@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from labelquarry.llm import bpe_automaton, superkmers
+from labelquarry.llm import bpe_automaton, suffix_search, superkmers
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -41,3 +41,10 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return superkmers.drop_repeats(docs, texts=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query("op5_suffix_decontamination")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = suffix_search.find_items(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
