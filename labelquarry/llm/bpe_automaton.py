@@ -207,7 +207,7 @@ class Encoder:
     and split on their own.
     """
 
-    def __init__(self, spec: tuple, cached: int = 400_000):
+    def __init__(self, spec: tuple, cached: int = 250_000):
         tokens, merges, added, blanks, words = spec
         if blanks != r"\s+" or any(" " in t or "\n" in t for t in added):
             raise ValueError("blanks and added tokens are expected to exclude each other")
