@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from labelquarry.llm import bpe_automaton, suffix_search, superkmers
+from labelquarry.llm import bottom_k, bpe_automaton, suffix_search, superkmers
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -48,3 +48,9 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = suffix_search.find_items(docs, table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+@query("op7_bottom_k_near_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bottom_k.near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept")
