@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from labelquarry.llm import bottom_k, bpe_automaton, suffix_search, superkmers
+from labelquarry.llm import bottom_k, bpe_automaton, kernel_quality, suffix_search, superkmers
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -54,3 +54,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bottom_k.near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query("op2_kernel_quality")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kernel_quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
