@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from labelquarry.llm import bottom_k, bpe_automaton, kernel_quality, suffix_search, superkmers
+from labelquarry.llm import bottom_k, bpe_automaton, conv_toxicity, kernel_quality, suffix_search, superkmers
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -59,3 +59,10 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_kernel_quality")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kernel_quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op10_conv_toxicity")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = conv_toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return conv_toxicity.score_toxicity(docs, model).select("doc_id", "held_out", "score", "predicted", "threshold", "rejected")
