@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from labelquarry.llm import bottom_k, bpe_automaton, conv_toxicity, kernel_quality, suffix_search, superkmers
+from labelquarry.llm import bottom_k, bpe_automaton, conv_toxicity, flow_reshard, kernel_quality, suffix_search, superkmers
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -66,3 +67,13 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = conv_toxicity.train(docs, table(spark, sf_dir, "labels"))
     return conv_toxicity.score_toxicity(docs, model).select("doc_id", "held_out", "score", "predicted", "threshold", "rejected")
+
+
+@query("op3_flow_reshard")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = flow_reshard.reshard(table(spark, sf_dir, "documents"))
+    crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    slim = rows.select("doc_id", F.col("_size").alias("size"), crc.alias("text_crc32"), F.col("_shard").alias("shard"))
+    numbered = flow_reshard.number_slots(slim, "shard", ("doc_id", "text_crc32"))
+    return numbered.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
