@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelquarry.llm import bottom_k, bpe_automaton, conv_toxicity, flow_reshard, kernel_quality, suffix_search, superkmers
+from labelquarry.llm import bottom_k, bpe_automaton, conv_toxicity, flow_reshard, kernel_quality, suffix_search, superkmers, warc_segments
+from labelquarry.session import scratch_path
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -77,3 +78,18 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     numbered = flow_reshard.number_slots(slim, "shard", ("doc_id", "text_crc32"))
     return numbered.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op4_warc_segments", """
+with p as (
+  select page_id, coalesce(html, '') as payload, sha1(coalesce(html, '')) as payload_digest, octet_length(encode(coalesce(html, ''))) as payload_bytes from pages
+), lead as (select payload, max(page_id) as lead_id from p where payload_bytes >= 1000 group by payload)
+select page_id, payload_bytes, payload_digest,
+  case when lead_id is null or lead_id = page_id then 'response' else 'revisit' end as record_type,
+  case when lead_id <> page_id then lead_id end as refers_to
+from p left join lead using (payload)
+""")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, "archives")
+    warc_segments.write_archives(table(spark, sf_dir, "pages"), folder)
+    return warc_segments.read_pages(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
