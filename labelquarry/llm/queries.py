@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelquarry.llm import bottom_k, bpe_automaton, conv_toxicity, flow_reshard, kernel_quality, suffix_search, superkmers, warc_segments
+from labelquarry.llm import bottom_k, bpe_automaton, conv_toxicity, flow_reshard, kernel_quality, license_digests, suffix_search, superkmers, warc_segments
 from labelquarry.session import scratch_path
 
 QUERIES: dict = {}
@@ -93,3 +93,10 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "archives")
     warc_segments.write_archives(table(spark, sf_dir, "pages"), folder)
     return warc_segments.read_pages(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op9_license_digests", license_digests.duckdb_sql())
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = license_digests.find_licenses(docs, license_digests.known_licenses(spark))
+    return found.select("doc_id", "canonical_sha256", "license_id", "is_license")
