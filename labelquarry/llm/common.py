@@ -82,3 +82,29 @@ def pa_type(kind: T.DataType) -> pa.DataType:
         "long": pa.int64(), "integer": pa.int32(), "double": pa.float64(), "float": pa.float32(), "string": pa.string(), "binary": pa.binary(),
         "boolean": pa.bool_(),
     }[kind.typeName()]
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, pa.Table]]:
+    """Runs of rows with equal first ``keys`` columns, from batches that come sorted by them."""
+    open_key, parts = None, []
+    for batch in batches:
+        rows = list(zip(*[batch.column(i).to_pylist() for i in range(keys)], strict=True))
+        at = 0
+        while at < len(rows):
+            end = at
+            while end < len(rows) and rows[end] == rows[at]:
+                end += 1
+            if rows[at] != open_key:
+                if parts:
+                    yield open_key, pa.Table.from_batches(parts)
+                open_key, parts = rows[at], []
+            parts.append(batch.slice(at, end - at))
+            at = end
+    if parts:
+        yield open_key, pa.Table.from_batches(parts)
+
+
+def matrix(column: pa.ChunkedArray | pa.Array):
+    """Lists of equal length as rows of a numpy matrix."""
+    one = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return one.flatten().to_numpy(zero_copy_only=False).reshape(len(one), -1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelquarry.llm import bottom_k, bpe_automaton, conv_toxicity, flow_reshard, kernel_quality, license_digests, suffix_search, superkmers, warc_segments
+from labelquarry.llm import bottom_k, bpe_automaton, conv_toxicity, flow_reshard, kernel_quality, license_digests, nn_descent, suffix_search, superkmers, warc_segments
 from labelquarry.session import scratch_path
 
 QUERIES: dict = {}
@@ -100,3 +100,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = license_digests.find_licenses(docs, license_digests.known_licenses(spark))
     return found.select("doc_id", "canonical_sha256", "license_id", "is_license")
+
+
+@query("op1_nn_descent")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.link_vectors(table(spark, sf_dir, "embeddings"))
