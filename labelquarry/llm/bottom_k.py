@@ -10,9 +10,11 @@ alone list nothing. This leaves frequent passages unlisted unless they make up m
 missing a link.
 
 Lists of up to ``SMALL`` classes give all their pairs. Longer ones are mostly large groups of near
-copies, whose links are wanted for the components only: first each list's pairs with one hub are
-verified, lists that then lie in one component are done, other hubs follow, and what is left
-gives its pairs between different components. So each candidate pair is either verified or already connected.
+copies, whose links are wanted for the components only. For their classes the shingles that no other such class has are
+counted; they bound how similar a class can be to any other, so that strongly changed copies drop out. Each list's
+pairs with one hub, the class with the fewest own shingles, are verified; lists that then lie in one component are
+done, and the others give their pairs between different components as far as the bound allows a link. So each candidate pair
+is verified, already connected or known to be too far apart.
 
 A pair is filtered by set sizes, then by the union-sketch estimate, then verified exactly on both
 full sets, which come from the texts again.
@@ -37,7 +39,10 @@ PERCENT = 75  # least similarity
 K = 64  # hashes in a sketch
 LEAST = 24  # of them shared, at the threshold
 SMALL = 16  # classes in a list that gives all its pairs
-HUBS = 2  # further hubs of long lists before the rest gives pairs
+HUBS = 1  # further hubs of long lists before the rest gives pairs
+
+
+_PAIR = ("a", "b", "n_a", "n_b", "m_a", "m_b")
 
 
 class Shingler:
@@ -104,8 +109,27 @@ def _lists(classes: DataFrame, percent: int, k: int, least: int) -> DataFrame:
     return mine.select("_class", "n", F.explode(F.slice("values", F.lit(1), listed)).alias("v")).select("v.value", "_class", "n")
 
 
-def _alike_in_size(percent: int):
-    return F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+def _may_link(percent: int):
+    """Whether sets of ``n`` shingles, of which others have ``m``, can reach the threshold: they share at most the smaller ``m``."""
+    shared = F.least("m_a", "m_b")
+    return shared * 100 >= (F.col("n_a") + F.col("n_b") - shared) * percent
+
+
+def _shared_shingles(members: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """(class, n, m) of the classes in ``members``: shingles, and how many of them another of these classes has."""
+    chosen = store(members.select("_class", "n").distinct(), "members")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(words)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                found = shingler.set_of(batch.column(1)[i].as_py())
+                owner = pa.array([batch.column(0)[i].as_py()], pa.binary()).take(pa.array(np.zeros(len(found), np.int32)))
+                yield pa.RecordBatch.from_arrays([owner, pa.array(found.view(np.int64))], names=["_class", "s"])
+
+    rows = texts.join(chosen, "_class", "left_semi").select("_class", F.col("_text").cast("binary")).mapInArrow(run, "_class binary, s long")
+    own = rows.groupBy("s").agg(F.count("*").alias("k"), F.min("_class").alias("_class")).filter("k = 1").groupBy("_class").agg(F.count("*").alias("own"))
+    return chosen.join(own, "_class", "left").select("_class", (F.col("n") - F.coalesce("own", F.lit(0))).alias("m"))
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: int, words: int, k: int, least: int) -> DataFrame:
@@ -167,15 +191,17 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     texts = store(source.select("text", *key).join(wanted, ["_k1", "_k2"]).groupBy("_class").agg(F.first("text").alias("_text")), "texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        chosen = pairs.filter(_alike_in_size(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        chosen = pairs.filter(_may_link(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         return store(_verified(chosen, known, texts, percent, words, k, least), "links")
 
     few = lists.filter(F.col("size") <= small)
+    left = few.select("value", F.col("_class").alias("a"), F.col("n").alias("n_a"), F.col("n").alias("m_a"))
+    right = few.select("value", F.col("_class").alias("b"), F.col("n").alias("n_b"), F.col("n").alias("m_b"))
+    pairs = left.join(right, "value").filter("a < b").select(*_PAIR)
     many = lists.filter(F.col("size") > small)
-    left = few.select("value", F.col("_class").alias("a"), F.col("n").alias("n_a"))
-    right = few.select("value", F.col("_class").alias("b"), F.col("n").alias("n_b"))
-    pairs = left.join(right, "value").filter("a < b").select("a", "b", "n_a", "n_b")
-    hub = many.groupBy("value").agg(F.min(F.struct("_class", "n")).alias("h"))
+    many = many.join(_shared_shingles(many, texts, words), "_class").filter(F.col("m") * 100 >= F.col("n") * percent).select("value", "_class", "n", "m")
+    many = store(many, "long-lists")
+    hub = many.groupBy("value").agg(F.min(F.struct((1 - F.col("m") / F.col("n")).alias("x"), "_class", "n", "m")).alias("h"))
     links = verified(pairs.unionByName(_with_hub(many, hub)))
     found = components(links)
     for turn in range(hubs + 1):
@@ -183,12 +209,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         if open_.isEmpty():
             break
         if turn < hubs:
-            hub = open_.groupBy("value").agg(F.min(F.struct(F.xxhash64("_class", "value", F.lit(turn)).alias("x"), "_class", "n", "label")).alias("h"))
+            hub = open_.groupBy("value").agg(F.min(F.struct(F.xxhash64("_class", "value", F.lit(turn)).alias("x"), "_class", "n", "m", "label")).alias("h"))
             pairs = _with_hub(open_, hub)
         else:
-            left = open_.select("value", F.col("_class").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("l_a"))
-            right = open_.select("value", F.col("_class").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("l_b"))
-            pairs = left.join(right, "value").filter("l_a < l_b").select("a", "b", "n_a", "n_b")
+            left, right = (open_.select("value", *[F.col(c).alias(f"{d}_{x}") for c, d in (("n", "n"), ("m", "m"), ("label", "l"))], F.col("_class").alias(x)) for x in "ab")
+            pairs = left.join(right, "value").filter("l_a < l_b").select(*_PAIR)
         more = verified(pairs)
         if more.isEmpty():
             continue
@@ -209,12 +234,12 @@ def _with_hub(lists: DataFrame, hub: DataFrame) -> DataFrame:
     joined = lists.join(hub, "value").filter("_class != h._class")
     if "label" in lists.columns:
         joined = joined.filter("label != h.label")
-    return joined.select(F.col("_class").alias("a"), F.col("h._class").alias("b"), F.col("n").alias("n_a"), F.col("h.n").alias("n_b"))
+    return joined.select(F.col("_class").alias("a"), F.col("h._class").alias("b"), F.col("n").alias("n_a"), F.col("h.n").alias("n_b"), F.col("m").alias("m_a"), F.col("h.m").alias("m_b"))
 
 
 def _open_lists(lists: DataFrame, found: DataFrame) -> DataFrame:
     """Members, with their component, of the lists that more than one component shares."""
-    labelled = store(lists.join(found.withColumnRenamed("node", "_class"), "_class", "left").select("value", "_class", "n", F.coalesce("component", "_class").alias("label")), "labels")
+    labelled = store(lists.join(found.withColumnRenamed("node", "_class"), "_class", "left").select("value", "_class", "n", "m", F.coalesce("component", "_class").alias("label")), "labels")
     split = store(labelled.groupBy("value").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("value"), "open")
     return store(labelled.join(split, "value", "left_semi"), "open-lists")
 
