@@ -13,8 +13,8 @@ Lists of up to ``SMALL`` classes give all their pairs. Longer ones are mostly la
 copies, whose links are wanted for the components only. For their classes the shingles that no other such class has are
 counted; they bound how similar a class can be to any other, so that strongly changed copies drop out. Each list's
 pairs with one hub, the class with the fewest own shingles, are verified; lists that then lie in one component are
-done, and the others give their pairs between different components as far as the bound allows a link. So each candidate pair
-is verified, already connected or known to be too far apart.
+done, and the members of the others are compared in blocks as far as the bound allows a link, without making rows of
+pairs. So each candidate pair is verified, already connected or known to be too far apart.
 
 A pair is filtered by set sizes, then by the union-sketch estimate, then verified exactly on both
 full sets, which come from the texts again.
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from labelquarry.llm.common import map_text, store
+from labelquarry.llm.common import groups, map_text, store
 from labelquarry.llm.graph import components
 
 WORDS = 5  # of a shingle
@@ -39,7 +39,7 @@ PERCENT = 75  # least similarity
 K = 64  # hashes in a sketch
 LEAST = 24  # of them shared, at the threshold
 SMALL = 16  # classes in a list that gives all its pairs
-HUBS = 1  # further hubs of long lists before the rest gives pairs
+BLOCK = 256  # classes of a family of open lists that are compared with as many others at once
 
 
 _PAIR = ("a", "b", "n_a", "n_b", "m_a", "m_b")
@@ -166,7 +166,7 @@ def _unsigned(x):
     return x.bitwiseXOR(F.lit(-(2**63)))
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = PERCENT, words: int = WORDS, k: int = K, least: int = LEAST, small: int = SMALL, hubs: int = HUBS) -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = PERCENT, words: int = WORDS, k: int = K, least: int = LEAST, small: int = SMALL) -> DataFrame:
     """One row per row of ``docs``: the id (as ``doc_id``), ``n_shingles``, ``component_id``, ``kept`` and the class ``_class``.
 
     A text's set holds its distinct shingles of ``words`` words (lower-cased A-Z, split at ASCII
@@ -204,20 +204,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     hub = many.groupBy("value").agg(F.min(F.struct((1 - F.col("m") / F.col("n")).alias("x"), "_class", "n", "m")).alias("h"))
     links = verified(pairs.unionByName(_with_hub(many, hub)))
     found = components(links)
-    for turn in range(hubs + 1):
-        open_ = _open_lists(many, found)
-        if open_.isEmpty():
-            break
-        if turn < hubs:
-            hub = open_.groupBy("value").agg(F.min(F.struct(F.xxhash64("_class", "value", F.lit(turn)).alias("x"), "_class", "n", "m", "label")).alias("h"))
-            pairs = _with_hub(open_, hub)
-        else:
-            left, right = (open_.select("value", *[F.col(c).alias(f"{d}_{x}") for c, d in (("n", "n"), ("m", "m"), ("label", "l"))], F.col("_class").alias(x)) for x in "ab")
-            pairs = left.join(right, "value").filter("l_a < l_b").select(*_PAIR)
-        more = verified(pairs)
-        if more.isEmpty():
-            continue
-        links = links.unionByName(more)
+    open_ = _open_lists(many, found)
+    if not open_.isEmpty():
+        links = links.unionByName(store(_in_blocks(open_, texts, percent, words), "more-links"))
         found = components(links)
 
     labelled = classes.select("_class", "low").join(found.withColumnRenamed("node", "_class"), "_class", "left").select("_class", "low", F.coalesce("component", "_class").alias("label"))
@@ -230,10 +219,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
 
 def _with_hub(lists: DataFrame, hub: DataFrame) -> DataFrame:
-    """Each member of a list with the list's hub; with labels, only where they differ."""
+    """Each member of a list with the list's hub."""
     joined = lists.join(hub, "value").filter("_class != h._class")
-    if "label" in lists.columns:
-        joined = joined.filter("label != h.label")
     return joined.select(F.col("_class").alias("a"), F.col("h._class").alias("b"), F.col("n").alias("n_a"), F.col("h.n").alias("n_b"), F.col("m").alias("m_a"), F.col("h.m").alias("m_b"))
 
 
@@ -244,6 +231,65 @@ def _open_lists(lists: DataFrame, found: DataFrame) -> DataFrame:
     return store(labelled.join(split, "value", "left_semi"), "open-lists")
 
 
+def _in_blocks(lists: DataFrame, texts: DataFrame, percent: int, words: int) -> DataFrame:
+    """Links between different components in families of lists that share members: members are compared block against block, exactly
+    and on full sets, and of the links in a pair of blocks only those that connect something are given."""
+    lowest = lists.groupBy("value").agg(F.min("_class").alias("b"))
+    family = components(lists.join(lowest, "value").select(F.col("_class").alias("a"), "b")).withColumnRenamed("node", "_class").withColumnRenamed("component", "family")
+    members = store(lists.select("_class", "n", "m", "label").distinct().join(family, "_class"), "families")
+    sizes = members.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = members.join(sizes, "family").withColumn("own", F.pmod(F.xxhash64("_class"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = dealt.select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "_class", "n", "m", "label")
+    rows = rows.join(texts, "_class").select("family", "i", "j", "own", "_class", "n", "m", "label", F.col("_text").cast("binary").alias("t"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(words)
+        for (_, i, j), table in groups(batches, 3):
+            own, n, m = (table.column(c).to_numpy() for c in (3, 5, 6))
+            labels = np.unique(np.array(table.column(7).to_pylist(), object), return_inverse=True)[1]
+            least = np.minimum(m[:, None], m[None])
+            allowed = (labels[:, None] != labels[None]) & (least * 100 >= (n[:, None] + n[None] - least) * percent)
+            if i != j:
+                allowed &= own[:, None] != own[None]
+            busy = np.flatnonzero(allowed.any(axis=1))
+            if not len(busy):
+                continue
+            sets = [shingler.set_of(table.column(8)[int(x)].as_py()) for x in busy]
+            shared = _intersections(sets)
+            size = n[busy]
+            linked = allowed[np.ix_(busy, busy)] & (shared * 100 >= (size[:, None] + size[None] - shared) * percent)
+            parent = labels[busy].copy()
+            a_list, b_list = [], []
+            for x, y in zip(*np.nonzero(np.triu(linked)), strict=True):
+                if parent[x] != parent[y]:
+                    parent[parent == parent[y]] = parent[x]
+                    a_list.append(int(busy[x]))
+                    b_list.append(int(busy[y]))
+            names = table.column(4).combine_chunks()
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(k, pa.int64())) for k in (a_list, b_list)], names=["a", "b"])
+
+    return rows.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(run, "a binary, b binary")
+
+
+def _intersections(sets: list[np.ndarray], columns: int = 8192) -> np.ndarray:
+    """Sizes of all intersections, some thousand shared values at a time."""
+    values, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    often = count > 1
+    number = np.cumsum(often) - 1
+    keep = often[place]
+    owner, place = owner[keep], number[place[keep]]
+    order = np.argsort(place, kind="stable")
+    owner, place = owner[order], place[order]
+    total = np.zeros((len(sets), len(sets)), np.int64)
+    for at in range(0, int(often.sum()), columns):
+        begin, end = np.searchsorted(place, [at, at + columns])
+        held = np.zeros((len(sets), columns), np.float32)
+        held[owner[begin:end], place[begin:end] - at] = 1
+        total += (held @ held.T).astype(np.int64)
+    return total
+
+
 def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs``, all columns, of which :func:`near_duplicates` says ``kept``."""
     gone = near_duplicates(docs, text, doc_id, **options).filter("not kept").select(F.col("doc_id").alias("_id"), F.col("_class").alias("_c")).distinct()
