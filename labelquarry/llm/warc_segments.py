@@ -95,6 +95,7 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: s
         F.col(f"`{page_id}`").cast("long").alias("page"), F.col(f"`{url}`").cast("string").alias("url"),
         F.coalesce(F.col(f"`{html}`").cast("binary"), F.lit(b"")).alias("payload"), F.monotonically_increasing_id().alias("uid"),
     ).withColumn("digest", F.sha1("payload")).withColumn("size", F.octet_length("payload"))
+    base = store(base, "numbered-pages")  # numbers would not be the same in another scan
     slim = base.filter(F.col("size") >= dedup_from).groupBy("digest", "size").agg(F.max(F.struct("page", "uid")).alias("lead"), F.count("*").alias("n"))
     leads = store(slim.filter("n > 1").select("digest", "size", F.col("lead.page").alias("lead_page"), F.col("lead.uid").alias("lead_uid")), "leads")
     planned = base.join(leads, ["digest", "size"], "left").select("page", "uid", "url", "payload", "lead_page", "lead_uid")
