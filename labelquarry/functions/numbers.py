@@ -10,10 +10,16 @@ def magnitude_bucket(value: Column, per_octave: int = 64) -> Column:
     """A monotone bucket number that needs no look at the data.
 
     Buckets are linear near zero and logarithmic beyond, so the bucket count stays in the
-    thousands whatever the range is.
+    thousands whatever the range is. NaN, which sorts last, has the last bucket.
     """
     v = value.cast("double")
-    return (F.signum(v) * F.floor(F.log2(F.abs(v) + 1.0) * per_octave)).cast("long")
+    size = F.least(F.abs(v), F.lit(1e308))
+    return F.when(F.isnan(v), F.lit(1 << 40)).otherwise((F.signum(v) * F.floor(F.log2(size + 1.0) * per_octave)).cast("long"))
+
+
+def first_bytes(text: Column, count: int = 3) -> Column:
+    """The first bytes of a text as a number: a monotone bucket in the order of texts."""
+    return F.conv(F.rpad(F.hex(F.substring(text.cast("binary"), 1, count)), 2 * count, "0"), 16, 10).cast("long")
 
 
 def hash_number(text: Column) -> Column:
@@ -63,8 +69,9 @@ def gray_level(value: Column, norm: Column) -> Column:
 
 
 def zscore(features: Column, mean: Column, std: Column) -> Column:
+    """Centred and scaled; null where the deviation is zero."""
     centred = F.zip_with(features, mean, lambda f, m: f.cast("double") - m)
-    return F.zip_with(centred, std, lambda f, s: f / s)
+    return F.zip_with(centred, std, lambda f, s: F.try_divide(f, s.cast("double")))
 
 
 def unzscore(features: Column, mean: Column, std: Column) -> Column:

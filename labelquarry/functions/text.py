@@ -24,13 +24,14 @@ def position_decimal(value: Column) -> Column:
 
 
 def polygon_points(text: Column, separator: str = " ") -> Column:
-    """``x,y x,y …`` (or ``x,y;x,y;…``) to an array of points; empty parts are skipped."""
+    """``x,y x,y …`` (or ``x,y;x,y;…``) to an array of points; empty parts are skipped, and a
+    coordinate that is no number is null."""
     parts = F.filter(F.split(F.trim(text), separator), lambda p: p != "")
     return F.transform(
         parts,
         lambda p: F.struct(
-            F.split_part(p, F.lit(","), F.lit(1)).cast("double").alias("x"),
-            F.split_part(p, F.lit(","), F.lit(2)).cast("double").alias("y"),
+            F.split_part(p, F.lit(","), F.lit(1)).try_cast("double").alias("x"),
+            F.split_part(p, F.lit(","), F.lit(2)).try_cast("double").alias("y"),
         ),
     ).cast(POINTS)
 

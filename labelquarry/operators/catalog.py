@@ -122,7 +122,7 @@ def upsert_training_objs(existing: DataFrame, incoming: DataFrame) -> DataFrame:
 
 def thumbnail_window(samples: DataFrame, region: bool = False) -> DataFrame:
     """Crop window of each sample relative to its slide (needs max_x, max_y, scale and, for
-    regions, superpixel_size)."""
+    regions, superpixel_size). Null on a slide without extent."""
     if region:
         size = F.col("superpixel_size")
         offset = F.when(size == 8, REGION_CROPS[8][0]).when(size == 16, REGION_CROPS[16][0]).otherwise(REGION_CROPS[None][0])
@@ -130,10 +130,10 @@ def thumbnail_window(samples: DataFrame, region: bool = False) -> DataFrame:
     else:
         offset, extent = F.lit(NUCLEUS_CROP[0]), F.lit(NUCLEUS_CROP[1])
     return samples.withColumns({
-        "left": (F.col("x") - offset * F.col("scale")) / F.col("max_x"),
-        "top": (F.col("y") - offset * F.col("scale")) / F.col("max_y"),
-        "width": extent * F.col("scale") / F.col("max_x"),
-        "height": extent * F.col("scale") / F.col("max_y"),
+        "left": F.try_divide(F.col("x") - offset * F.col("scale"), F.col("max_x")),
+        "top": F.try_divide(F.col("y") - offset * F.col("scale"), F.col("max_y")),
+        "width": F.try_divide(extent * F.col("scale"), F.col("max_x")),
+        "height": F.try_divide(extent * F.col("scale"), F.col("max_y")),
     })
 
 

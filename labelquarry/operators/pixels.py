@@ -80,12 +80,12 @@ def color_stats(pixels: DataFrame) -> DataFrame:
 
 def transfer_colors(lab_pixels: DataFrame, own: DataFrame, target: DataFrame) -> DataFrame:
     """Lab pixels shifted and scaled from their slide's statistics (``own``, one row per slide)
-    to those of ``target`` (one row)."""
+    to those of ``target`` (one row); null where the slide's deviation is zero."""
     joined = lab_pixels.join(own, "slide").withColumn("_target", single_row(target))
     changes = {}
     for c in ("lab_l", "lab_a", "lab_b"):
         mean_t, std_t = F.col(f"_target.mean_{c}"), F.col(f"_target.std_{c}")
-        changes[c] = (F.col(c) - F.col(f"mean_{c}")) * (std_t / F.col(f"std_{c}")) + mean_t
+        changes[c] = (F.col(c) - F.col(f"mean_{c}")) * F.try_divide(std_t, F.col(f"std_{c}")) + mean_t
     return joined.withColumns(changes).select(*lab_pixels.columns)
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelquarry.functions.numbers import score_to_probability, sign_class
+from labelquarry.functions.numbers import first_bytes, score_to_probability, sign_class
+from labelquarry.operators.ranks import running_totals
 
 
 def slide_positive_counts(scored: DataFrame, tie_positive: bool = False) -> DataFrame:
@@ -81,14 +82,17 @@ def review_totals(labeled: DataFrame) -> DataFrame:
 
 
 def samples_by_slide(labeled: DataFrame, key: str = "object_id", per_list: int = 1000) -> DataFrame:
-    """Lists of (id, label) per slide for display, in pages of about ``per_list`` samples.
+    """Lists of (id, label) per slide for display, in numbered pages of ``per_list`` samples in the order of the
+    id, a number or a text (rows of one id share a page).
 
     A slide of any size becomes several bounded lists rather than one.
     """
-    page_of = F.pmod(F.xxhash64(key), F.col("_pages"))
-    pages = labeled.groupBy("slide").agg(F.ceil(F.count(F.lit(1)) / per_list).alias("_pages"))
+    bucket = first_bytes(F.col(key)) if labeled.schema[key].dataType.typeName() == "string" else None
+    counts = labeled.groupBy("slide", key).agg(F.count(F.lit(1)).alias("_n"))
+    placed = running_totals(counts, ["slide"], key, {"_upto": "_n"}, bucket)
+    page = F.floor((F.col("_upto") - F.col("_n")) / per_list).cast("int")
     return (
-        labeled.join(pages, "slide").withColumn("page", page_of)
+        labeled.join(placed.select("slide", key, page.alias("page")), ["slide", key])
         .groupBy("slide", "page")
         .agg(F.sort_array(F.collect_list(F.struct(F.col(key).alias("id"), "label"))).alias("samples"))
     )

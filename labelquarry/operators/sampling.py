@@ -178,5 +178,9 @@ class SubsampleStrategy:
 
 
 class BinStrategy:
+    """Random picks dealt over the score bins in turn, ``k`` in all (or the whole pool, if it is smaller)."""
+
     def select(self, pool: DataFrame, k: int = BATCH_SIZE, seed: int = 0) -> DataFrame:
-        return bin_samples(pool, max(1, k // len(SCORE_EDGES)), seed)
+        by_hash = Window.partitionBy("bin").orderBy(seeded_key(seed, F.col("object_id")), "object_id")
+        dealt = with_score_bin(pool).withColumn("_pick", F.row_number().over(by_hash)).where(F.col("_pick") <= k)
+        return dealt.orderBy("_pick", "bin").limit(k).drop("_pick", "bin")

@@ -42,7 +42,7 @@ def _vector(features: str) -> Column:
 
 
 class LinearScorer:
-    """A fixed linear rule, clamped to [−1, 1]."""
+    """A fixed linear rule, clamped to [−1, 1]. Fails on rows with another number of features; null features score null."""
 
     def __init__(self, weights: list[float], bias: float = 0.0, features: str = "features"):
         self.weights, self.bias, self.features = weights, bias, features
@@ -54,7 +54,10 @@ class LinearScorer:
         total = F.lit(float(self.bias))
         for i, w in enumerate(self.weights):
             total = total + F.get(self.features, i).cast("double") * float(w)
-        return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), total))
+        size = F.size(F.col(self.features))
+        wrong = F.raise_error(F.concat(F.lit(f"the rule has {len(self.weights)} weights; features: "), size.cast("string"))).cast("double")
+        clamped = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), total))
+        return F.when(F.col(self.features).isNull(), F.lit(None)).when(size == len(self.weights), clamped).otherwise(wrong)
 
     def score(self, objects: DataFrame) -> DataFrame:
         return objects.withColumn("score", self.column())

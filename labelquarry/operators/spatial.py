@@ -69,8 +69,8 @@ def nearest_object(clicks: DataFrame, objects: DataFrame, reach: float = NUCLEUS
                    click_id: str = "click_id", object_id: str = "object_id") -> DataFrame:
     """The object nearest to each click, within a box of ± ``reach``; clicks without one are left out.
 
-    Each distinct click position is answered once, and objects that share a position are
-    reduced to the smallest id first, so the candidates of a cell are bounded by the
+    Each distinct click position is answered once. Only objects in cells that a click reaches
+    take part, and those that share a position are reduced to the smallest id, so the candidates of a cell are bounded by the
     positions in it and not by the number of rows.
     """
     cell = 2.0 * reach
@@ -79,9 +79,12 @@ def nearest_object(clicks: DataFrame, objects: DataFrame, reach: float = NUCLEUS
     )
     spots = spots.withColumn("_cx", _cells(F.col("click_x") - reach, F.col("click_x") + reach, cell))
     spots = spots.withColumn("_cy", _cells(F.col("click_y") - reach, F.col("click_y") + reach, cell))
+    reached = spots.select("slide", "_cx", "_cy").distinct()
     places = (
-        objects.groupBy("slide", "x", "y").agg(F.min(object_id).alias("_id"))
+        objects.select("slide", "x", "y", object_id)
         .withColumn("_cx", F.floor(F.col("x") / cell)).withColumn("_cy", F.floor(F.col("y") / cell))
+        .join(reached, ["slide", "_cx", "_cy"], "left_semi")
+        .groupBy("slide", "_cx", "_cy", "x", "y").agg(F.min(object_id).alias("_id"))
     )
     dx, dy = F.col("x") - F.col("click_x"), F.col("y") - F.col("click_y")
     near = (

@@ -178,7 +178,7 @@ def melt(df: DataFrame, ids: list[str], columns: list[str]) -> DataFrame:
 
 
 def standardize_covariates(df: DataFrame, covariates: list[str]) -> DataFrame:
-    """Sample z-scores; binary covariates stay as they are."""
+    """Sample z-scores; binary covariates stay as they are, and constant ones become null."""
     binary = covariate_cardinality(df, covariates).where("is_binary").agg(
         F.collect_list("variable").alias("v")
     ).scalar()
@@ -187,7 +187,7 @@ def standardize_covariates(df: DataFrame, covariates: list[str]) -> DataFrame:
     ))
     scaled: dict[str, Column] = {
         c: F.when(F.array_contains("_binary", c), F.col(c).cast("double")).otherwise(
-            (F.col(c) - F.col(f"_moments.m_{c}")) / F.col(f"_moments.s_{c}")
+            F.try_divide(F.col(c) - F.col(f"_moments.m_{c}"), F.col(f"_moments.s_{c}"))
         )
         for c in covariates
     }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,7 @@ from labelquarry.session import shared_dir
 @dataclass
 class Round:
     labels: DataFrame
+    training: DataFrame
     model: Model
     batch: DataFrame
 
@@ -25,24 +27,28 @@ class Round:
 def active_learning_step(
     objects: DataFrame, labels: DataFrame, submission: DataFrame, scorer: Scorer, strategy: Strategy,
     k: int = BATCH_SIZE, seed: int = 0, slides: DataFrame | None = None, boundaries: DataFrame | None = None,
+    arrival: Sequence[str] = (),
 ) -> Round:
     """Add a submission, drop ignored rows, fit, score the pool and pick the next objects.
 
-    ``labels`` and ``submission`` carry object_id, label and iteration. The pool is scored with
-    a narrow projection; only the k picks meet the slide and boundary tables.
+    ``labels`` and ``submission`` carry object_id, label and iteration. What arrived last counts:
+    the submission after the labels, and inside each by the ``arrival`` columns. The iteration
+    does not decide, since corrections by hand carry it negated; without arrival columns its size
+    does. The pool is scored with a narrow projection; only the k picks meet the slide and boundary tables.
     """
-    order = ["iteration", "label"]
-    history = latest_labels(append_labels(labels, submission), ["object_id"], order)
+    both = append_labels(labels.withColumn("_late", F.lit(0)), submission.withColumn("_late", F.lit(1)))
+    order = ["_late", *arrival, "_age", "label"]
+    history = latest_labels(both.withColumn("_age", F.abs("iteration")), ["object_id"], order).drop("_late", "_age")
     # The labelled set is small; its features come from the object table.
-    training = training_rows(history).select("object_id", "label", "iteration").join(objects, "object_id")
-    model = scorer.fit(training)
+    chosen = training_rows(history).select("object_id", "label", "iteration")
+    model = scorer.fit(chosen.join(objects, "object_id"))
     pool = unlabeled_pool(objects, history)
     batch = strategy.select(model.score(pool), k, seed)
     if slides is not None:
         batch = enrich_samples(batch, slides)
     if boundaries is not None:
         batch = attach_boundaries(batch, boundaries)
-    return Round(history, model, batch)
+    return Round(history, chosen, model, batch)
 
 
 def current_batch(spark: SparkSession, session: str, iteration: int, select) -> DataFrame:

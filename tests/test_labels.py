@@ -150,6 +150,29 @@ def test_a_round_never_picks_labelled_objects(spark, objects, strategy):
     assert all(r["max_x"] == 100 for r in batch)
 
 
+def test_the_last_arrival_counts_whatever_its_iteration(spark, objects):
+    labels = spark.createDataFrame([(1, -1, 2, 0), (2, -1, 2, 0), (3, 0, 2, 0)], "object_id long, label int, iteration int, seq int")
+    sent = spark.createDataFrame(
+        [(1, 1, -3, 2), (2, 0, -3, 1), (3, -1, -3, 3), (4, 1, 3, 5), (4, -1, -3, 4)], "object_id long, label int, iteration int, seq int")
+    result = active.active_learning_step(objects, labels, sent, LinearScorer([1.0]), UncertaintyStrategy(), arrival=["seq"])
+    assert {r["object_id"]: r["label"] for r in result.labels.collect()} == {1: 1, 2: 0, 3: -1, 4: 1}
+    assert {r["object_id"] for r in result.training.collect()} == {1, 3, 4}
+    without = active.active_learning_step(objects, labels.drop("seq"), sent.drop("seq").where("object_id < 4"), LinearScorer([1.0]), UncertaintyStrategy())
+    assert {r["object_id"]: r["label"] for r in without.labels.collect()} == {1: 1, 2: 0, 3: -1}
+
+
+@pytest.mark.parametrize("k", [4, 8, 12, 500])
+def test_bins_give_as_many_as_asked(spark, objects, k):
+    scored = LinearScorer([1.0]).score(objects)
+    picked = [r["object_id"] for r in BinStrategy().select(scored, k).collect()]
+    assert len(picked) == len(set(picked)) == min(k, 101)
+
+
+def test_linear_rule_refuses_other_sizes(spark, objects):
+    with pytest.raises(Exception, match="weights"):
+        LinearScorer([1.0, 2.0]).score(objects).collect()
+
+
 def test_batch_is_sent_again(spark, objects):
     calls = []
 

@@ -58,3 +58,11 @@ def test_ties_report_their_place(spark):
     hits = ranks.values_at_ranks(counts, [], "v", lambda n: ranks.ranks(a=F.lit(0), b=F.lit(4), c=n - 1, gone=n))
     got = {r["label"]: (r["v"], r["tie_rank"]) for r in hits.collect()}
     assert got == {"a": (1.0, 0), "b": (2.0, 2), "c": (3.0, 0)}
+
+
+def test_nan_sorts_last_and_null_keys_are_refused(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([("a", x) for x in (1.0, 2.0, nan, float("inf"), 3.0)], "k string, v double")
+    assert ranks.median(df, ["k"], "v").first()["median"] == 3.0
+    with pytest.raises(Exception, match="null in k"):
+        ranks.median(spark.createDataFrame([(None, 1.0)], "k string, v double"), ["k"], "v").collect()

@@ -143,7 +143,22 @@ def test_zero_scores_by_report(spark):
 def test_review_lists_are_paged(spark):
     df = spark.range(250).select(F.col("id").alias("object_id"), F.lit("A").alias("slide"), F.lit(1).alias("label"))
     pages = report.samples_by_slide(df, per_list=50).collect()
-    assert len(pages) == 5 and sum(len(p["samples"]) for p in pages) == 250
+    assert [[s["id"] for s in p["samples"]] for p in sorted(pages, key=lambda p: p["page"])] == [list(range(i, i + 50)) for i in range(0, 250, 50)]
+    texts = report.samples_by_slide(df.withColumn("object_id", F.format_string("o%04d", "object_id")), per_list=100).collect()
+    assert sorted((p["page"], p["samples"][0]["id"], len(p["samples"])) for p in texts) == [(0, "o0000", 100), (1, "o0100", 100), (2, "o0200", 50)]
+
+
+def test_constant_columns_and_bad_vertices_do_not_stop_a_job(spark):
+    from labelquarry.functions.numbers import zscore
+    from labelquarry.functions.text import polygon_points
+    from labelquarry.operators.survival import standardize_covariates
+
+    row = spark.range(1).select(zscore(F.array(F.lit(1.0), F.lit(3.0)), F.array(F.lit(1.0), F.lit(1.0)), F.array(F.lit(0.0), F.lit(2.0))).alias("z")).first()
+    assert row["z"] == [None, 1.0]
+    df = spark.createDataFrame([(5.0, 1.0), (5.0, 2.0), (5.0, 3.0)], "a double, b double")
+    assert [r["a"] for r in standardize_covariates(df, ["a", "b"]).collect()] == [None] * 3
+    points = spark.range(1).select(polygon_points(F.lit("1,2 x,3 4")).alias("p")).first()["p"]
+    assert [(p["x"], p["y"]) for p in points][:2] == [(1.0, 2.0), (None, 3.0)]
 
 
 def test_catalog_changes(spark):

@@ -166,15 +166,16 @@ def compact_slide_index(spark, d):
 
 
 @query("json_columns_to_rows", with_ctes("""
-SELECT object_id, CAST(i AS INTEGER) AS pos, CAST(features[i + 1] AS DOUBLE) AS time, CAST(features[i + 22] AS DOUBLE) AS event, CAST(features[i + 43] AS DOUBLE) AS age
-FROM vec, range(0, 21) r(i)""", VEC))
+SELECT object_id, CAST(i AS INTEGER) AS pos, CAST(features[i + 1] AS DOUBLE) AS time, CAST(features[i + 17] AS DOUBLE) AS event, CAST(features[i + 33] AS DOUBLE) AS age,
+       CAST(features[i + 49] AS DOUBLE) AS dose
+FROM vec, range(0, 16) r(i)""", VEC))
 def json_columns_rows(spark, d):
-    part = lambda first: F.slice(F.col("features").cast("array<double>"), first, 21)
+    part = lambda first: F.slice(F.col("features").cast("array<double>"), first, 16)
     payload = F.to_json(F.array(*[
-        F.struct(F.lit(k).alias("key"), part(i).alias("value")) for k, i in (("time", 1), ("event", 22), ("age", 43))
+        F.struct(F.lit(k).alias("key"), part(i).alias("value")) for k, i in (("time", 1), ("event", 17), ("age", 33), ("dose", 49))
     ]))
     texts = t.vectors(spark, d).select("object_id", payload.alias("payload"))
-    return json_columns_to_rows(texts, "payload", ["time", "event", "age"], ["object_id"])
+    return json_columns_to_rows(texts, "payload", ["time", "event", "age", "dose"], ["object_id"])
 
 
 @query("decode_label_batch", with_ctes("""

@@ -183,16 +183,32 @@ SELECT object_id, slide, round(score, 6) AS score FROM (
   ORDER BY abs(score), object_id LIMIT 8)""", t.VEC, SUBMISSIONS, LATEST))
 def active_learning_step(spark, d):
     """Linear scorer; labels come from the submissions, in two halves."""
+    result = _round(spark, d)
+    return result.batch.select("object_id", "slide", F.round("score", 6).alias("score"))
+
+
+@query("active_training_labels", with_ctes("""
+SELECT CAST(object_id AS BIGINT) AS object_id, label, iteration, label <> 0 AS trains FROM (
+  SELECT * FROM subs QUALIFY row_number() OVER (PARTITION BY object_id ORDER BY label = 0 DESC, ts DESC, submission_id DESC) = 1)""", SUBMISSIONS))
+def active_training_labels(spark, d):
+    """The labels after the round, and which of them train. The submission is the ignored half, so it wins wherever it names an object."""
+    result = _round(spark, d)
+    trains = result.training.select(F.col("object_id").alias("_id"), F.lit(True).alias("_t"))
+    return result.labels.join(trains, F.col("object_id").eqNullSafe(F.col("_id")), "left").select(
+        "object_id", "label", "iteration", F.coalesce("_t", F.lit(False)).alias("trains")
+    )
+
+
+def _round(spark, d):
     from labelquarry.operators.sampling import UncertaintyStrategy
     from labelquarry.operators.scoring import LinearScorer
     from labelquarry.plans.active import active_learning_step as step
 
-    sent = t.submissions(spark, d).select(F.col("object_id").cast("long").alias("object_id"), "label", "iteration")
-    result = step(
+    sent = t.submissions(spark, d).select(F.col("object_id").cast("long").alias("object_id"), "label", "iteration", "ts", "submission_id")
+    return step(
         t.vectors(spark, d).select("object_id", "slide", "x", "y", "features"), sent.where("label <> 0"), sent.where("label = 0"),
-        LinearScorer(t.WEIGHTS), UncertaintyStrategy(),
+        LinearScorer(t.WEIGHTS), UncertaintyStrategy(), arrival=["ts", "submission_id"],
     )
-    return result.batch.select("object_id", "slide", F.round("score", 6).alias("score"))
 
 
 @query("current_batch", with_ctes("""

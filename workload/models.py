@@ -40,7 +40,7 @@ def random_forest_scores(spark, d):
 
 @query("network_scores")
 def network_scores(spark, d):
-    return _model_scores(spark, d, scoring.NetworkScorer(seed=1, iterations=100))
+    return _model_scores(spark, d, scoring.NetworkScorer(seed=1))
 
 
 @query("rbf_margin_scores")

@@ -112,13 +112,16 @@ def review_totals(spark, d):
 
 
 @query("samples_by_slide", with_ctes("""
-SELECT slide, count(*) AS samples, min(object_id) AS first_id, CAST(sum(label) AS BIGINT) AS label_sum
-FROM labeled GROUP BY slide""", OBJ, LABELED))
+SELECT slide, page, CAST(count(*) AS INTEGER) AS samples, list(object_id ORDER BY object_id, label)[1] AS first_id,
+       sha256(string_agg(object_id || ':' || label, ',' ORDER BY object_id, label)) AS content
+FROM (SELECT *, CAST(floor((rank() OVER (PARTITION BY slide ORDER BY object_id) - 1) / 20) AS INTEGER) AS page FROM labeled)
+GROUP BY slide, page""", OBJ, LABELED))
 def samples_by_slide(spark, d):
-    """The review lists, summed up again per slide so that SQL can check their content."""
-    lists = report.samples_by_slide(t.labeled(spark, d))
-    return lists.select("slide", F.inline("samples")).groupBy("slide").agg(
-        F.count(F.lit(1)).alias("samples"), F.min("id").alias("first_id"), F.sum("label").alias("label_sum")
+    """The review lists in pages of 20: size, first id and a digest of the content of each."""
+    lists = report.samples_by_slide(t.labeled(spark, d), per_list=20)
+    text = F.array_join(F.transform("samples", lambda s: F.concat(s["id"].cast("string"), F.lit(":"), s["label"].cast("string"))), ",")
+    return lists.select(
+        "slide", "page", F.size("samples").alias("samples"), F.get("samples", F.lit(0))["id"].alias("first_id"), F.sha2(text, 256).alias("content")
     )
 
 

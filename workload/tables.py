@@ -93,7 +93,7 @@ boundaries AS (
 
 # --- embeddings as objects with feature vectors -----------------------------------------------
 
-WEIGHTS = [4.0, 4.0, 4.0, 4.0]
+WEIGHTS = [(i % 7 - 3) / 4 for i in range(1, 65)]
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,8 +112,7 @@ vec AS (
   SELECT vec_id AS object_id, 'S' || label AS slide, CAST((vec_id * 37) % 1000 AS DOUBLE) AS x,
          CAST((vec_id * 91) % 1000 AS DOUBLE) AS y, embedding AS features,
          CASE WHEN label < 4 THEN 1 WHEN label < 8 THEN -1 ELSE 0 END AS label,
-         greatest(-1.0, least(1.0, 0.0 + CAST(embedding[1] AS DOUBLE) * 4.0 + CAST(embedding[2] AS DOUBLE) * 4.0
-           + CAST(embedding[3] AS DOUBLE) * 4.0 + CAST(embedding[4] AS DOUBLE) * 4.0)) AS score
+         greatest(-1.0, least(1.0, list_sum([CAST(embedding[i] AS DOUBLE) * ((i % 7 - 3) / 4) FOR i IN range(1, 65)]))) AS score
   FROM embeddings
 )"""
 
