@@ -8,7 +8,6 @@ together. A group holding most of the data is therefore spread over its buckets.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,14 +15,18 @@ from pyspark.sql import functions as F
 from labelquarry.functions.numbers import magnitude_bucket
 
 
-def _bucket(order: str, bucket: Column | None, keys: Sequence[str]) -> Column:
+def _bucket(order: str, bucket: Column | None) -> Column:
     """Never null, so that joining on it adds no filter to one of two equal subplans and the
-    exchange below them is reused. Fails on null keys, which those joins would lose."""
-    number = F.coalesce((magnitude_bucket(F.col(order)) if bucket is None else bucket).cast("long"), F.lit(0))
-    if not keys:
-        return number
-    null_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
-    return F.when(null_key, F.raise_error(F.lit(f"null in {', '.join(keys)}")).cast("long")).otherwise(number)
+    exchange below them is reused."""
+    return F.coalesce((magnitude_bucket(F.col(order)) if bucket is None else bucket).cast("long"), F.lit(0))
+
+
+def _no_null_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Fails on null keys, whose rows the joins below would lose."""
+    def guard(k: str) -> Column:
+        return F.when(F.col(k).isNull(), F.raise_error(F.lit(f"null in {k}")).cast(df.schema[k].dataType)).otherwise(F.col(k))
+
+    return df.withColumns({k: guard(k) for k in keys if df.schema[k].nullable}) if keys else df
 
 
 def _per_bucket(binned: DataFrame, keys: list[str], *aggregates: Column) -> DataFrame:
@@ -55,7 +58,7 @@ def running_totals(
     and no null keys.
     """
     keys = list(keys)
-    binned = df.withColumn("_bucket", _bucket(order, bucket, keys))
+    binned = _no_null_keys(df, keys).withColumn("_bucket", _bucket(order, bucket))
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         _per_bucket(binned, keys, *[F.sum(c).alias(f"_sum_{out}") for out, c in totals.items()])
@@ -82,7 +85,7 @@ def previous_values(
     """Column ``previous``: the value of the row before, per ``keys`` in the order of a numeric
     column; null on the first row. ``df`` has one row per (keys, order)."""
     keys = list(keys)
-    binned = df.withColumn("_bucket", _bucket(order, bucket, keys))
+    binned = _no_null_keys(df, keys).withColumn("_bucket", _bucket(order, bucket))
     ends = _per_bucket(binned, keys, F.max_by(value, order).alias("_end")).withColumn(
         "_before", F.lag("_end").over(Window.partitionBy(*keys).orderBy("_bucket"))
     ).drop("_end")
@@ -109,7 +112,7 @@ def values_at_ranks(
     tie_rank``, where ``tie_rank`` counts from the first row that shares the value.
     """
     keys = list(keys)
-    binned = counts.select(*keys, value, "n", _bucket(value, bucket, keys).alias("_bucket"))
+    binned = _no_null_keys(counts, keys).select(*keys, value, "n", _bucket(value, bucket).alias("_bucket"))
     ordered = Window.partitionBy(*keys).orderBy("_bucket")
     per_bucket = (
         binned.groupBy(*keys, "_bucket")
