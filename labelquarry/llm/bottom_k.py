@@ -188,7 +188,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     listed = lists.select("_class").distinct()
     known = store(classes.join(listed, "_class", "left_semi"), "listed")
     wanted = store(known.select("rep._k1", "rep._k2", "_class"), "wanted")
-    texts = store(source.select("text", *key).join(wanted, ["_k1", "_k2"]).groupBy("_class").agg(F.first("text").alias("_text")), "texts")
+    # What is wanted grows with the data, so it is never broadcast.
+    texts = store(source.select("text", *key).join(wanted.hint("merge"), ["_k1", "_k2"]).groupBy("_class").agg(F.first("text").alias("_text")), "texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
         chosen = pairs.filter(_may_link(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
