@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelquarry.llm import bottom_k, bpe_automaton, conv_toxicity, flow_reshard, kernel_quality, license_digests, nn_descent, suffix_search, superkmers, warc_segments
+from labelquarry.llm import bottom_k, bpe_automaton, conv_toxicity, flow_reshard, kernel_quality, license_digests, nn_descent, oracles, suffix_search, superkmers, warc_segments
 from labelquarry.session import scratch_path
 
 QUERIES: dict = {}
@@ -39,20 +39,20 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
-@query("op8_superkmer_substrings")
+@query("op8_superkmer_substrings", oracles.SUPERKMER_SUBSTRINGS)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return superkmers.drop_repeats(docs, texts=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-@query("op5_suffix_decontamination")
+@query("op5_suffix_decontamination", oracles.SUFFIX_DECONTAMINATION)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = suffix_search.find_items(docs, table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-@query("op7_bottom_k_near_dedup")
+@query("op7_bottom_k_near_dedup", oracles.BOTTOM_K_NEAR_DEDUP)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bottom_k.near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept")
