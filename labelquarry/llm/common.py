@@ -5,28 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from labelquarry.session import scratch_path, shared_dir
+from labelquarry.session import scratch_path
 
 
-def store(df: DataFrame, name: str, *by: str) -> DataFrame:
-    """Writes ``df`` below the shared folder and reads it back, which cuts the lineage."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    writer = df.write
-    if by:
-        writer = writer.partitionBy(*by)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path) if not by else spark.read.parquet(path)
-
-
-def keep_checkpoints(spark: SparkSession) -> None:
-    """Makes ``checkpoint()`` usable: the context's folder is set when only the setting is."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+def store(df: DataFrame, name: str) -> DataFrame:
+    """Writes ``df`` below the shared folder and reads it back, which cuts the lineage: what is read survives lost executors."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -37,12 +27,6 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def without(df: DataFrame, *names: str) -> DataFrame:
-    """``df`` without columns that clash with result columns (case-insensitively)."""
-    dropped = {n.lower() for n in names}
-    return df.select(*[df[f"`{c}`"] for c in df.columns if c.lower() not in dropped])
-
-
 def map_text(
     df: DataFrame, text: str, outputs: T.StructType, start: Callable[[], Callable[[list], list]], keep: Iterable[str] | None = None,
     rows_at_once: int = 256,
