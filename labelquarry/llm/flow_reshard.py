@@ -158,7 +158,7 @@ def reshard(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", old_sha
     placed = blocked.join(F.broadcast(targets), "_block")  # as many rows as there are blocks
     stays = placed.filter(~F.col("_shard").isin(plan.affected)).drop("_block")
     moved = placed.filter(F.col("_shard").isin(plan.affected))
-    spread = moved.repartition("_shard", F.pmod("_block", F.lit(4))).drop("_block")
+    spread = moved.drop("_block").hint("rebalance", "_shard")  # adaptive execution splits large shards into files
     folder = path or scratch_path(docs.sparkSession, "shards")
     spread.write.partitionBy("_shard").parquet(folder)
     schema = T.StructType([f for f in spread.schema if f.name != "_shard"] + [spread.schema["_shard"]])
