@@ -157,7 +157,8 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: i
                     hits.append(i)
             yield pa.RecordBatch.from_arrays([c.take(pa.array(hits, pa.int64())) for c in batch.columns[:2]], names=["a", "b"])
 
-    full = close.join(of_b, "b").join(of_a, "a").select("a", "b", "t_a", "t_b")
+    # Neither pairs nor texts have a bound, so neither is broadcast.
+    full = close.hint("merge").join(of_b, "b").hint("merge").join(of_a, "a").select("a", "b", "t_a", "t_b")
     return full.mapInArrow(run, "a binary, b binary")
 
 
