@@ -31,7 +31,7 @@ from labelquarry.llm.common import free_name, map_text, store
 
 WINDOW = 35
 M = 8
-HOT = 400
+HOT = 2000
 LONGEST_RUN = 256  # windows in one packed string
 
 
