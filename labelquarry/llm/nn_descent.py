@@ -5,8 +5,9 @@ of random planes. Then, round by round, the neighbours of each vector are compar
 better ones replace worse, until the number of links hardly grows. Edges below ``floor`` are not kept: two
 neighbours that link to the same vector are never further apart.
 
-A list that is full of links may have lost some. Such lists are enlarged to everything that their component
-holds: the members of each component are compared in blocks, which counts links without making a row of each.
+A list that is full of links may have lost some. Those inside its component are found by comparing the members of each
+component in blocks, which counts links without making a row of each. For those to other components a second graph is built, whose
+lists hold only vectors of other components; the links in it join components, until no such link is left.
 An audit compares a bounded random set of vectors with all by brute force; below the wanted recall, the graph gets
 more planes and rounds.
 """
@@ -51,10 +52,12 @@ def _classes(vectors: DataFrame, vec_id: str, embedding: str) -> tuple[DataFrame
     return rows.select("vec_id", "cls"), store(classes, "vector-classes")
 
 
-def _best(numbers: np.ndarray, names: list, keep: int, floor: float) -> Iterator[tuple]:
-    """Rows (a, b, cosine) of each vector's ``keep`` nearest in this group."""
+def _best(numbers: np.ndarray, names: list, keep: int, floor: float, homes: np.ndarray | None = None) -> Iterator[tuple]:
+    """Rows (a, b, cosine) of each vector's ``keep`` nearest in this group; with ``homes``, of those with another home."""
     near = numbers @ numbers.T
     np.fill_diagonal(near, -2)
+    if homes is not None:
+        near[homes[:, None] == homes[None]] = -2
     keep = min(keep, len(names) - 1)
     if keep < 1:
         return
@@ -66,14 +69,21 @@ def _best(numbers: np.ndarray, names: list, keep: int, floor: float) -> Iterator
 
 
 def _compare(grouped: DataFrame, keys: int, keep: int, floor: float) -> DataFrame:
-    """Edges (a, b, near) inside groups of (keys..., cls, vec)."""
+    """Edges (a, b, near) inside groups of (keys..., cls, vec); if a column ``home`` follows, only between different homes."""
+    apart = len(grouped.columns) > keys + 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         for _, table in groups(batches, keys):
             seen = dict(zip(table.column(keys).to_pylist(), range(table.num_rows), strict=True))  # a class may come twice
-            numbers = matrix(table.column(keys + 1))[list(seen.values())]
-            rows += _best(numbers, list(seen), keep, floor)
+            at = list(seen.values())
+            homes = None
+            if apart:
+                own = table.column(keys + 2).to_pylist()
+                homes = np.unique([own[k] for k in at], return_inverse=True)[1]
+                if homes.max() == 0:
+                    continue
+            rows += _best(matrix(table.column(keys + 1))[at], list(seen), keep, floor, homes)
             if len(rows) > 20_000:
                 yield batch_of(rows)
                 rows = []
@@ -94,7 +104,7 @@ def _lists(edges: DataFrame, keep: int) -> DataFrame:
 
 
 def _planes(classes: DataFrame, tables: range, bits: int, seed: int) -> DataFrame:
-    """(table, side, cls, vec): the sides of random planes on which each vector lies, for each table."""
+    """(table, side, cls): the sides of random planes on which each vector lies, for each table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: dict[int, np.ndarray] = {}
@@ -109,31 +119,79 @@ def _planes(classes: DataFrame, tables: range, bits: int, seed: int) -> DataFram
                 for t, plane in zip(tables, made[d], strict=True):
                     side = ((numbers @ plane > 0) @ (1 << np.arange(max(bits, 1)))) * (bits > 0)
                     side = side + (int(d) << 32)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(side), t, np.int32)), pa.array(side.astype(np.int64)), names.take(pick), vectors.take(pick)], names=["t", "side", "cls", "vec"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(side), t, np.int32)), pa.array(side.astype(np.int64)), names.take(pick)], names=["t", "side", "cls"])
 
-    return classes.select("cls", "vec").mapInArrow(run, "t int, side long, cls binary, vec array<double>")
+    return classes.select("cls", "vec").mapInArrow(run, "t int, side long, cls binary")
+
+
+def _shape(classes: DataFrame) -> list[str]:
+    return [c for c in ("cls", "vec", "home") if c in classes.columns]
 
 
 def _start(classes: DataFrame, tables: range, bits: int, seed: int, keep: int, floor: float) -> DataFrame:
     """Edges inside groups of vectors on the same side of planes; a crowded side is dealt over groups, another way in each table."""
     sides = store(_planes(classes, tables, bits, seed), "sides")
     crowd = sides.groupBy("t", "side").agg(F.ceil(F.count("*") / (2 * GROUP)).cast("int").alias("n"))
-    dealt = sides.join(crowd, ["t", "side"]).select("t", "side", F.pmod(F.xxhash64("cls", "t"), F.col("n")).cast("int").alias("part"), "cls", "vec")
-    return _compare(dealt, 3, keep, floor)
+    dealt = sides.join(crowd, ["t", "side"]).select("t", "side", F.pmod(F.xxhash64("cls", "t"), F.col("n")).cast("int").alias("part"), "cls")
+    return _compare(dealt.join(classes, "cls").select("t", "side", "part", *_shape(classes)), 3, keep, floor)
 
 
-def _round(lists: DataFrame, classes: DataFrame, keep: int, floor: float) -> DataFrame:
-    """Edges between the neighbours, in both directions, of each vector; a vector with many is dealt over groups."""
-    edges = lists.select("a", F.explode("list.b").alias("b"))
+def _round(edges: DataFrame, classes: DataFrame, keep: int, floor: float) -> DataFrame:
+    """Edges between the neighbours, in both directions, of each vector; a vector with many is dealt over groups. ``edges``: a, b."""
     both = store(edges.select(F.col("a").alias("centre"), F.col("b").alias("cls")).union(edges.select("b", "a")).distinct(), "neighbours")
     crowd = both.groupBy("centre").agg(F.count("*").alias("k")).filter("k > 1").select("centre", F.ceil(F.col("k") / (2 * GROUP)).cast("int").alias("n"))
     crowd = store(crowd, "centres")
     dealt = both.join(crowd, "centre").select("centre", F.pmod(F.xxhash64("cls", "centre"), F.col("n")).cast("int").alias("part"), "cls")
-    return _compare(dealt.join(classes.select("cls", "vec"), "cls").select("centre", "part", "cls", "vec"), 2, keep, floor)
+    return _compare(dealt.join(classes, "cls").select("centre", "part", *_shape(classes)), 2, keep, floor)
+
+
+def _edges(lists: DataFrame) -> DataFrame:
+    return lists.select("a", F.explode("list").alias("e")).select("a", "e.b", (-F.col("e.away")).alias("near"))
 
 
-def _n_links(lists: DataFrame) -> int:
-    return lists.agg(F.sum(F.size(F.filter("list", lambda x: x["away"] <= -THRESHOLD)))).first()[0] or 0
+def _descend(edges: DataFrame, classes: DataFrame, keep: int, floor: float, rounds: int, threshold: float, beside: DataFrame | None = None) -> DataFrame:
+    """The lists of ``edges`` (a, b, near) after NN-descent. ``beside``: edges (a, b) that lead to neighbours, but are in no list."""
+    links_in = F.sum(F.size(F.filter("list", lambda x: x["away"] <= -threshold)))
+    lists = store(_lists(edges, keep), "neighbour-lists")
+    links = lists.agg(links_in).first()[0]  # null without any edge
+    for _ in range(rounds):
+        if links is None:
+            break
+        known = _edges(lists)
+        ways = known.select("a", "b") if beside is None else known.select("a", "b").union(beside.select("a", "b"))
+        lists = store(_lists(known.unionByName(_round(ways, classes, keep, floor)), keep), "neighbour-lists")
+        before, links = links, lists.agg(links_in).first()[0]
+        if links - before <= GROWTH * before:
+            break
+    return lists
+
+
+def _bits(n: int) -> int:
+    return max(0, min(24, math.ceil(math.log2(max(n, 1) / GROUP))))
+
+
+def _joined(lists: DataFrame, bridges: DataFrame | None, classes: DataFrame, tables: range, seed: int, neighbours: int, floor: float, rounds: int, threshold: float) -> tuple[DataFrame, DataFrame | None]:
+    """(cls, component) of all vectors with links, and ``bridges``: links (a, b) between what were components by the lists alone.
+
+    Only components with more members than a list holds may have full lists on both ends of a lost link. As long as
+    vectors of such components have links to other ones, these join them. A component that has any finds some, so
+    components at least halve and loops are few.
+    """
+    known = _edges(lists)
+    linked = known.filter(F.col("near") >= threshold).select("a", "b")
+    keep = max(2, neighbours // 2)
+    while True:
+        found = store(components(linked if bridges is None else linked.union(bridges)).withColumnRenamed("node", "cls"), "vector-components")
+        full = found.groupBy("component").agg(F.count("*").alias("k")).filter(F.col("k") > keep).select("component")
+        if full.limit(2).count() < 2:
+            return found, bridges
+        apart = store(found.join(full, "component").join(classes, "cls").select("cls", "vec", F.col("component").alias("home")), "full-components")
+        start = _start(apart, tables, _bits(apart.count()), seed, keep, floor)
+        across = _edges(_descend(start, apart, neighbours, floor, rounds, threshold, known))
+        new = store(across.filter(F.col("near") >= threshold).select("a", "b"), "bridges")
+        if new.isEmpty():
+            return found, bridges
+        bridges = new if bridges is None else bridges.union(new)
 
 
 def _inside(members: DataFrame, threshold: float) -> DataFrame:
@@ -199,25 +257,16 @@ def link_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     floor = 2 * threshold * threshold - 1  # cosine of twice the angle: what shares a link is at least this near
     rows, classes = _classes(vectors, vec_id, embedding)
     n = classes.count()
-    bits = max(0, min(24, math.ceil(math.log2(max(n, 1) / GROUP)))) if n else 0
-    lists, done = None, 0
+    bits = _bits(n)
+    lists, bridges, done = None, None, 0
     while True:
-        edges = _start(classes, range(done, done + tables), bits, seed, max(2, neighbours // 2), floor)
+        made = range(done, done + tables)
+        edges = _start(classes, made, bits, seed, max(2, neighbours // 2), floor)
         done += tables
         if lists is not None:
-            edges = edges.unionByName(lists.select("a", F.explode("list").alias("e")).select("a", "e.b", (-F.col("e.away")).alias("near")))
-        lists = store(_lists(edges, neighbours), "neighbour-lists")
-        links = _n_links(lists)
-        for _ in range(rounds):
-            if not links:
-                break
-            kept = lists.select("a", F.explode("list").alias("e")).select("a", "e.b", (-F.col("e.away")).alias("near"))
-            lists = store(_lists(kept.unionByName(_round(lists, classes, neighbours, floor)), neighbours), "neighbour-lists")
-            before, links = links, _n_links(lists)
-            if links - before <= GROWTH * before:
-                break
-        linked = lists.select("a", F.explode("list").alias("e")).filter(F.col("e.away") <= -threshold).select("a", "e.b")
-        found = store(components(linked).withColumnRenamed("node", "cls"), "vector-components")
+            edges = edges.unionByName(_edges(lists))
+        lists = _descend(edges, classes, neighbours, floor, rounds, threshold)
+        found, bridges = _joined(lists, bridges, classes, made, seed, neighbours, floor, rounds, threshold)
         members = found.join(classes, "cls").select("component", "cls", "vec", "many")
         counts = store(_inside(members, threshold), "link-counts")
         if done >= 4 * tables or n < 2 or audit(classes, counts, threshold) >= recall:

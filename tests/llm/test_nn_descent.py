@@ -53,3 +53,30 @@ def test_groups_unfit_vectors_and_copies(spark):
 
 def test_empty_table(spark):
     assert link_vectors(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
+
+
+def unit(rng, d):
+    v = rng.normal(size=d)
+    return v / np.linalg.norm(v)
+
+
+def beside(v, cosine, rng):
+    """A unit vector at this cosine to ``v``."""
+    w = unit(rng, len(v))
+    w -= (w @ v) * v
+    return cosine * v + np.sqrt(1 - cosine * cosine) * w / np.linalg.norm(w)
+
+
+def test_linked_tight_groups_are_one_component(spark):
+    rng = np.random.default_rng(3)
+    vectors = []
+    for cosines, sizes in (((1, 0.93), (50, 50)), ((1, 0.93, 0.8), (200, 15, 30))):
+        first = unit(rng, 32)
+        for cosine, size in zip(cosines, sizes, strict=True):
+            centre = beside(first, cosine, rng)
+            vectors += [(centre + rng.normal(size=32) * 0.012).tolist() for _ in range(size)]
+    ids = list(range(len(vectors)))
+    df = spark.createDataFrame(list(zip(ids, vectors, strict=True)), "vec_id long, embedding array<double>").repartition(4)
+    wanted = brute(ids, vectors)
+    assert len({component for _, _, component, _ in wanted}) == 3
+    assert Counter(tuple(r) for r in link_vectors(df).collect()) == wanted
