@@ -8,8 +8,9 @@ neighbours that link to the same vector are never further apart.
 A list that is full of links may have lost some. Those inside its component are found by comparing the members of each
 component in blocks, which counts links without making a row of each. For those to other components a second graph is built, whose
 lists hold only vectors of other components; the links in it join components, until no such link is left.
-An audit compares a bounded random set of vectors with all by brute force; below the wanted recall, the graph gets
-more planes and rounds.
+The number of tables of planes follows the number of planes, so that even two vectors that only have each other meet in one.
+An audit compares a bounded random set of vectors with all by brute force; below the wanted recall for vectors of few, some or
+many links, the graph gets as many tables again and more rounds. If that does not help, there is an error and no answer.
 """
 
 from __future__ import annotations
@@ -27,11 +28,14 @@ from labelquarry.llm.graph import components
 
 THRESHOLD = 0.9
 NEIGHBOURS = 10
-TABLES = 8  # sets of random planes for the start
+TABLES = 8  # sets of random planes for the start, at least
+DEEP = 24  # further planes that split crowded sides, at most
+PASSES = 4  # each doubles the tables
 GROUP = 64  # vectors in a group, on average
 ROUNDS = 4
 GROWTH = 0.001  # of the number of links, below which rounds end
-AUDIT = 512  # vectors compared with all
+AUDIT = 512  # vectors compared with all, of those with no, few and many links found
+FEW = 10
 RECALL = 0.99  # wanted
 BLOCK = 512  # vectors in a block of a component
 
@@ -103,25 +107,30 @@ def _lists(edges: DataFrame, keep: int) -> DataFrame:
     return edges.groupBy("a").agg(nearest.alias("list"))
 
 
+def _tables(bits: int, threshold: float, recall: float) -> int:
+    """Tables of ``bits`` planes after which two vectors at the threshold have met, but for a quarter of the loss that ``recall`` allows."""
+    together = (1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi) ** bits
+    lost = max((1 - recall) / 4, 1e-4)
+    return 1 if together >= 1 - lost else math.ceil(math.log(lost) / math.log1p(-together))
+
+
 def _planes(classes: DataFrame, tables: range, bits: int, seed: int) -> DataFrame:
-    """(table, side, cls): the sides of random planes on which each vector lies, for each table."""
+    """(table, side, deep, cls): the sides of random planes on which each vector lies, for each table, and those of further planes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made: dict[int, np.ndarray] = {}
         for batch in batches:
             names, vectors = batch.column(0), batch.column(1)
             sizes = np.array([len(x) for x in vectors])
             for d in np.unique(sizes):
                 pick = pa.array(np.flatnonzero(sizes == d))
                 numbers = matrix(vectors.take(pick))
-                if d not in made:
-                    made[d] = np.stack([np.random.default_rng([seed, t, int(d)]).normal(size=(d, max(bits, 1))) for t in tables])
-                for t, plane in zip(tables, made[d], strict=True):
-                    side = ((numbers @ plane > 0) @ (1 << np.arange(max(bits, 1)))) * (bits > 0)
-                    side = side + (int(d) << 32)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(side), t, np.int32)), pa.array(side.astype(np.int64)), names.take(pick)], names=["t", "side", "cls"])
+                for t in tables:
+                    above = numbers @ np.random.default_rng([seed, t, int(d)]).normal(size=(d, bits + DEEP)) > 0
+                    side = above[:, :bits] @ (1 << np.arange(bits)) + (int(d) << 32)
+                    deep = above[:, bits:] @ (1 << np.arange(DEEP))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(side), t, np.int32)), pa.array(side.astype(np.int64)), pa.array(deep.astype(np.int64)), names.take(pick)], names=["t", "side", "deep", "cls"])
 
-    return classes.select("cls", "vec").mapInArrow(run, "t int, side long, cls binary")
+    return classes.select("cls", "vec").mapInArrow(run, "t int, side long, deep long, cls binary")
 
 
 def _shape(classes: DataFrame) -> list[str]:
@@ -129,11 +138,15 @@ def _shape(classes: DataFrame) -> list[str]:
 
 
 def _start(classes: DataFrame, tables: range, bits: int, seed: int, keep: int, floor: float) -> DataFrame:
-    """Edges inside groups of vectors on the same side of planes; a crowded side is dealt over groups, another way in each table."""
+    """Edges inside groups of vectors on the same side of planes. A crowded side is split by further planes, which part near
+    vectors less often than far ones; what is crowded still is dealt over groups, another way in each table."""
     sides = store(_planes(classes, tables, bits, seed), "sides")
-    crowd = sides.groupBy("t", "side").agg(F.ceil(F.count("*") / (2 * GROUP)).cast("int").alias("n"))
-    dealt = sides.join(crowd, ["t", "side"]).select("t", "side", F.pmod(F.xxhash64("cls", "t"), F.col("n")).cast("int").alias("part"), "cls")
-    return _compare(dealt.join(classes, "cls").select("t", "side", "part", *_shape(classes)), 3, keep, floor)
+    groups_of = F.ceil(F.count("*") / (2 * GROUP))
+    crowd = sides.groupBy("t", "side").agg(F.least(F.ceil(F.log2(groups_of)), F.lit(DEEP)).cast("int").alias("more"))
+    split = sides.join(crowd, ["t", "side"]).select("t", "side", F.expr("deep & (shiftleft(1L, more) - 1)").alias("deep"), "cls")
+    rest = split.groupBy("t", "side", "deep").agg(groups_of.cast("int").alias("n"))
+    dealt = split.join(rest, ["t", "side", "deep"]).select("t", "side", "deep", F.pmod(F.xxhash64("cls", "t"), F.col("n")).cast("int").alias("part"), "cls")
+    return _compare(dealt.join(classes, "cls").select("t", "side", "deep", "part", *_shape(classes)), 4, keep, floor)
 
 
 def _round(edges: DataFrame, classes: DataFrame, keep: int, floor: float) -> DataFrame:
@@ -216,13 +229,29 @@ def _inside(members: DataFrame, threshold: float) -> DataFrame:
 
 
 def audit(classes: DataFrame, found: DataFrame, threshold: float = THRESHOLD, sample: int = AUDIT) -> float:
-    """Share of the links of ``sample`` vectors (at most) that were found; links are found by comparing them with all vectors."""
-    picked = classes.orderBy(F.xxhash64("cls", F.lit(1)), "cls").limit(sample).join(found, "cls", "left").select("cls", "vec", F.coalesce("found", F.lit(0)).alias("found")).collect()
+    """The mean share of a vector's links that was found, for vectors of one, few or many links: the least of the three.
+
+    Links are found by comparing vectors with all others. At most ``sample`` are taken of the vectors for which no, few and many
+    links were found, and each stands for as many as were not taken; so neither hot components nor vectors without links hide the rest.
+    """
+    shares = store(classes.select("cls").join(found, "cls", "left").select("cls", F.coalesce("found", F.lit(0)).alias("found")), "audited")
+    band = F.when(F.col("found") == 0, 0).when(F.col("found") <= FEW, 1).otherwise(2)
+    shares = shares.withColumn("band", band)
+    sizes_of = {r.band: r["count"] for r in shares.groupBy("band").count().collect()}
+    asked_for = None
+    for k in sizes_of:
+        some = shares.filter(F.col("band") == k).orderBy(F.xxhash64("cls", F.lit(1)), "cls").limit(sample)
+        asked_for = some if asked_for is None else asked_for.union(some)
+    if asked_for is None:
+        return 1.0
+    picked = asked_for.join(classes.select("cls", "vec"), "cls").collect()
+    taken: dict[int, int] = {}
     by_size: dict[int, list] = {}
     for row in picked:
+        taken[row.band] = taken.get(row.band, 0) + 1
         by_size.setdefault(len(row.vec), []).append(row)
     asked = {d: (np.array([r.vec for r in rows]), [bytes(r.cls) for r in rows]) for d, rows in by_size.items()}
-    sent = classes.sparkSession.sparkContext.broadcast(asked)  # at most ``sample`` vectors
+    sent = classes.sparkSession.sparkContext.broadcast(asked)  # at most three times ``sample`` vectors
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = {name: 0 for _, names in sent.value.values() for name in names}
@@ -232,18 +261,26 @@ def audit(classes: DataFrame, found: DataFrame, threshold: float = THRESHOLD, sa
                 if d in sent.value:
                     numbers, names = sent.value[d]
                     pick = np.flatnonzero(sizes == d)
-                    near = numbers @ matrix(batch.column(1).take(pa.array(pick))).T >= threshold
+                    others = matrix(batch.column(1).take(pa.array(pick))).T
                     own = [batch.column(0)[int(k)].as_py() for k in pick]
                     many = batch.column(2).to_numpy(zero_copy_only=False)[pick]
                     place = {n: k for k, n in enumerate(own)}
-                    for r, name in enumerate(names):
-                        total[name] += int(near[r] @ many) - (int(many[place[name]]) * bool(near[r, place[name]]) if name in place else 0)
+                    for at in range(0, len(names), BLOCK):
+                        near = numbers[at : at + BLOCK] @ others >= threshold
+                        for r, name in enumerate(names[at : at + BLOCK]):
+                            total[name] += int(near[r] @ many) - (int(many[place[name]]) * bool(near[r, place[name]]) if name in place else 0)
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], names=["cls", "true"])
 
     truth = classes.select("cls", "vec", "many").mapInArrow(run, "cls binary, true long").groupBy("cls").agg(F.sum("true").alias("true"))
     true = {bytes(r.cls): r.true for r in truth.collect()}
-    wanted = sum(true.values())
-    return sum(min(r.found, true[bytes(r.cls)]) for r in picked) / wanted if wanted else 1.0
+    weights, got = [0.0] * 3, [0.0] * 3
+    for r in picked:
+        links = true[bytes(r.cls)]
+        if links:
+            degree, weight = (links > 1) + (links > FEW), sizes_of[r.band] / taken[r.band]
+            weights[degree] += weight
+            got[degree] += weight * min(r.found, links) / links
+    return min((g / w for g, w in zip(got, weights, strict=True) if w), default=1.0)
 
 
 def link_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", threshold: float = THRESHOLD, neighbours: int = NEIGHBOURS, tables: int = TABLES, rounds: int = ROUNDS, recall: float = RECALL, seed: int = 17) -> DataFrame:
@@ -252,25 +289,29 @@ def link_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
 
     Vectors that are null, empty, zero, or hold null or non-finite components link with nothing, nor do vectors of different
     lengths. Equal vectors link. Repeated rows count as different vectors; a null id is the smallest only if
-    there is no other.
+    there is no other. An error tells that the wanted recall was not reached.
     """
     floor = 2 * threshold * threshold - 1  # cosine of twice the angle: what shares a link is at least this near
     rows, classes = _classes(vectors, vec_id, embedding)
     n = classes.count()
     bits = _bits(n)
+    tables = max(tables, _tables(bits, threshold, recall))
     lists, bridges, done = None, None, 0
-    while True:
-        made = range(done, done + tables)
+    for last in range(1, PASSES + 1):
+        made = range(done, max(tables, 2 * done))
         edges = _start(classes, made, bits, seed, max(2, neighbours // 2), floor)
-        done += tables
+        done = made.stop
         if lists is not None:
             edges = edges.unionByName(_edges(lists))
         lists = _descend(edges, classes, neighbours, floor, rounds, threshold)
         found, bridges = _joined(lists, bridges, classes, made, seed, neighbours, floor, rounds, threshold)
         members = found.join(classes, "cls").select("component", "cls", "vec", "many")
         counts = store(_inside(members, threshold), "link-counts")
-        if done >= 4 * tables or n < 2 or audit(classes, counts, threshold) >= recall:
+        share = 1.0 if n < 2 else audit(classes, counts, threshold)
+        if share >= recall:
             break
+        if last == PASSES:
+            raise RuntimeError(f"{share:.4f} of the links of sampled vectors were found with {done} tables, {recall} are wanted")
     named = classes.select("cls", "many", "low").join(found, "cls", "left").select("cls", "many", "low", F.coalesce("component", "cls").alias("component"))
     named = store(named.join(counts, "cls", "left"), "named")
     lowest = named.groupBy("component").agg(F.min("low").alias("component_id"))

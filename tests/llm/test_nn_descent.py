@@ -3,7 +3,9 @@
 from collections import Counter
 
 import numpy as np
+import pytest
 
+from labelquarry.llm import nn_descent
 from labelquarry.llm.nn_descent import link_vectors
 
 
@@ -80,3 +82,31 @@ def test_linked_tight_groups_are_one_component(spark):
     wanted = brute(ids, vectors)
     assert len({component for _, _, component, _ in wanted}) == 3
     assert Counter(tuple(r) for r in link_vectors(df).collect()) == wanted
+
+
+def test_isolated_pairs_beside_a_hot_group(spark):
+    rng = np.random.default_rng(4)
+    hot = unit(rng, 48)
+    vectors = [(hot + rng.normal(size=48) * 0.01).tolist() for _ in range(600)] + [unit(rng, 48).tolist() for _ in range(1000)]
+    for _ in range(600):
+        one = unit(rng, 48)
+        vectors += [one.tolist(), beside(one, 0.902, rng).tolist()]
+    df = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>").repartition(4)
+    links = {r.vec_id: r.n_links for r in link_vectors(df).collect()}
+    assert {links[i] for i in range(600)} == {599} and {links[i] for i in range(600, 1600)} == {0}
+    assert sum(links[i] == 1 for i in range(1600, 2800)) >= 0.99 * 1200
+
+
+def test_lost_links_are_an_error(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    hot = unit(rng, 8)
+    df = spark.createDataFrame([(i, (hot + rng.normal(size=8) * 0.01).tolist()) for i in range(20)], "vec_id long, embedding array<double>")
+    start = nn_descent._start
+    monkeypatch.setattr(nn_descent, "_start", lambda *a: start(*a).limit(0))
+    with pytest.raises(RuntimeError, match="of the links"):
+        link_vectors(df)
+
+
+def test_tables_follow_planes():
+    for bits in (0, 1, 6, 14, 18, 21):
+        assert (1 - (1 - np.arccos(0.9) / np.pi) ** bits) ** nn_descent._tables(bits, 0.9, 0.99) <= 0.0026
