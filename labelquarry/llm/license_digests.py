@@ -1,8 +1,9 @@
 """Licence scan by canonical digests, with DataFrame and SQL functions only.
 
-A text is brought to a canonical form: capitals lowered, copyright lines removed, punctuation and blanks made single
+A text is brought to a canonical form: capitals lowered, lines with copyright notices removed, punctuation and blanks made single
 blanks, equivalent spellings made one. The SHA-256 of the form is joined to the digests of known licences,
-so only whole texts count.
+so only whole texts count, with or without a usual heading. Where lines break makes no difference: a line of a licence that happens to
+begin with the word copyright is no notice.
 """
 
 from __future__ import annotations
@@ -65,16 +66,35 @@ Unless required by applicable law or agreed to in writing, software distributed
     "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
 }
 
+# Headings that may stand before a text.
+HEADINGS = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)"],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)", "The ISC License (ISC)"],
+    "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD", "Zero Clause BSD License", "BSD Zero Clause License (0BSD)"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License", "BSD 2-Clause \"Simplified\" License", "The 2-Clause BSD License", "Simplified BSD License"],
+    "Zlib": ["zlib License", "The zlib License", "zlib/libpng License", "The zlib/libpng License"],
+}
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _COPYRIGHT = r"\n[^a-z0-9\n]*(copyright|\(c\)|\x{a9}|all rights reserved)[^\n]*"
+# A notice names a sign, a year or a holder. These words after "copyright" do not begin a holder's name.
+_NO_HOLDER = (
+    "notices?|holders?|owners?|ownership|laws?|licen[cs]es?|licen[cs]ing|statements?|permissions?|interests?|infringements?|protections?|treaty|treaties|doctrines?|rights?|act|acts|"
+    "claims?|status|works?|material|materials|management|disclaimers?|date|dates|year|years|line|lines|header|headers|file|files|information|policy|term|terms|"
+    "and|or|in|on|to|is|are|was|as|of|for|from|under|over|that|which|with|within|without|if|it|its|this|these|those|but|nor|not|may|can|shall|will|must|does|do|has|have|at|than|when|where|any|all|such|the"
+)
+_NOTICE = (
+    r"\n[^a-z0-9\n]*((copyright|\(c\)|\x{a9})[^a-z0-9\n]*(\(c\)|\x{a9}|[0-9]{4}|copyright\b)|\x{a9}|\(c\)[^\n]*\b(19|20)[0-9]{2}\b"
+    r"|copyright[ \t:]+(by[ \t]+)?(?!(" + _NO_HOLDER + r")(?![a-z0-9]))[a-z0-9\x{80}-\x{10ffff}]|all rights reserved)[^\n]*"
+)
 _MARKS = r"[\x00-\x2f\x3a-\x60\x7b-\x7f\x{a0}\x{a9}\x{2010}-\x{2015}\x{2018}-\x{201f}\x{2026}]+"
 
 
-def canonical_sql(text: str, raw: str = "r", everywhere: str = "") -> str:
+def canonical_sql(text: str, raw: str = "r", everywhere: str = "", notice: str = _NOTICE) -> str:
     """The canonical form as a SQL expression. ``raw``: what comes before literals with backslashes; ``everywhere``: a last
-    argument that makes regexp_replace replace all places. Spark needs the former only, DuckDB the latter."""
+    argument that makes regexp_replace replace all places. Spark needs the former only, DuckDB the latter. ``notice``: pattern of removed lines."""
     lowered = f"translate(coalesce({text}, ''), '{_UPPER}', '{_LOWER}')"
-    unmarked = f"regexp_replace(concat(chr(10), {lowered}), {raw}'{_COPYRIGHT}', ''{everywhere})"
+    unmarked = f"regexp_replace(concat(chr(10), {lowered}), {raw}'{notice}', ''{everywhere})"
     form = f"concat('  ', replace(regexp_replace({unmarked}, {raw}'{_MARKS}', ' '{everywhere}), ' ', '  '), '  ')"
     for one, other in SPELLINGS:
         form = f"replace({form}, ' {one} ', ' {other} ')"
@@ -87,8 +107,9 @@ def digests(df: DataFrame, text: str, out: str) -> DataFrame:
 
 
 def known_licenses(spark: SparkSession, more: DataFrame | None = None) -> DataFrame:
-    """(digest, license_id); ``more`` adds rows (license_id, text). Of licences with equal forms the smallest id counts; texts without words are left out."""
-    rows = spark.createDataFrame(sorted(LICENSES.items()), "license_id string, text string")
+    """(digest, license_id), with and without headings; ``more`` adds rows (license_id, text). Of licences with equal forms the smallest id counts; texts without words are left out."""
+    headed = [(name, f"{line}\n\n{LICENSES[name]}") for name, lines in HEADINGS.items() for line in lines]
+    rows = spark.createDataFrame(sorted(LICENSES.items()) + headed, "license_id string, text string")
     if more is not None:
         rows = rows.unionByName(more.select("license_id", "text"))
     empty = F.sha2(F.lit(""), 256)
@@ -111,7 +132,7 @@ def find_licenses(docs: DataFrame, known: DataFrame, text: str = "text") -> Data
 
 
 def duckdb_sql() -> str:
-    form = canonical_sql("text", "", ", 'g'")
+    form = canonical_sql("text", "", ", 'g'", _COPYRIGHT)  # removes every line that begins with copyright; differs from the operator on wrapped licences
     rows = ", ".join("('{}', '{}')".format(name, body.replace("'", "''")) for name, body in sorted(LICENSES.items()))
     return f"""
 with known as (select sha256({form}) as digest, min(license_id) as license_id from (values {rows}) t(license_id, text) group by 1)

@@ -1,5 +1,7 @@
 """Forms that count as one, and rows that are kept as they are."""
 
+import textwrap
+
 from labelquarry.llm.license_digests import LICENSES, find_licenses, known_licenses
 
 
@@ -27,3 +29,19 @@ def test_more_licences_and_native_plan(spark):
     assert {r.doc_id: r.license_id for r in found.collect()} == {1: "Own", 2: None, 3: "AAA"}
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
+
+
+def test_line_breaks_and_headings(spark):
+    notice = "Copyright (c) 2020 Some One <one@example.org>\n\n"
+    rows = []
+    for name in ("MIT", "ISC", "0BSD", "BSD-2-Clause", "Zlib"):
+        for width in (30, 50, 72, 79):
+            rows.append((name, "\n\n".join(textwrap.fill(part, width) for part in LICENSES[name].split("\n\n"))))
+        rows.append((name, "\n".join(LICENSES[name].split(" "))))
+    for heading, name in (("MIT License", "MIT"), ("The MIT License (MIT)", "MIT"), ("ISC License", "ISC"), ("BSD 2-Clause License", "BSD-2-Clause"), ("zlib License", "Zlib")):
+        rows.append((name, f"{heading}\n\n{notice}{textwrap.fill(LICENSES[name], 70)}"))
+    for line in ("Copyright 2019-2021 Acme", "Copyright Acme Corp.", "copyright: by Some One", "© Else", "(c) Copyright 2001 Else", "* Copyright (C) Else", "Copyright Øre"):
+        rows.append(("ISC", f"{line}\n{LICENSES['ISC']}"))
+    rows += [(None, "MIT License"), (None, "ISC License\n\n" + LICENSES["MIT"]), (None, "(c) You must retain all notices\n" + LICENSES["MIT"])]
+    df = spark.createDataFrame(rows, "wanted string, text string")
+    assert [(r.wanted, r.text) for r in find_licenses(df, known_licenses(spark)).collect() if r.license_id != r.wanted] == []
