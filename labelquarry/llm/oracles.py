@@ -65,3 +65,67 @@ with d as (
 select doc_id, cast(len(w) as bigint) as n_words, len(w) - coalesce(n, 0) as n_removed, sha256(coalesce(kept.text, '')) as kept_sha256
 from d left join kept using (r)
 """
+
+FILTER_ORDERS = rf"""
+with d as (
+  select row_number() over () as r, doc_id, coalesce(lang, '') as part, coalesce(text, '') as text,
+         list_filter(regexp_split_to_array(coalesce(text, ''), {_BLANKS}), lambda x: x <> '') as w
+  from documents
+), smallest as (
+  select text, min(doc_id) as least from d group by text
+), failed as (
+  select r, doc_id, part, [
+    len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * len(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * len(text),
+    regexp_matches(text, '[#$%&*|]'), coalesce(least < doc_id, false)] as f
+  from d join smallest using (text)
+), label as (
+  select doc_id, max(quality = 1) as good, max(toxic = 1) as toxic from labels group by doc_id
+), p as (
+  select part, f, coalesce(good, false) as good, coalesce(toxic, false) as toxic, count(*) as n
+  from failed left join label using (doc_id) group by all
+), a as (select unnest(range(1, 6)) as i), orders as (
+  select [a.i, b.i, c.i, d.i, e.i] as o
+  from a, a as b, a as c, a as d, a as e where len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5
+), placed as (
+  select p.*, o, s.i as step, f[o[s.i]] as now, list_bool_or(list_transform(o[1 : s.i - 1], lambda x: f[x])) as earlier
+  from p, orders, a as s
+), told as (
+  select part, o, step,
+    sum(n) filter (not now and not coalesce(earlier, false)) as kept,
+    sum(n) filter (now and not coalesce(earlier, false)) as removed,
+    sum(n) filter (now and coalesce(earlier, false)) as redundant,
+    sum(n) filter (now and len(list_filter(f, lambda x: x)) = 1) as unique_fails,
+    sum(n) filter (now and not coalesce(earlier, false) and good) as good_lost,
+    sum(n) filter (now and not coalesce(earlier, false) and toxic) as toxic_lost
+  from placed group by part, o, step
+)
+select part, array_to_string(list_transform(o, lambda x: 'ABCDE'[x]), '') as filter_order, cast(step as int) as step,
+  cast(coalesce(kept, 0) as bigint) as kept, cast(coalesce(removed, 0) as bigint) as removed, cast(coalesce(redundant, 0) as bigint) as redundant,
+  cast(coalesce(unique_fails, 0) as bigint) as unique_fails, cast(coalesce(good_lost, 0) as bigint) as good_lost,
+  cast(coalesce(toxic_lost, 0) as bigint) as toxic_lost,
+  cast(coalesce(sum(removed) over (partition by part, o[step]), 0) as bigint) as shapley
+from told
+"""
+
+SEEKABLE_FIM = r"""
+with d as (
+  select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') as u, sha256('1:' || coalesce(cast(doc_id as varchar), '')) as h
+  from documents
+), drawn as (
+  select *, len(u) as n, cast('0x' || h[1:8] as bigint) as h1, cast('0x' || h[9:16] as bigint) as h2,
+         cast('0x' || h[17:24] as bigint) as h3, cast('0x' || h[25:32] as bigint) as h4
+  from d
+), cut as (
+  select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+    case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= 90 then 'plain'
+         when h4 % 100 < 20 then 'spm' else 'psm' end as form
+  from drawn
+), part as (
+  select *, array_to_string(u[1:a], '') as p, array_to_string(u[a + 1 : b], '') as m, array_to_string(u[b + 1 : n], '') as s from cut
+)
+select doc_id, cast(n as bigint) as n, form,
+  case when form <> 'plain' then cast(len(p) as bigint) end as prefix_chars, case when form <> 'plain' then cast(len(m) as bigint) end as middle_chars,
+  sha256(case form when 'plain' then text when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256,
+  sha256(case form when 'plain' then text else p || m || s end) as restored_sha256
+from part
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelquarry.llm import bottom_k, bpe_automaton, conv_toxicity, flow_reshard, kernel_quality, license_digests, nn_descent, oracles, suffix_search, superkmers, warc_segments
+from labelquarry.llm import bottom_k, bpe_automaton, conv_toxicity, filter_audit, flow_reshard, kernel_quality, license_digests, nn_descent, oracles, seekable_fim, suffix_search, superkmers, warc_segments
 from labelquarry.session import scratch_path
 
 QUERIES: dict = {}
@@ -105,3 +105,16 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_nn_descent")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nn_descent.link_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_filter_orders", oracles.FILTER_ORDERS)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = filter_audit.mask_cells(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return filter_audit.audit_orders(cells).select(
+        "part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley")
+
+
+@query("op13_seekable_fim", oracles.SEEKABLE_FIM)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    framed = seekable_fim.frame_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return seekable_fim.fill_in_middle(framed).select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
