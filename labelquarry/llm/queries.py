@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelquarry.llm import bottom_k, bpe_automaton, conv_toxicity, filter_audit, flow_reshard, kernel_quality, license_digests, nn_descent, oracles, seekable_fim, suffix_search, superkmers, warc_segments
+from labelquarry.llm import bottom_k, bpe_automaton, conv_toxicity, disclosure, filter_audit, flow_reshard, kernel_quality, license_digests, nn_descent, oracles, seekable_fim, suffix_search, superkmers, warc_segments
 from labelquarry.session import scratch_path
 
 QUERIES: dict = {}
@@ -118,3 +118,9 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     framed = seekable_fim.frame_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return seekable_fim.fill_in_middle(framed).select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+
+
+@query("op11_disclosure")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = disclosure.find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return disclosure.summary(found).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
