@@ -173,27 +173,31 @@ def entity(span: Column) -> Column:
 
 
 class WordFilter:
-    """Tells words that are not in a table of terms, for certain: one byte for each of a bounded number of hash buckets.
+    """Tells words that are not in a table of terms, for certain: three of a bounded number of bytes, chosen by the word's
+    hash, are set for each term.
 
-    The bytes are a literal of the plan, at most 4 MB whatever the number of terms; with more terms more words pass.
+    The bytes are a literal of the plan, at most 4 MB whatever the number of terms. Up to 130,000 terms about one word in
+    1,200 passes without being a term; with more terms more words pass.
     """
 
     def __init__(self, terms: DataFrame, term: str = "term"):
         least, most = BUCKETS
         self.size = least
         count = terms.count()
-        while self.size < most and self.size < 16 * count:
+        while self.size < most and self.size < 32 * count:
             self.size *= 2
         taken = bytearray(self.size)
-        for row in terms.select(self.bucket(F.col(term)).alias("b")).distinct().toLocalIterator():  # at most 4M numbers
+        asked = terms.select(F.explode(F.array(*[self.bucket(F.col(term), i) for i in range(3)])).alias("b")).distinct()
+        for row in asked.toLocalIterator():  # at most 4M numbers
             taken[row["b"]] = 1
         self.bytes = F.lit(bytes(taken))
 
-    def bucket(self, word: Column) -> Column:
-        return F.pmod(F.xxhash64(word), F.lit(self.size)).cast("int")
+    def bucket(self, word: Column, i: int) -> Column:
+        return F.pmod(F.shiftrightunsigned(F.xxhash64(word), 21 * i), F.lit(self.size)).cast("int")
 
     def may_hold(self, word: Column) -> Column:
-        return F.substring(self.bytes, self.bucket(word) + 1, F.lit(1)) == F.lit(b"\x01")
+        first, second, third = [F.substring(self.bytes, self.bucket(word, i) + 1, F.lit(1)) == F.lit(b"\x01") for i in range(3)]
+        return first & second & third
 
 
 def disclosures(spans: DataFrame, docs: DataFrame, text: str, threshold: float = THRESHOLD, min_texts: int = MIN_TEXTS) -> DataFrame:
