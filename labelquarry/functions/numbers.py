@@ -6,22 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def magnitude_bucket(value: Column, per_octave: int = 64) -> Column:
-    """A monotone bucket number that needs no look at the data.
-
-    Buckets are linear near zero and logarithmic beyond, so the bucket count stays in the
-    thousands whatever the range is. NaN, which sorts last, has the last bucket.
-    """
-    v = value.cast("double")
-    size = F.least(F.abs(v), F.lit(1e308))
-    return F.when(F.isnan(v), F.lit(1 << 40)).otherwise((F.signum(v) * F.floor(F.log2(size + 1.0) * per_octave)).cast("long"))
-
-
-def first_bytes(text: Column, count: int = 3) -> Column:
-    """The first bytes of a text as a number: a monotone bucket in the order of texts."""
-    return F.conv(F.rpad(F.hex(F.substring(text.cast("binary"), 1, count)), 2 * count, "0"), 16, 10).cast("long")
-
-
 def hash_number(text: Column) -> Column:
     """The first 32 bits of the MD5 of a text, as a number."""
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")

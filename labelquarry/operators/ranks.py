@@ -1,8 +1,9 @@
 """Exact ranks and running totals that do not send a whole group to one task.
 
-Both helpers take rows already aggregated per (group, value). Values fall into monotone
-buckets; totals per bucket place each bucket, and only the rows of one bucket are ordered
-together. A group holding most of the data is therefore spread over its buckets.
+Rows come already aggregated per (group, value). :func:`place` cuts each group into buckets of about
+equally many rows at values drawn from the data; totals per bucket place each bucket, and only the rows
+of one bucket are ordered together. A group holding most of the data is therefore spread over its
+buckets, however narrow or lopsided its values are. The cuts decide where work is done, never a result.
 """
 
 from __future__ import annotations
@@ -11,38 +12,100 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from labelquarry.functions.numbers import magnitude_bucket
+BUCKET = "_bucket"
+ROWS_PER_BUCKET = 4096  # aimed at, while the table has fewer than MOST_DRAWN / DRAWN_PER_BUCKET times as many rows
+DRAWN_PER_BUCKET = 16
+MOST_DRAWN = 1 << 19  # rows drawn of a table of any size; a sixteenth of them are sent to every task as cuts
+_FAN = 128  # cuts that a row is compared with at once
+_HASHES = 1 << 30
 
 
-def _bucket(order: str, bucket: Column | None) -> Column:
-    """Never null, so that joining on it adds no filter to one of two equal subplans and the
-    exchange below them is reused."""
-    return F.coalesce((magnitude_bucket(F.col(order)) if bucket is None else bucket).cast("long"), F.lit(0))
+def _is_read(c: str) -> str:
+    return f"`_any_{c}` IS NOT NULL"
 
 
-def _no_null_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Fails on null keys, whose rows the joins below would lose."""
+def reading_all(grouped, df: DataFrame, keys: Sequence[str], *aggregates: Column) -> DataFrame:
+    """Aggregates that read every column of ``df``.
+
+    Without the (always true) condition on all columns the optimizer would prune this branch
+    differently from the one that keeps the rows, and everything below would run twice
+    instead of sharing an exchange.
+    """
+    others = [c for c in df.columns if c not in keys]
+    out = grouped.agg(*aggregates, *[F.max(c).alias(f"_any_{c}") for c in others])
+    return out.where(" OR ".join(map(_is_read, others))).drop(*[f"_any_{c}" for c in others])
+
+
+def _located(cuts: Column, value: Column) -> Column:
+    """How many of at most 255 ascending cuts are not above the value, by halving; 0 without cuts or value."""
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(8))])
+    at = lambda pos, step: F.get(cuts, pos + step - 1)
+    return F.aggregate(steps, F.lit(0), lambda pos, step: pos + F.when(at(pos, step) <= value, step).otherwise(F.lit(0)))
+
+
+def _cuts(df: DataFrame, keys: list[str], order: str, rows_per_bucket: int) -> DataFrame:
+    """Per group the ascending cuts in two levels: ``_coarse``, and ``_fine`` with the cuts between two coarse ones."""
+    total = reading_all(df.groupBy(), df, [], F.count(F.lit(1)).alias("_total")).select("_total").scalar()
+    share = F.least(F.lit(DRAWN_PER_BUCKET / rows_per_bucket), F.lit(float(MOST_DRAWN)) / total)
+    # The random term is zero; with it the draw is not pushed below the shared exchange.
+    drawn = df.where(F.pmod(F.xxhash64(order), F.lit(_HASHES)) < share * _HASHES + F.rand(0) * 0)
+    lists = reading_all(drawn.groupBy(*keys), df, keys, F.array_sort(F.collect_list(order)).alias("_drawn"))
+    every = lists.select(*keys, F.filter("_drawn", lambda x, i: (i + 1) % DRAWN_PER_BUCKET == 0).alias("_all")).where(F.size("_all") > 0)
+    chunked = every.withColumn("_chunk", F.ceil((F.size("_all") + 1) / _FAN).cast("int"))
+    coarse = F.filter("_all", lambda x, i: (i + 1) % F.col("_chunk") == 0)
+    fine = F.transform(
+        F.sequence(F.lit(0), F.size("_coarse")), lambda j: F.slice("_all", j * F.col("_chunk") + 1, F.greatest(F.col("_chunk") - 1, F.lit(0))))
+    return chunked.withColumn("_coarse", coarse).withColumn("_fine", fine).select(*keys, "_coarse", "_fine")
+
+
+def place(df: DataFrame, keys: Sequence[str], order: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """Adds ``_bucket``, a number that never falls as ``order`` rises within a group.
+
+    ``df`` has one row per (keys, order). The cuts of a group are every 16th of its drawn values; values are drawn by
+    their hash, so a repeated run draws the same. A bucket holds more than three times the rows aimed at with a
+    probability below 1e-6. A group too small to have cuts has one bucket. Values may be numbers, times or texts; null
+    comes first and NaN last, as in Spark's order.
+    """
+    keys = list(keys)
+    cuts = _cuts(df, keys, order, rows_per_bucket)
+    if keys:
+        placed = df.join(F.broadcast(cuts), keys, "left")  # at most MOST_DRAWN / DRAWN_PER_BUCKET values in all
+    else:
+        placed = df.withColumns({"_coarse": cuts.select("_coarse").scalar(), "_fine": cuts.select("_fine").scalar()})
+    first = _located(F.col("_coarse"), F.col(order))
+    placed = placed.withColumn("_first", first)
+    second = _located(F.get("_fine", F.col("_first")), F.col(order))
+    return placed.select(*df.columns, F.coalesce(F.col("_first").cast("long") * 256 + second, F.lit(0)).alias(BUCKET))
+
+
+def _placed(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The rows with their buckets, dealt by them: window and totals per bucket share this exchange."""
+    return _refusing_null(df if BUCKET in df.columns else place(df, keys, order), keys).repartition(*keys, BUCKET)
+
+
+def _refusing_null(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Fails on null keys, whose rows the joins below would lose.
+
+    The last alternative is never reached, but makes the key one that can't be null: a join on it then adds no filter to
+    one of two equal subplans, and the exchange below them is reused.
+    """
     def guard(k: str) -> Column:
-        return F.when(F.col(k).isNull(), F.raise_error(F.lit(f"null in {k}")).cast(df.schema[k].dataType)).otherwise(F.col(k))
+        kind = df.schema[k].dataType
+        refused = F.raise_error(F.lit(f"null in {k}")).cast(kind)
+        if isinstance(kind, T.StringType):
+            return F.coalesce(F.col(k), refused, F.lit(""))
+        if isinstance(kind, (T.NumericType, T.BooleanType)):
+            return F.coalesce(F.col(k), refused, F.lit(0).cast(kind))
+        return F.coalesce(F.col(k), refused)
 
     return df.withColumns({k: guard(k) for k in keys if df.schema[k].nullable}) if keys else df
 
 
 def _per_bucket(binned: DataFrame, keys: list[str], *aggregates: Column) -> DataFrame:
-    """Aggregates per bucket that read every column.
-
-    Without the (always true) condition on all columns the optimizer would prune this branch
-    differently from the one that keeps the rows, and everything below would run twice
-    instead of sharing an exchange.
-    """
-    others = [c for c in binned.columns if c not in (*keys, "_bucket")]
-    return (
-        binned.groupBy(*keys, "_bucket")
-        .agg(*aggregates, *[F.max(c).alias(f"_any_{c}") for c in others])
-        .where(" OR ".join(f"`_any_{c}` IS NOT NULL" for c in others))
-        .drop(*[f"_any_{c}" for c in others])
-    )
+    by = [*keys, BUCKET]
+    return reading_all(binned.groupBy(*by), binned, by, *aggregates)
 
 
 def running_totals(
@@ -50,16 +113,17 @@ def running_totals(
     keys: Sequence[str],
     order: str,
     totals: dict[str, str],
-    bucket: Column | None = None,
+    falling: bool = False,
 ) -> DataFrame:
-    """Inclusive running sums per ``keys`` in the order of a numeric column.
+    """Inclusive running sums per ``keys`` in the order of a column, or from its largest value down if ``falling``.
 
     ``totals`` maps output names to the columns to sum. ``df`` has one row per (keys, order)
-    and no null keys.
+    and no null keys; if it went through :func:`place`, its buckets are used and kept.
     """
     keys = list(keys)
-    binned = _no_null_keys(df, keys).withColumn("_bucket", _bucket(order, bucket))
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    binned = _placed(df, keys, order)
+    turn = lambda c: F.desc(c) if falling else F.asc(c)
+    before = Window.partitionBy(*keys).orderBy(turn("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         _per_bucket(binned, keys, *[F.sum(c).alias(f"_sum_{out}") for out, c in totals.items()])
         .select(
@@ -69,23 +133,19 @@ def running_totals(
         )
     )
     inside = (
-        Window.partitionBy(*keys, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    )
-    local = binned.select(
-        *df.columns, "_bucket", *[F.sum(c).over(inside).alias(f"_in_{out}") for out, c in totals.items()]
+        Window.partitionBy(*keys, "_bucket").orderBy(turn(order)).rowsBetween(Window.unboundedPreceding, 0)
     )
+    local = binned.select("*", *[F.sum(c).over(inside).alias(f"_in_{out}") for out, c in totals.items()])
     return local.join(offsets, [*keys, "_bucket"]).select(
         *df.columns, *[(F.col(f"_in_{out}") + F.col(f"_off_{out}")).alias(out) for out in totals]
     )
 
 
-def previous_values(
-    df: DataFrame, keys: Sequence[str], order: str, value: str, bucket: Column | None = None
-) -> DataFrame:
-    """Column ``previous``: the value of the row before, per ``keys`` in the order of a numeric
-    column; null on the first row. ``df`` has one row per (keys, order)."""
+def previous_values(df: DataFrame, keys: Sequence[str], order: str, value: str) -> DataFrame:
+    """Column ``previous``: the value of the row before, per ``keys`` in the order of a
+    column; null on the first row. ``df`` has one row per (keys, order), and may be placed."""
     keys = list(keys)
-    binned = _no_null_keys(df, keys).withColumn("_bucket", _bucket(order, bucket))
+    binned = _placed(df, keys, order)
     ends = _per_bucket(binned, keys, F.max_by(value, order).alias("_end")).withColumn(
         "_before", F.lag("_end").over(Window.partitionBy(*keys).orderBy("_bucket"))
     ).drop("_end")
@@ -103,7 +163,6 @@ def values_at_ranks(
     keys: Sequence[str],
     value: str,
     wanted: Callable[[Column], Column],
-    bucket: Column | None = None,
 ) -> DataFrame:
     """The value at given zero-based ranks of each group.
 
@@ -112,11 +171,10 @@ def values_at_ranks(
     tie_rank``, where ``tie_rank`` counts from the first row that shares the value.
     """
     keys = list(keys)
-    binned = _no_null_keys(counts, keys).select(*keys, value, "n", _bucket(value, bucket).alias("_bucket"))
+    binned = _placed(counts.select(*keys, value, "n"), keys, value)
     ordered = Window.partitionBy(*keys).orderBy("_bucket")
     per_bucket = (
-        binned.groupBy(*keys, "_bucket")
-        .agg(F.sum("n").alias("_in"))
+        _per_bucket(binned, keys, F.sum("n").alias("_in"))
         .withColumn("_upto", F.sum("_in").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
         .withColumn("_size", F.sum("_in").over(Window.partitionBy(*keys)))
         .withColumn(
@@ -164,22 +222,24 @@ def ranks(**by_label: Column) -> Column:
     )
 
 
-def median(df: DataFrame, keys: Sequence[str], value: str, bucket: Column | None = None) -> DataFrame:
+def _counted(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    return df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+
+
+def median(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """The exact median per group (mean of the two middle values), column ``median``."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
     middle = values_at_ranks(
-        counts,
-        keys,
-        value,
-        lambda n: ranks(low=F.floor((n - 1) / 2), high=F.floor(n / 2)),
-        bucket,
-    )
+        _counted(df, keys, value), keys, value, lambda n: ranks(low=F.floor((n - 1) / 2), high=F.floor(n / 2)))
     return middle.groupBy(*keys).agg(F.avg(value).alias("median"))
 
 
-def upper_median(df: DataFrame, keys: Sequence[str], value: str, bucket: Column | None = None) -> DataFrame:
+def upper_median(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """The element ⌊n/2⌋ of the ascending values per group, column ``median``."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
-    return values_at_ranks(counts, keys, value, lambda n: ranks(median=F.floor(n / 2)), bucket).select(
+    return upper_median_of_counts(_counted(df, keys, value), keys, value)
+
+
+def upper_median_of_counts(counts: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """As :func:`upper_median`, from one row per (keys, value) with a count ``n``."""
+    return values_at_ranks(counts, keys, value, lambda n: ranks(median=F.floor(n / 2))).select(
         *keys, F.col(value).alias("median")
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelquarry.functions.numbers import first_bytes, score_to_probability, sign_class
+from labelquarry.functions.numbers import score_to_probability, sign_class
 from labelquarry.operators.ranks import running_totals
 
 
@@ -83,16 +83,16 @@ def review_totals(labeled: DataFrame) -> DataFrame:
 
 def samples_by_slide(labeled: DataFrame, key: str = "object_id", per_list: int = 1000) -> DataFrame:
     """Lists of (id, label) per slide for display, in numbered pages of ``per_list`` samples in the order of the
-    id, a number or a text (rows of one id share a page).
+    id, a number or a text (rows of one id share a page, those without an id the first one).
 
     A slide of any size becomes several bounded lists rather than one.
     """
-    bucket = first_bytes(F.col(key)) if labeled.schema[key].dataType.typeName() == "string" else None
     counts = labeled.groupBy("slide", key).agg(F.count(F.lit(1)).alias("_n"))
-    placed = running_totals(counts, ["slide"], key, {"_upto": "_n"}, bucket)
+    placed = running_totals(counts, ["slide"], key, {"_upto": "_n"})
     page = F.floor((F.col("_upto") - F.col("_n")) / per_list).cast("int")
+    pages = placed.select(F.col("slide").alias("_slide"), F.col(key).alias("_key"), page.alias("page"))
     return (
-        labeled.join(placed.select("slide", key, page.alias("page")), ["slide", key])
+        labeled.join(pages, (F.col("slide") == F.col("_slide")) & F.col(key).eqNullSafe(F.col("_key")))
         .groupBy("slide", "page")
         .agg(F.sort_array(F.collect_list(F.struct(F.col(key).alias("id"), "label"))).alias("samples"))
     )

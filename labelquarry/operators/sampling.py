@@ -131,7 +131,7 @@ def display_strata(pool: DataFrame, strata: int, groups: int, key: str = "object
         ])
 
     counts = signed.groupBy("positive", "score").agg(F.count(F.lit(1)).alias("n"))
-    hits = values_at_ranks(counts, ["positive"], "score", wanted, bucket=F.floor(F.col("score") * 2048))
+    hits = values_at_ranks(counts, ["positive"], "score", wanted)
     # A handful of picks: one list per (class, score) that was hit.
     asked = hits.groupBy("positive", "score").agg(
         F.collect_list(F.struct("label", F.col("tie_rank").alias("rank"))).alias("_asked")
@@ -143,7 +143,6 @@ def display_strata(pool: DataFrame, strata: int, groups: int, key: str = "object
     tie_counts = ties.groupBy("positive", "score", "_asked", "_h").agg(F.count(F.lit(1)).alias("n"))
     picks = values_at_ranks(
         tie_counts, ["positive", "score", "_asked"], "_h", lambda n: F.col("_asked"),
-        bucket=F.floor(F.conv(F.substring("_h", 1, 8), 16, 10).cast("long") / 2**20),
     ).select("positive", "score", "_h", "label.stratum", "label.grp")
     position = (
         F.col("grp") * (2 * strata) + F.col("positive") * strata + F.col("stratum")

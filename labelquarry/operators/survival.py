@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from labelquarry.operators.ranks import median, previous_values, running_totals, single_row
+from labelquarry.operators.ranks import BUCKET, median, place, previous_values, running_totals, single_row
 
 
 def survival_clean(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -42,19 +42,25 @@ def _per_time(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def kaplan_meier(df: DataFrame) -> DataFrame:
+    """The curve of :func:`placed_curve` without its buckets."""
+    return placed_curve(df).drop(BUCKET)
+
+
+def placed_curve(df: DataFrame) -> DataFrame:
     """Columns group, time, n_at_risk, n_events, n_censored, survival and the Greenwood errors.
 
     The survival product is the exponential of a running sum of logarithms; a step at which
     everybody at risk has the event sets it to zero from there on. Errors that are infinite or
-    undefined after such a step are null.
+    undefined after such a step are null. Times are placed once (column ``_bucket``), for both running totals and
+    for whatever works along the curve.
     """
-    counts = _per_time(with_defaults(df), ["group"])
+    counts = place(_per_time(with_defaults(df), ["group"]), ["group"], "time")
     # Counted from the latest time back, the running total is the number at risk.
-    at_risk = running_totals(counts.withColumn("_back", -F.col("time")), ["group"], "_back", {"n_at_risk": "_n"})
+    at_risk = running_totals(counts, ["group"], "time", {"n_at_risk": "_n"}, falling=True)
     d, n = F.col("n_events").cast("double"), F.col("n_at_risk").cast("double")
     last = F.col("n_events") == F.col("n_at_risk")
     terms = at_risk.select(
-        "group", "time", "n_at_risk", "n_events", "n_censored",
+        BUCKET, "group", "time", "n_at_risk", "n_events", "n_censored",
         F.when(last, F.lit(0.0)).otherwise(F.log1p(-d / n)).alias("_log"),
         F.when(last, F.lit(0.0)).otherwise(d / (n * (n - d))).alias("_gw"),
         last.cast("long").alias("_zero"),
@@ -64,7 +70,7 @@ def kaplan_meier(df: DataFrame) -> DataFrame:
     root = F.sqrt("_sgw")
     survival = F.when(alive, F.exp("_slog")).otherwise(F.lit(0.0))
     return sums.select(
-        "group", "time", "n_at_risk", "n_events", "n_censored",
+        BUCKET, "group", "time", "n_at_risk", "n_events", "n_censored",
         survival.alias("survival"),
         F.when(alive, root * survival).alias("se"),
         F.when(alive, root).alias("se_log"),
@@ -91,7 +97,8 @@ def km_confidence(curve: DataFrame, z: float = 1.96, kind: str = "ordinary") ->
 
 
 def km_step_points(curve: DataFrame, value: str = "survival") -> DataFrame:
-    """Corner points of the step function: at each time the previous value, then the own one."""
+    """Corner points of the step function: at each time the previous value, then the own one. A curve that kept its buckets
+    is not placed again."""
     points = F.array(
         F.struct(F.lit(0).alias("part"), F.col("previous").alias("y")),
         F.struct(F.lit(1).alias("part"), F.col(value).alias("y")),
@@ -114,9 +121,7 @@ def logrank_statistic(df: DataFrame, group: str = "in_first") -> DataFrame:
         F.count(F.lit(1)).alias("_n"), F.sum(first).alias("_n1"),
         F.sum(event).alias("_d"), F.sum(event * first).alias("_d1"),
     )
-    backward = running_totals(
-        counts.withColumn("_back", -F.col("time")), [], "_back", {"n": "_n", "n1": "_n1"}
-    )
+    backward = running_totals(counts, [], "time", {"n": "_n", "n1": "_n1"}, falling=True)
     at_risk = backward.select(
         *[F.col(c).cast("double").alias(out) for out, c in (("n", "n"), ("n1", "n1"), ("d", "_d"), ("d1", "_d1"))]
     ).where("d > 0")

@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pandas as pd
 import pytest
@@ -113,6 +114,77 @@ def test_label_table_over_batches(spark, tmp_path):
     assert {r["object_id"]: r["label"] for r in table.read(spark, 1).collect()} == {1: 0, 2: 1, 3: -1}
 
 
+def folders(path):
+    return sorted(str(p.relative_to(path)) for p in path.glob("data/v=*/key_bucket=*"))
+
+
+def test_a_label_rewrites_one_bucket(spark, tmp_path):
+    schema = "object_id int, label int, seq int"
+    table = stream.LabelTable(str(tmp_path / "t"), ["object_id"], ["seq"], buckets=8)
+    first = [(i, 1, i) for i in range(100)]
+    table.upsert(spark.createDataFrame(first, schema), 0)
+    assert len(folders(tmp_path / "t")) == 8
+    table.upsert(spark.createDataFrame([(7, -1, 200), (7, 0, 150)], schema), 1)
+    assert [f for f in folders(tmp_path / "t") if "v=1/" in f] == [f for f in folders(tmp_path / "t")][8:] and len(folders(tmp_path / "t")) == 9
+    want = {i: 1 for i in range(100)} | {7: -1}
+    labels = lambda **k: {r["object_id"]: r["label"] for r in table.read(spark, **k).collect()}
+    assert labels() == want and labels(version=0) == dict.fromkeys(range(100), 1)
+    # A replay of the last batch changes nothing; an empty batch is a version too.
+    table.upsert(spark.createDataFrame([(7, -1, 200), (7, 0, 150)], schema), 1)
+    table.upsert(spark.createDataFrame([], schema), 2)
+    assert labels() == want and table.versions(spark) == [1, 2]
+    # Only what the last two versions name is left: eight buckets.
+    assert len(folders(tmp_path / "t")) == 8
+
+
+def test_a_batch_that_fails_shows_nothing(spark, tmp_path):
+    schema = "object_id int, label int, seq int"
+    table = stream.LabelTable(str(tmp_path / "t"), ["object_id"], ["seq"], buckets=4)
+    table.upsert(spark.createDataFrame([(1, 1, 1)], schema), 0)
+    bad = spark.createDataFrame([(1, -1, 2)], schema).withColumn("label", F.when(F.col("seq") == 2, F.raise_error(F.lit("lost"))).cast("int"))
+    with pytest.raises(Exception, match="lost"):
+        table.upsert(bad, 1)
+    assert table.versions(spark) == [0] and table.read(spark).first()["label"] == 1
+    with pytest.raises(ValueError, match="buckets"):
+        stream.LabelTable(str(tmp_path / "t"), ["object_id"], ["seq"], buckets=5).read(spark)
+
+
+def test_buckets_equal_the_table(spark, tmp_path):
+    rng = random.Random(4)
+    schema = "object_id int, label int, seq int"
+    table, sent = stream.LabelTable(str(tmp_path / "t"), ["object_id"], ["seq"], buckets=5), []
+    for batch in range(4):
+        rows = [(rng.choice([None, *range(40)]), rng.choice([-1, 0, 1]), 100 * batch + i) for i in range(30)]
+        sent += rows
+        table.upsert(spark.createDataFrame(rows, schema), batch)
+    want = lb.latest_labels(spark.createDataFrame(sent, schema), ["object_id"], ["seq"])
+    assert sorted(map(tuple, table.read(spark).collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+
+
+def test_idle_sessions_start_again(spark, tmp_path):
+    rows = [("a", 1, at(0), 0), ("a", 2, at(29), 1), ("a", 3, at(70), 0), ("a", 4, at(71), 2), ("b", 5, at(5), 0)]
+    later = [("a", 6, at(80), 1), ("b", 7, at(90), 1), ("b", 8, at(91), 0), ("z", 9, at(1000), 0)]
+    src, out, schema = str(tmp_path / "in"), str(tmp_path / "out"), "uid string, submission_id long, ts timestamp, iteration int"
+    for part in (rows, later, [("z", 10, at(2000), 0)]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
+        source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+        running = stream.gate_submissions(source, idle_minutes=30).writeStream.format("parquet").option("path", out).option(
+            "checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        running.awaitTermination()
+    got = {r["submission_id"]: (r["accepted"], r["recorded"]) for r in spark.read.parquet(out).collect()}
+    assert got == {
+        1: (True, 0), 2: (True, 1), 3: (True, 0), 4: (False, 2), 6: (True, 1), 5: (True, 0), 7: (False, 1), 8: (True, 0), 9: (True, 0), 10: (True, 0)}
+    # Sessions a and b are over, and z's first one: what is left is one session.
+    assert running.lastProgress["stateOperators"][0]["numRowsTotal"] <= 2
+
+
+def test_many_submissions_are_folded_in_order():
+    parts = [pd.DataFrame({"micros": [3, 1], "submission_id": [7, 8], "iteration": [0, 1]}),
+             pd.DataFrame({"micros": [1, 2], "submission_id": [5, 6], "iteration": [2, 3]})]
+    runs = list(stream._in_order(iter(parts), 3))
+    assert [r[0].tolist() for r in runs] == [[5, 8, 6], [7]] and runs[0][2].tolist() == [1, 1, 2]
+
+
 def test_log_stream(spark, tmp_path):
     spark.createDataFrame([("INFO", "x")], "type string, message string").write.parquet(str(tmp_path / "in"))
     source = spark.readStream.schema("type string, message string").parquet(str(tmp_path / "in"))

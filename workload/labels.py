@@ -130,7 +130,7 @@ def label_sessions(spark, d):
 
 def _event_stream(spark, d):
     schema = t.read(spark, d, "events").schema
-    source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 8).parquet(d)
     kind = F.col("event_type")
     return source.select(
         F.col("user_id").cast("string").alias("uid"), F.col("event_id").alias("submission_id"), "ts",
@@ -154,15 +154,39 @@ SELECT uid, submission_id, iteration, recorded, accepted FROM walk""".strip(), S
 ordered AS (SELECT uid, submission_id, iteration, row_number() OVER (PARTITION BY uid ORDER BY ts, submission_id) AS n FROM subs)""").removeprefix("WITH"))
 def accepted_submissions(spark, d):
     """The submission gate over the event stream, run to the end and read back."""
-    spark.conf.set(
-        "spark.sql.streaming.stateStore.providerClass",
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    )
-    root = scratch_path(spark, "submissions")
-    decided = stream.gate_submissions(_event_stream(spark, d))
-    decided.writeStream.format("parquet").option("path", f"{root}/out").option(
-        "checkpointLocation", f"{root}/checkpoint"
-    ).trigger(availableNow=True).start().awaitTermination()
+    return _gated(spark, d, None)
+
+
+@query("session_submissions", """
+WITH RECURSIVE""" + with_ctes("""
+, walk AS (
+  SELECT uid, n, submission_id, iteration, iteration IN (-1, 0) AS accepted,
+         CASE WHEN iteration = -1 THEN 0 ELSE iteration END AS recorded, CASE WHEN iteration = 0 THEN 1 ELSE 0 END AS cur
+  FROM ordered WHERE n = 1
+  UNION ALL
+  SELECT uid, n, submission_id, iteration, iteration = -1 OR iteration = here, CASE WHEN iteration = -1 THEN -here ELSE iteration END,
+         CASE WHEN iteration = here THEN here + 1 ELSE here END
+  FROM (SELECT o.*, CASE WHEN o.fresh THEN 0 ELSE w.cur END AS here FROM walk w JOIN ordered o ON o.uid = w.uid AND o.n = w.n + 1))
+SELECT uid, submission_id, iteration, recorded, accepted FROM walk""".strip(), SUBMISSIONS, """
+ordered AS (
+  SELECT uid, submission_id, iteration, row_number() OVER w AS n, epoch_ms(ts) - lag(epoch_ms(ts)) OVER w > 30 * 60000 AS fresh
+  FROM subs WINDOW w AS (PARTITION BY uid ORDER BY ts, submission_id))""").removeprefix("WITH"))
+def session_submissions(spark, d):
+    """The gate with sessions that end after 30 idle minutes: the next submission meets iteration 0."""
+    return _gated(spark, d, 30)
+
+
+def _gated(spark, d, idle_minutes):
+    root, setting = scratch_path(spark, "submissions"), "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        decided = stream.gate_submissions(_event_stream(spark, d), idle_minutes)
+        decided.writeStream.format("parquet").option("path", f"{root}/out").option(
+            "checkpointLocation", f"{root}/checkpoint"
+        ).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(setting, before)
     return spark.read.parquet(f"{root}/out")
 
 
@@ -171,9 +195,8 @@ def streamed_latest_labels(spark, d):
     """The label table kept by a stream, read back."""
     root = scratch_path(spark, "labels")
     table = stream.LabelTable(f"{root}/table", ["uid", "object_id"], ["ts", "submission_id"])
-    running = table.start(_event_stream(spark, d), f"{root}/checkpoint")
-    running.awaitTermination()
-    return table.read(spark, running.lastProgress["batchId"]).select("uid", "object_id", "label", "submission_id")
+    table.start(_event_stream(spark, d), f"{root}/checkpoint").awaitTermination()
+    return table.read(spark).select("uid", "object_id", "label", "submission_id")
 
 
 @query("active_learning_step", with_ctes("""

@@ -75,7 +75,7 @@ def km_confidence(spark, d):
 SELECT grp AS "group", time AS x, 0 AS part, round(y, 6) AS y FROM (SELECT *, lag(survival) OVER (PARTITION BY grp ORDER BY time) AS y FROM km) WHERE y IS NOT NULL
 UNION ALL SELECT grp, time, 1, round(survival, 6) FROM km""", STUDY, KM))
 def km_step_points(spark, d):
-    return _rounded(sv.km_step_points(sv.kaplan_meier(t.study(spark, d))), "y")
+    return _rounded(sv.km_step_points(sv.placed_curve(t.study(spark, d))), "y")
 
 
 LOGRANK = """
