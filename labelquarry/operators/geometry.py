@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelquarry.functions.numbers import bind
+from labelquarry.operators.runs import outline_spans, run_pixels, visible_runs
 
 # Points after resampling and number of frequency bands.
 RESAMPLE_POINTS = 128
@@ -155,42 +156,12 @@ def polygon_morphometry(df: DataFrame, keep: list[str], points: str = "points")
     })
 
 
-def _fill(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pixels whose centre lies in the polygon (even–odd rule), and the pixels on its outline."""
-    xs, ys = [], []
-    nx, ny = np.roll(x, -1), np.roll(y, -1)
-    for row in range(math.floor(y.min()), math.ceil(y.max()) + 1):
-        crosses = (y <= row) != (ny <= row)
-        at = np.sort(x[crosses] + (row - y[crosses]) * (nx - x)[crosses] / (ny - y)[crosses])
-        for left, right in zip(at[::2], at[1::2]):
-            span = np.arange(math.ceil(left), math.floor(right) + 1)
-            xs.append(span)
-            ys.append(np.full(len(span), row))
-    for x0, y0, x1, y1 in zip(x, y, nx, ny):
-        steps = int(max(abs(x1 - x0), abs(y1 - y0))) + 1
-        xs.append(np.rint(np.linspace(x0, x1, steps + 1)).astype(int))
-        ys.append(np.rint(np.linspace(y0, y1, steps + 1)).astype(int))
-    filled = np.unique(np.stack([np.concatenate(ys), np.concatenate(xs)], axis=1).astype(int), axis=0)
-    return filled[:, 1], filled[:, 0]
-
-
 def rasterize(df: DataFrame, keep: list[str], value: str = "score", order: str = "object_id",
               points: str = "points") -> DataFrame:
     """Sparse pixels (keep…, px, py, value) of filled polygons; where objects overlap the one
     latest in ``order`` wins. Pixels without a row are background."""
-
-    @F.pandas_udf("array<struct<px:int,py:int>>")
-    def fill(column: pd.Series) -> pd.Series:
-        def one(points):
-            xs, ys = _fill(*_coordinates(points))
-            return [{"px": int(a), "py": int(b)} for a, b in zip(xs, ys)]
-
-        return column.map(one, na_action="ignore")
-
-    return (
-        df.select(*keep, value, order, F.inline(fill(F.col(points))))
-        .groupBy(*keep, "px", "py").agg(F.max_by(value, order).alias(value))
-    )
+    seen = visible_runs(outline_spans(df, keep, value, order, points), keep, value, order)
+    return run_pixels(seen).select(*keep, "px", "py", value)
 
 
 def crop(pixels: DataFrame, left: Column, top: Column, width: Column, height: Column) -> DataFrame:

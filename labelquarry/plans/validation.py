@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from labelquarry.operators import geometry, report, spatial
+from labelquarry.operators import report, runs, spatial
 from labelquarry.operators.features import renormalize
 from labelquarry.operators.scoring import Model, Scorer, classify
 from labelquarry.operators.spatial import attach_boundaries
@@ -43,8 +43,11 @@ class Validation:
     def score_map(self, slide: str) -> DataFrame:
         return report.slide_score_map(self.scores(), slide)
 
-    def mask(self, rois: DataFrame, slides: DataFrame, boundaries: DataFrame) -> DataFrame:
-        """Pixels of the scored polygons in each region, in region coordinates."""
+    def mask_runs(self, rois: DataFrame, slides: DataFrame, boundaries: DataFrame, background: float | None = runs.BACKGROUND) -> DataFrame:
+        """The scored polygons of each region as runs of pixels in region coordinates, over a background.
+
+        Objects take part whose centre lies in the padded region; what sticks out is clipped before it is drawn.
+        """
         known = spatial.known_regions(rois, self.objects)
         boxes = spatial.padded_region(known, slides)
         region = ["slide", "start_x", "start_y", "width", "height"]
@@ -52,10 +55,11 @@ class Validation:
         drawn = attach_boundaries(inside, boundaries).where("boundary IS NOT NULL").withColumn(
             "points", polygon_points(F.col("boundary"))
         )
-        pixels = geometry.rasterize(drawn, region)
-        return geometry.crop(
-            pixels, F.col("start_x"), F.col("start_y"), F.col("width"), F.col("height")
-        )
+        return runs.region_masks(drawn, known, region, background=background)
+
+    def mask(self, rois: DataFrame, slides: DataFrame, boundaries: DataFrame, background: float | None = None) -> DataFrame:
+        """Pixels of :meth:`mask_runs`, by default without those of the background."""
+        return runs.run_pixels(self.mask_runs(rois, slides, boundaries, background)).drop("object_id")
 
     def object_labels(self, tile: int = spatial.TILE_SIZE) -> DataFrame:
         """Running object numbers over the tiles of each slide, with scores."""

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from labelquarry.operators import geometry as g
 from labelquarry.operators import pixels as px
+from labelquarry.operators import runs
 from workload import tables as t
 from workload.registry import query
 from workload.tables import PIXELS, VEC, outline_cte, with_ctes
@@ -95,14 +96,76 @@ def polygon_morphometry(spark, d):
     return found.select("object_id", *[F.round(c, 6).alias(c) for c in found.columns if c != "object_id"])
 
 
-@query("raster_pixels")
-def raster_pixels(spark, d):
-    """Pixels of the whole-number outlines around each object's position."""
-    moved = t.outlines(spark, d, whole=True).withColumn(
+# Spans of the outlines around each object's position by scan line, and their pixels, where the last object wins.
+FILLED = """
+sides AS (
+  SELECT *, coalesce(lead(x0) OVER w, first_value(x0) OVER w) AS x1, coalesce(lead(y0) OVER w, first_value(y0) OVER w) AS y1
+  FROM (SELECT pts.slide, object_id, pos, CAST(trunc(pts.x * 4 + vec.x) AS BIGINT) AS x0, CAST(trunc(pts.y * 4 + vec.y) AS BIGINT) AS y0, vec.x / 1000 AS score
+        FROM pts JOIN vec USING (object_id))
+  WINDOW w AS (PARTITION BY object_id ORDER BY pos)),
+scan AS (SELECT object_id, unnest(range(min(y0), max(y0) + 1)) AS y FROM sides GROUP BY object_id),
+met AS (SELECT * FROM scan JOIN sides USING (object_id) WHERE y BETWEEN least(y0, y1) AND greatest(y0, y1)),
+crossings AS (
+  SELECT slide, object_id, score, y, place, lead(place) OVER w AS next, row_number() OVER w AS n
+  FROM (SELECT *, x0 + (y - y0) * (x1 - x0) / CAST(y1 - y0 AS DOUBLE) AS place FROM met WHERE (y0 <= y) <> (y1 <= y))
+  WINDOW w AS (PARTITION BY object_id, y ORDER BY place)),
+half AS (
+  SELECT slide, object_id, score, y,
+         x0 + (least(greatest(y - 0.5::DOUBLE, least(y0, y1)), greatest(y0, y1)) - y0) * (x1 - x0) / CAST(y1 - y0 AS DOUBLE) AS a,
+         x0 + (least(greatest(y + 0.5::DOUBLE, least(y0, y1)), greatest(y0, y1)) - y0) * (x1 - x0) / CAST(y1 - y0 AS DOUBLE) AS b
+  FROM met WHERE y0 <> y1),
+spans AS (
+  SELECT slide, object_id, score, y, CAST(ceil(place) AS BIGINT) AS x0, CAST(floor(next) AS BIGINT) AS x1 FROM crossings WHERE n % 2 = 1
+  UNION ALL SELECT slide, object_id, score, y, least(x0, x1), greatest(x0, x1) FROM met WHERE y0 = y1
+  UNION ALL SELECT slide, object_id, score, y, CAST(floor(least(a, b) + 0.5) AS BIGINT), CAST(floor(greatest(a, b) + 0.5) AS BIGINT) FROM half),
+seen AS (
+  SELECT slide, y, x, max(object_id) AS object_id, arg_max(score, object_id) AS score
+  FROM (SELECT slide, object_id, score, y, unnest(range(x0, x1 + 1)) AS x FROM spans WHERE x0 <= x1) GROUP BY ALL)"""
+AREAS = """
+areas AS (SELECT DISTINCT slide, start_x, 100 AS start_y, 200 AS width, 300 AS height FROM vec, (SELECT unnest([0, 300, 850, 1500]) AS start_x))"""
+
+
+def _runs_sql(source, keys):
+    return f"""
+SELECT {keys}, y, min(x) AS x_from, max(x) AS x_to, object_id, score FROM (
+  SELECT *, sum(fresh) OVER (PARTITION BY {keys}, y ORDER BY x) AS run FROM (
+    SELECT *, CASE WHEN object_id IS DISTINCT FROM lag(object_id) OVER w OR x <> lag(x) OVER w + 1 OR lag(x) OVER w IS NULL OR x % 4096 = 0 THEN 1 ELSE 0 END AS fresh
+    FROM {source} WINDOW w AS (PARTITION BY {keys}, y ORDER BY x)))
+GROUP BY {keys}, y, run, object_id, score"""
+
+
+def _drawn(spark, d):
+    return t.outlines(spark, d, whole=True).withColumn(
         "points",
         F.transform("points", lambda p: F.struct((p["x"] * 4 + F.col("x")).alias("x"), (p["y"] * 4 + F.col("y")).alias("y"))),
     ).withColumn("score", F.col("x") / 1000)
-    return g.rasterize(moved, ["slide"])
+
+
+@query("raster_pixels", with_ctes(
+    "SELECT slide, CAST(x AS INTEGER) AS px, CAST(y AS INTEGER) AS py, score FROM seen", VEC, outline_cte(True), FILLED))
+def raster_pixels(spark, d):
+    """Pixels of the whole-number outlines around each object's position."""
+    return g.rasterize(_drawn(spark, d), ["slide"])
+
+
+@query("outline_runs", with_ctes(_runs_sql("seen", "slide"), VEC, outline_cte(True), FILLED))
+def outline_runs(spark, d):
+    """The same pixels as runs."""
+    return runs.visible_runs(runs.outline_spans(_drawn(spark, d), ["slide"]), ["slide"])
+
+
+@query("region_mask_runs", with_ctes(_runs_sql("masked", "slide, start_x"), VEC, outline_cte(True), FILLED, AREAS, """
+masked AS (
+  SELECT g.slide, start_x, g.x, g.y, object_id, coalesce(score, 7.0) AS score
+  FROM (SELECT *, unnest(range(width)) AS x FROM (SELECT *, unnest(range(height)) AS y FROM areas)) g
+  LEFT JOIN seen s ON s.slide = g.slide AND s.x = g.x + g.start_x AND s.y = g.y + g.start_y)"""))
+def region_mask_runs(spark, d):
+    """Masks of regions with their background, in region coordinates."""
+    drawn = _drawn(spark, d)
+    start = F.explode(F.array(*[F.lit(x) for x in (0, 300, 850, 1500)]))
+    areas = drawn.select("slide").distinct().select("slide", start.alias("start_x"), F.lit(100).alias("start_y"), F.lit(200).alias("width"), F.lit(300).alias("height"))
+    met = drawn.select("slide", "object_id", "score", "points").join(areas, "slide")
+    return runs.region_masks(met, areas, areas.columns).drop("start_y", "width", "height")
 
 
 @query("area_filter", with_ctes("""
