@@ -22,10 +22,6 @@ _FAN = 128  # cuts that a row is compared with at once
 _HASHES = 1 << 30
 
 
-def _is_read(c: str) -> str:
-    return f"`_any_{c}` IS NOT NULL"
-
-
 def reading_all(grouped, df: DataFrame, keys: Sequence[str], *aggregates: Column) -> DataFrame:
     """Aggregates that read every column of ``df``.
 
@@ -34,8 +30,8 @@ def reading_all(grouped, df: DataFrame, keys: Sequence[str], *aggregates: Column
     instead of sharing an exchange.
     """
     others = [c for c in df.columns if c not in keys]
-    out = grouped.agg(*aggregates, *[F.max(c).alias(f"_any_{c}") for c in others])
-    return out.where(" OR ".join(map(_is_read, others))).drop(*[f"_any_{c}" for c in others])
+    out = grouped.agg(*aggregates, F.bit_xor(F.hash(*others)).alias("_read"))
+    return out.where("_read IS NOT NULL").drop("_read")
 
 
 def _located(cuts: Column, value: Column) -> Column:

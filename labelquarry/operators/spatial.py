@@ -1,7 +1,7 @@
 """Viewport, nearest-object, region and tile queries.
 
-Range joins go through grid cells: both sides get cell numbers, cells are joined on equality
-and the exact box test follows.
+Range joins go through cells that are cut where objects crowd: both sides get cells, cells are
+joined on equality and the exact box test follows.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from labelquarry.functions.numbers import sign_class
 from labelquarry.functions.text import position_decimal, position_key
+from labelquarry.operators.quadtree import points_in_boxes
 
 # Search ranges around a click, padding of a region, tile edge (all pixels at 20x).
 NUCLEUS_RANGE = 10
@@ -61,35 +62,26 @@ def find_objects(objects: DataFrame, wanted: DataFrame) -> DataFrame:
     return objects.join(wanted.select("slide", "x", "y").distinct(), ["slide", "x", "y"], "left_semi")
 
 
-def _cells(low: Column, high: Column, size: float) -> Column:
-    return F.explode(F.sequence(F.floor(low / size), F.floor(high / size)))
-
-
 def nearest_object(clicks: DataFrame, objects: DataFrame, reach: float = NUCLEUS_RANGE,
                    click_id: str = "click_id", object_id: str = "object_id") -> DataFrame:
     """The object nearest to each click, within a box of ± ``reach``; clicks without one are left out.
 
     Each distinct click position is answered once. Only objects in cells that a click reaches
-    take part, and those that share a position are reduced to the smallest id, so the candidates of a cell are bounded by the
-    positions in it and not by the number of rows.
+    take part, and those that share a position are reduced to the smallest id; crowded cells are cut
+    (:mod:`labelquarry.operators.quadtree`).
     """
-    cell = 2.0 * reach
     spots = clicks.select("slide", "x", "y").distinct().select(
-        "slide", F.col("x").alias("click_x"), F.col("y").alias("click_y")
-    )
-    spots = spots.withColumn("_cx", _cells(F.col("click_x") - reach, F.col("click_x") + reach, cell))
-    spots = spots.withColumn("_cy", _cells(F.col("click_y") - reach, F.col("click_y") + reach, cell))
-    reached = spots.select("slide", "_cx", "_cy").distinct()
-    places = (
-        objects.select("slide", "x", "y", object_id)
-        .withColumn("_cx", F.floor(F.col("x") / cell)).withColumn("_cy", F.floor(F.col("y") / cell))
-        .join(reached, ["slide", "_cx", "_cy"], "left_semi")
-        .groupBy("slide", "_cx", "_cy", "x", "y").agg(F.min(object_id).alias("_id"))
+        "slide", F.col("x").alias("click_x"), F.col("y").alias("click_y"),
+        (F.col("x") - reach).alias("left"), (F.col("y") - reach).alias("top"), (F.col("x") + reach).alias("right"), (F.col("y") + reach).alias("bottom"),
     )
+
+    def one_per_position(near: DataFrame) -> DataFrame:
+        return near.groupBy("slide", "x", "y").agg(F.min(object_id).alias("_id"))
+
+    pairs = points_in_boxes(spots, objects.select("slide", "x", "y", object_id), reduced=one_per_position)
     dx, dy = F.col("x") - F.col("click_x"), F.col("y") - F.col("click_y")
     near = (
-        spots.join(places, ["slide", "_cx", "_cy"])
-        .where((F.abs(dx) <= reach) & (F.abs(dy) <= reach))
+        pairs.where((F.abs(dx) <= reach) & (F.abs(dy) <= reach))
         .groupBy("slide", "click_x", "click_y")
         .agg(F.min(F.struct((dx * dx + dy * dy).alias("dist"), "_id", "x", "y")).alias("_best"))
         .select(
@@ -125,17 +117,9 @@ def known_regions(rois: DataFrame, objects: DataFrame) -> DataFrame:
 
 
 def roi_objects(rois: DataFrame, objects: DataFrame, cell: float = 512.0) -> DataFrame:
-    """Every (region, object) pair with the object in the closed box left/top/right/bottom."""
-    boxes = rois.withColumn("_cx", _cells(F.col("left"), F.col("right"), cell))
-    boxes = boxes.withColumn("_cy", _cells(F.col("top"), F.col("bottom"), cell))
-    placed = objects.withColumns(
-        {"_cx": F.floor(F.col("x") / cell), "_cy": F.floor(F.col("y") / cell)}
-    )
-    return (
-        boxes.join(placed, ["slide", "_cx", "_cy"])
-        .where(in_box(F.col("x"), F.col("y"), F.col("left"), F.col("top"), F.col("right"), F.col("bottom")))
-        .drop("_cx", "_cy")
-    )
+    """Every (region, object) pair with the object in the closed box left/top/right/bottom. Objects go by cells of this
+    edge, which are cut where they are crowded."""
+    return points_in_boxes(rois, objects, base=cell)
 
 
 def tile_objects(objects: DataFrame, tile: int = TILE_SIZE, closed: bool = False) -> DataFrame:
