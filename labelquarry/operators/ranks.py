@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BUCKET = "_bucket"
-ROWS_PER_BUCKET = 4096  # aimed at, while the table has fewer than MOST_DRAWN / DRAWN_PER_BUCKET times as many rows
+ROWS_PER_BUCKET = 32768  # aimed at, while the table has fewer than MOST_DRAWN / DRAWN_PER_BUCKET times as many rows
 DRAWN_PER_BUCKET = 16
 MOST_DRAWN = 1 << 19  # rows drawn of a table of any size; a sixteenth of them are sent to every task as cuts
 _FAN = 128  # cuts that a row is compared with at once
@@ -162,12 +162,12 @@ def values_at_ranks(
 ) -> DataFrame:
     """The value at given zero-based ranks of each group.
 
-    ``counts`` has one row per (keys, value) with a count ``n``. ``wanted`` turns the group
+    ``counts`` has one row per (keys, value) with a count ``n``, and may be placed. ``wanted`` turns the group
     size into an array of ``struct<label, rank>``. Returns ``keys, value, label, rank,
     tie_rank``, where ``tie_rank`` counts from the first row that shares the value.
     """
     keys = list(keys)
-    binned = _placed(counts.select(*keys, value, "n"), keys, value)
+    binned = _placed(counts.select(*keys, value, "n", *[c for c in counts.columns if c == BUCKET]), keys, value)
     ordered = Window.partitionBy(*keys).orderBy("_bucket")
     per_bucket = (
         _per_bucket(binned, keys, F.sum("n").alias("_in"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelquarry.functions.numbers import hash_number, seeded_key
-from labelquarry.operators.ranks import ranks, values_at_ranks
+from labelquarry.operators.ranks import BUCKET, ranks, values_at_ranks
 
 # Objects per labelling round, and the upper edges of the score bins.
 BATCH_SIZE = 8
@@ -140,7 +140,9 @@ def display_strata(pool: DataFrame, strata: int, groups: int, key: str = "object
         signed.join(asked, ["positive", "score"])
         .withColumn("_h", F.md5(F.col(key).cast("string")))
     )
-    tie_counts = ties.groupBy("positive", "score", "_asked", "_h").agg(F.count(F.lit(1)).alias("n"))
+    # Hashes lie evenly, so their first letters are even buckets.
+    tie_counts = ties.groupBy("positive", "score", "_asked", "_h").agg(F.count(F.lit(1)).alias("n")).withColumn(
+        BUCKET, F.conv(F.substring("_h", 1, 3), 16, 10).cast("long"))
     picks = values_at_ranks(
         tie_counts, ["positive", "score", "_asked"], "_h", lambda n: F.col("_asked"),
     ).select("positive", "score", "_h", "label.stratum", "label.grp")
