@@ -10,9 +10,11 @@ What keeps the shuffles small and even:
 * Equal texts are processed once. A text that occurs twice has only repeated windows.
 * A window can occur twice only if its minimiser occurs twice. So (minimiser, text key) pairs go
   first, 24 bytes each, and only super-k-mers whose minimiser is met again are packed and sent.
-* A minimiser met in more than ``hot`` places would make one large bucket. Its windows are counted
-  instead by a grouping on their 128-bit hashes, which sums before the shuffle and has no large
-  groups. The result is the same.
+* A minimiser whose windows are too many for one bucket is dealt over several by place. Each sorts and
+  counts its windows; one representative of every distinct window goes on, with its place if it is the
+  only one there, to a second level of buckets, whose minimisers are runs as long as the window. There
+  equal windows stand side by side, one of each first bucket. A passage with very many copies is thus
+  counted in parts, a common phrase with very many neighbours is spread by them.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from labelquarry.llm.common import free_name, map_text, store
 
 WINDOW = 35
 M = 8
-HOT = 2000
+HOT = 16_384  # windows in a bucket of the first level
 LONGEST_RUN = 256  # windows in one packed string
 
 
@@ -80,12 +82,12 @@ class Splitter:
         """Minimiser (as signed), first window and number of windows of each super-k-mer."""
         return self.cut(self.minimisers(self.grams(words)))
 
-    def repeated_minimisers(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The distinct minimisers, and whether the words behind each occur twice or more in this text."""
+    def repeated_minimisers(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct minimisers, whether the words behind each occur twice or more in this text, and the number of windows with it."""
         grams = self.grams(words)
         values, count = np.unique(grams, return_counts=True)
-        mini = np.unique(self.minimisers(grams))
-        return mini.view(np.int64), count[np.searchsorted(values, mini)] > 1
+        mini, windows = np.unique(self.minimisers(grams), return_counts=True)
+        return mini.view(np.int64), count[np.searchsorted(values, mini)] > 1, windows
 
     def cut(self, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         at = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
@@ -105,16 +107,16 @@ def with_key(docs: DataFrame, text: str) -> DataFrame:
 
 
 def minimiser_places(keyed: DataFrame, text: str, window: int, m: int) -> DataFrame:
-    """A row (minimiser, text key, whether its words occur twice in the text) for each minimiser of each text. Equal texts met by one task give rows once."""
+    """A row (minimiser, text key, whether its words occur twice in the text, windows with it) for each minimiser of each text. Equal texts met by one task give rows once."""
     source = keyed.select(F.col(f"`{text}`").cast("binary"), "_k1", "_k2")
-    names = ["_mini", "_k1", "_k2", "_twice"]
+    names = ["_mini", "_k1", "_k2", "_twice", "_n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter, seen = Splitter(window, m), set()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 piece = batch.slice(at, 256).to_pydict()
-                minis, k1s, k2s, twice = [], [], [], []
+                minis, k1s, k2s, twice, counts = [], [], [], [], []
                 for raw, k1, k2 in zip(*piece.values(), strict=True):
                     words = raw.split() if raw else ()
                     if len(words) < window or (k1, k2) in seen:
@@ -122,37 +124,36 @@ def minimiser_places(keyed: DataFrame, text: str, window: int, m: int) -> DataFr
                     if len(seen) >= 200_000:
                         seen.clear()
                     seen.add((k1, k2))
-                    mini, again = splitter.repeated_minimisers(words)
+                    mini, again, windows = splitter.repeated_minimisers(words)
                     minis.append(mini)
                     k1s.append(np.full(len(mini), k1))
                     k2s.append(np.full(len(mini), k2))
                     twice.append(again)
+                    counts.append(windows)
                 if minis:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (minis, k1s, k2s, twice)], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (minis, k1s, k2s, twice, counts)], names=names)
 
-    return source.mapInArrow(run, "_mini long, _k1 long, _k2 long, _twice boolean")
+    return source.mapInArrow(run, "_mini long, _k1 long, _k2 long, _twice boolean, _n long")
 
 
 def packed_runs(candidates: DataFrame, window: int, m: int) -> DataFrame:
-    """Super-k-mers of the texts whose minimiser is among the text's ``_cold`` or ``_hot`` ones: those of cold ones packed,
-    those of hot ones as hashes of their windows."""
-    names = ["_mini", "_packed", "_f1", "_f2", "_k1", "_k2", "_at"]
+    """Packed super-k-mers of the texts whose minimiser is among the text's ``_minis``, each with its bucket: the minimiser,
+    the number of parts that it is dealt over, and one of them, by text and place."""
+    names = ["_mini", "_parts", "_part", "_packed", "_k1", "_k2", "_at"]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int32()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter, digest = Splitter(window, m), xxhash.xxh3_128_digest
+        splitter = Splitter(window, m)
         for batch in batches:
             for begin in range(0, batch.num_rows, 64):
                 piece = batch.slice(begin, 64).to_pydict()
                 rows: list[tuple] = []
-                for raw, k1, k2, cold, hot in zip(*piece.values(), strict=True):
-                    words, cold, hot = raw.split(), set(cold), set(hot)
+                for raw, k1, k2, minis in zip(*piece.values(), strict=True):
+                    words, parts = raw.split(), {x["_mini"]: x["_parts"] for x in minis}
                     for mini, at, count in zip(*[x.tolist() for x in splitter.runs(words)], strict=True):
-                        if mini in cold:
-                            rows.append((mini, b" ".join(words[at : at + count + window - 1]), None, None, k1, k2, at))
-                        elif mini in hot:
-                            for i in range(at, at + count):
-                                d = digest(b" ".join(words[i : i + window]))
-                                rows.append((None, None, int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), k1, k2, i))
+                        if dealt := parts.get(mini):
+                            part = xxhash.xxh3_64_intdigest(f"{k1}:{at}") % dealt if dealt > 1 else 0
+                            rows.append((mini, dealt, part, b" ".join(words[at : at + count + window - 1]), k1, k2, at))
                     if len(rows) > 20_000:
                         yield batch_of(rows)
                         rows = []
@@ -160,77 +161,119 @@ def packed_runs(candidates: DataFrame, window: int, m: int) -> DataFrame:
                     yield batch_of(rows)
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.binary(), *[pa.int64()] * 4, pa.int32()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    source = candidates.select(F.col("_text").cast("binary"), "_k1", "_k2", "_cold", "_hot")
-    return source.mapInArrow(run, "_mini long, _packed binary, _f1 long, _f2 long, _k1 long, _k2 long, _at int")
+    source = candidates.select(F.col("_text").cast("binary"), "_k1", "_k2", "_minis")
+    return source.mapInArrow(run, "_mini long, _parts int, _part int, _packed binary, _k1 long, _k2 long, _at int")
 
 
-def repeated_in_buckets(packed: DataFrame, window: int) -> DataFrame:
-    """Ranges of repeated windows, from rows that come sorted by minimiser: a minimiser's windows are sorted and counted."""
-    names = ["_k1", "_k2", "_from", "_to"]
+def windows_of(packed: bytes, window: int) -> list[bytes]:
+    data = np.frombuffer(packed, np.uint8)
+    ends = np.append(np.flatnonzero(data == 32), len(data)).tolist()
+    starts = [0] + [e + 1 for e in ends[:-1]]
+    return [packed[starts[i] : ends[i + window - 1]] for i in range(len(ends) - window + 1)]
+
+
+def counted_in_buckets(packed: DataFrame, window: int) -> DataFrame:
+    """Sorts and counts the windows of each bucket of the first level.
+
+    Rows are ranges of windows (``_from``, ``_to``) that are met again in their bucket, and, where a minimiser is dealt
+    over several buckets, a representative of each distinct window (``_window``) with its place ``_from`` and whether it
+    is ``_alone``.
+    """
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.bool_()]
+    names = ["_k1", "_k2", "_from", "_to", "_window", "_alone"]
 
-    def ranges(group: list[tuple]) -> list[tuple]:
-        if len(group) == 1 and group[0][0].count(b" ") < window:
+    def counted(parts: int, group: list[tuple]) -> list[tuple]:
+        if parts == 1 and len(group) == 1 and group[0][0].count(b" ") < window:
             return []
         windows, places = [], []
         for member, (packed_words, _, _, _) in enumerate(group):
-            data = np.frombuffer(packed_words, np.uint8)
-            ends = np.append(np.flatnonzero(data == 32), len(data)).tolist()
-            starts = [0] + [e + 1 for e in ends[:-1]]
-            for i in range(len(ends) - window + 1):
-                windows.append(packed_words[starts[i] : ends[i + window - 1]])
-                places.append((member, i))
+            cut = windows_of(packed_words, window)
+            windows += cut
+            places += [(member, i) for i in range(len(cut))]
         order = sorted(range(len(windows)), key=windows.__getitem__)
-        again = sorted({places[i] for a, b in zip(order, order[1:], strict=False) if windows[a] == windows[b] for i in (a, b)})
+        again = set()
+        for a, b in zip(order, order[1:], strict=False):
+            if windows[a] == windows[b]:
+                again |= {a, b}
         out: list[list] = []
-        for member, i in again:
+        for member, i in sorted(places[j] for j in again):
             _, k1, k2, at = group[member]
-            if out and out[-1][4] == member and out[-1][3] == at + i:
+            if out and out[-1][6] == member and out[-1][3] == at + i:
                 out[-1][3] = at + i + 1
             else:
-                out.append([k1, k2, at + i, at + i + 1, member])
-        return [tuple(x[:4]) for x in out]
+                out.append([k1, k2, at + i, at + i + 1, None, None, member])
+        rows = [tuple(x[:6]) for x in out]
+        if parts > 1:
+            for n, j in enumerate(order):
+                if n == 0 or windows[order[n - 1]] != windows[j]:
+                    (member, i), (_, k1, k2, at) = places[j], group[places[j][0]]
+                    rows.append((k1, k2, at + i, None, windows[j], j not in again))
+        return rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mini, group, rows = None, [], []
+        bucket, group, rows = None, [], []
         for batch in batches:
-            for one, *member in zip(*batch.to_pydict().values(), strict=True):
-                if one != mini:
-                    rows += ranges(group)
-                    mini, group = one, []
+            for mini, parts, part, *member in zip(*batch.to_pydict().values(), strict=True):
+                if (mini, part) != (bucket and bucket[:2]):
+                    if group:
+                        rows += counted(bucket[2], group)
+                    bucket, group = (mini, part, parts), []
+                    if len(rows) > 10_000:
+                        yield table_of(rows)
+                        rows = []
                 group.append(tuple(member))
-            if len(rows) > 10_000:
-                yield table_of(rows)
-                rows = []
-        rows += ranges(group)
+        if group:
+            rows += counted(bucket[2], group)
         if rows:
             yield table_of(rows)
 
     def table_of(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), [pa.int64()] * 2 + [pa.int32()] * 2, strict=True)], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    ordered = packed.repartition("_mini", "_part").sortWithinPartitions("_mini", "_part")
+    return ordered.mapInArrow(run, "_k1 long, _k2 long, _from int, _to int, _window binary, _alone boolean")
+
+
+def met_in_other_buckets(representatives: DataFrame) -> DataFrame:
+    """Ranges of the windows that are alone in their bucket of the first level but not in all of them.
+
+    Windows come sorted, so a row is compared with the one before and nothing is collected.
+    """
+    names = ["_k1", "_k2", "_from", "_to"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, waiting = None, None  # the window before, and its place while nothing equal has come
+        for batch in batches:
+            rows = []
+            for text, alone, k1, k2, at in zip(*[batch.column(c).to_pylist() for c in ("_window", "_alone", "_k1", "_k2", "_from")], strict=True):
+                place = (k1, k2, at, at + 1) if alone else None
+                if text == last:
+                    rows += [x for x in (waiting, place) if x]
+                    waiting = None
+                else:
+                    last, waiting = text, place
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), [pa.int64()] * 2 + [pa.int32()] * 2, strict=True)], names=names)
 
-    ordered = packed.select("_mini", "_packed", "_k1", "_k2", "_at").repartition("_mini").sortWithinPartitions("_mini")
-    return ordered.mapInArrow(run, "_k1 long, _k2 long, _from int, _to int")
+    keyed = representatives.select(F.xxhash64("_window").alias("_key"), "_window", "_alone", "_k1", "_k2", "_from")
+    return keyed.repartition("_key").sortWithinPartitions("_key", "_window").mapInArrow(run, "_k1 long, _k2 long, _from int, _to int")
 
 
 def repeated_windows(keyed: DataFrame, text: str, window: int, m: int, hot: int) -> tuple[DataFrame, DataFrame]:
     """Candidate texts (key, ``_text``) and, per text key, lists of ranges of windows that start elsewhere too."""
     places = store(minimiser_places(keyed, text, window, m), "minimisers")
-    met = places.groupBy("_mini").agg(F.min("_k1").alias("a"), F.max("_k1").alias("b"), F.max("_twice").alias("twice"), F.count("*").alias("n"))
-    met = store(met.filter("a != b or twice").select("_mini", (F.col("n") > hot).alias("_is_hot")), "met-again")
-    mine = places.join(met, "_mini").groupBy("_k1", "_k2").agg(
-        F.collect_set(F.when(~F.col("_is_hot"), F.col("_mini"))).alias("_cold"), F.collect_set(F.when(F.col("_is_hot"), F.col("_mini"))).alias("_hot"),
-    )
+    met = places.groupBy("_mini").agg(F.min("_k1").alias("a"), F.max("_k1").alias("b"), F.max("_twice").alias("twice"), F.sum("_n").alias("n"))
+    parts = F.ceil(F.col("n") / max(hot, 1)).cast("int")
+    met = store(met.filter("a != b or twice").select("_mini", parts.alias("_parts")), "met-again")
+    mine = places.join(met, "_mini").groupBy("_k1", "_k2").agg(F.collect_set(F.struct("_mini", "_parts")).alias("_minis"))
     texts = keyed.groupBy("_k1", "_k2").agg(F.first(f"`{text}`").alias("_text"))
     candidates = store(texts.join(mine, ["_k1", "_k2"]), "candidates")
-    runs = store(packed_runs(candidates, window, m), "super-k-mers")
-    cold = repeated_in_buckets(runs.filter("_mini is not null"), window)
-    hashed = runs.filter("_mini is null")
-    again = store(hashed.groupBy("_f1", "_f2").agg(F.count("*").alias("n")).filter("n > 1").select("_f1", "_f2"), "repeated-windows")
-    warm = hashed.join(again, ["_f1", "_f2"]).select("_k1", "_k2", F.col("_at").alias("_from"), (F.col("_at") + 1).alias("_to"))
-    ranges = cold.unionByName(warm).groupBy("_k1", "_k2").agg(F.collect_list(F.struct("_from", "_to")).alias("_ranges"))
+    counted = store(counted_in_buckets(store(packed_runs(candidates, window, m), "super-k-mers"), window), "windows")
+    first = counted.filter("_window is null").select("_k1", "_k2", "_from", "_to")
+    second = met_in_other_buckets(counted.filter("_window is not null"))
+    ranges = first.unionByName(second).groupBy("_k1", "_k2").agg(F.collect_list(F.struct("_from", "_to")).alias("_ranges"))
     return candidates.select("_k1", "_k2", "_text"), ranges
 
 
@@ -240,7 +283,7 @@ def drop_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW, m: i
     Returns the rows of ``docs`` with ``n_words``, ``n_removed`` and ``kept_sha256`` (of the words that stay, one blank
     between). ``text`` loses the words (texts that lose none stay as they are; null stays null); with ``texts=False`` the
     column is left out, which saves a shuffle of the texts. Words are runs of bytes other than ASCII blanks; null has none.
-    A row is never dropped, and every row counts as a place: equal rows repeat each other, and null or repeated ids need
+    ``hot`` is the number of windows from which a minimiser's bucket is dealt over several. A row is never dropped, and every row counts as a place: equal rows repeat each other, and null or repeated ids need
     no care. Other columns of ``docs`` with the names of results are replaced.
     """
     held = free_name(docs, "_held")
