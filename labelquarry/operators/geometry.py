@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from labelquarry.functions.numbers import bind
 from labelquarry.operators.runs import outline_spans, run_pixels, visible_runs
@@ -16,6 +19,9 @@ from labelquarry.operators.runs import outline_spans, run_pixels, visible_runs
 RESAMPLE_POINTS = 128
 FREQUENCY_BANDS = 6
 
+_TOGETHER = 1 << 20  # coordinates that are worked on together
+_ARROW = {"integer": pa.int32(), "double": pa.float64()}
+
 
 def drop_repeats(points: Column) -> Column:
     """Of consecutive equal points the last one stays."""
@@ -69,39 +75,67 @@ def duplicate_vertices(df: DataFrame, keep: list[str], points: str = "points") -
     return shared.select(*keep, F.explode("_at").alias("pos"), "x", "y", "times")
 
 
-def _coordinates(points) -> tuple[np.ndarray, np.ndarray]:
-    return (np.array([p["x"] for p in points], dtype=float), np.array([p["y"] for p in points], dtype=float))
+def _ragged(df: DataFrame, keep: list[str], points: str, fields: str,
+            work: Callable[[np.ndarray, np.ndarray], dict[str, np.ndarray]], rows_each: int) -> DataFrame:
+    """Runs numpy over whole batches of outlines.
+
+    A batch is one flat array of coordinates with offsets. Outlines of equal length make a matrix each, so Python loops
+    over lengths, not over rows. ``work`` turns the matrices of x and y into matrices with ``rows_each`` columns, which
+    become the output rows of each outline, in order. Null and empty outlines give none.
+    """
+    kinds = T._parse_datatype_string(fields)
+    schema = T.StructType([*[df.schema[k] for k in keep], *kinds])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            outlines = batch.column(0)
+            lengths = pc.fill_null(pc.list_value_length(outlines), 0).to_numpy(zero_copy_only=False)
+            flat = outlines.flatten()
+            x, y = (pc.cast(pc.struct_field(flat, c), pa.float64()).to_numpy(zero_copy_only=False) for c in ("x", "y"))
+            starts = np.cumsum(lengths) - lengths
+            results = {f.name: np.empty((len(lengths), rows_each)) for f in kinds}
+            for n in np.unique(lengths[lengths > 0]):
+                rows = np.flatnonzero(lengths == n)
+                for some in np.array_split(rows, -(-len(rows) * n // _TOGETHER)):
+                    at = starts[some][:, None] + np.arange(n)
+                    for name, values in work(x[at], y[at]).items():
+                        results[name][some] = values
+            full = np.flatnonzero(lengths > 0)
+            again = pa.array(np.repeat(full, rows_each))
+            made = [pa.array(results[f.name][full].ravel()).cast(_ARROW[f.dataType.typeName()]) for f in kinds]
+            yield pa.RecordBatch.from_arrays([*[batch.column(i).take(again) for i in range(1, batch.num_columns)], *made], names=schema.names)
+
+    return df.select(points, *keep).mapInArrow(run, schema)
 
 
 def _resample(x: np.ndarray, y: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
-    """steps + 1 points at equal distances along an open polyline."""
-    lengths = np.hypot(np.diff(x), np.diff(y))
-    total = lengths.sum()
-    if len(x) < 2 or total == 0:
-        return np.full(steps + 1, x[0]), np.full(steps + 1, y[0])
-    ends = np.concatenate([[0.0], np.cumsum(lengths / total)])
+    """steps + 1 points at equal distances along each of the open polylines, one per row."""
+    lengths = np.hypot(np.diff(x, axis=1), np.diff(y, axis=1))
+    total = lengths.sum(axis=1, keepdims=True)
+    moves = total[:, 0] > 0
+    if x.shape[1] < 2:
+        return np.repeat(x, steps + 1, axis=1), np.repeat(y, steps + 1, axis=1)
+    share = np.divide(lengths, total, out=np.zeros_like(lengths), where=total > 0)
+    ends = np.concatenate([np.zeros_like(total), np.cumsum(share, axis=1)], axis=1)
     places = np.arange(steps + 1) / steps
-    segment = np.clip(np.searchsorted(ends, places, side="right") - 1, 0, len(x) - 2)
-    share = lengths[segment] / total
-    along = np.where(share > 0, (places - ends[segment]) / np.where(share > 0, share, 1.0), 0.0)
-    return (x[segment] + (x[segment + 1] - x[segment]) * along, y[segment] + (y[segment + 1] - y[segment]) * along)
+    segment = np.empty((len(x), steps + 1), np.intp)
+    for k, place in enumerate(places):
+        segment[:, k] = np.count_nonzero(ends <= place, axis=1) - 1
+    segment = np.clip(segment, 0, x.shape[1] - 2)
+    pick = lambda a, i: np.take_along_axis(a, i, axis=1)
+    part = pick(share, segment)
+    along = np.divide(places - pick(ends, segment), part, out=np.zeros_like(part), where=part > 0)
+    between = lambda a: np.where(moves[:, None], pick(a, segment) + (pick(a, segment + 1) - pick(a, segment)) * along, a[:, :1])
+    return between(x), between(y)
 
 
 def arc_length_resample(df: DataFrame, steps: int, keep: list[str], points: str = "points") -> DataFrame:
-    """Rows (keep…, k, x, y) with k = 0 … steps."""
-
-    @F.pandas_udf("array<struct<x:double,y:double>>")
-    def resample(column: pd.Series) -> pd.Series:
-        def one(points):
-            rx, ry = _resample(*_coordinates(points), steps)
-            return [{"x": a, "y": b} for a, b in zip(rx, ry)]
+    """Rows (keep…, k, x, y) with k = 0 … steps. Null and empty outlines have none."""
+    def work(x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        rx, ry = _resample(x, y, steps)
+        return {"k": np.broadcast_to(np.arange(steps + 1), rx.shape), "x": rx, "y": ry}
 
-        return column.map(one, na_action="ignore")
-
-    return (
-        df.select(*keep, F.posexplode(resample(F.col(points))))
-        .select(*keep, F.col("pos").alias("k"), F.col("col.x").alias("x"), F.col("col.y").alias("y"))
-    )
+    return _ragged(df, keep, points, "k int, x double, y double", work, steps + 1)
 
 
 def band_edges(points: int = RESAMPLE_POINTS, bands: int = FREQUENCY_BANDS) -> list[int]:
@@ -113,24 +147,19 @@ def band_edges(points: int = RESAMPLE_POINTS, bands: int = FREQUENCY_BANDS) -> l
 def fourier_descriptors(df: DataFrame, keep: list[str], points: str = "points",
                         count: int = RESAMPLE_POINTS, bands: int = FREQUENCY_BANDS) -> DataFrame:
     """Columns fsd1 … : spectral energy of the tangent angle along the outline, in bands that
-    share their limits, as a share of the whole."""
+    share their limits, as a share of the whole. Null and empty outlines have no row."""
     edges = band_edges(count, bands)
 
-    @F.pandas_udf("array<double>")
-    def describe(column: pd.Series) -> pd.Series:
-        angles = np.empty((len(column), count))
-        for i, outline in enumerate(column):
-            rx, ry = _resample(*_coordinates(outline), count)
-            angles[i] = np.arctan2(np.diff(ry), np.diff(rx))
+    def describe(x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        rx, ry = _resample(x, y, count)
+        angles = np.arctan2(np.diff(ry, axis=1), np.diff(rx, axis=1))
         angles -= angles[:, :1]
         energy = np.abs(np.fft.fft(angles, axis=1)) ** 2
         whole = energy.sum(axis=1, keepdims=True)
         energy = np.divide(energy, whole, out=np.full_like(energy, np.nan), where=whole > 0)
-        sums = [energy[:, low - 1 : high].sum(axis=1) for low, high in zip(edges, edges[1:])]
-        return pd.Series(list(np.stack(sums, axis=1)))
+        return {f"fsd{i + 1}": energy[:, low - 1 : high].sum(axis=1, keepdims=True) for i, (low, high) in enumerate(zip(edges, edges[1:]))}
 
-    described = df.withColumn("_fsd", describe(F.col(points)))
-    return described.select(*keep, *[F.get("_fsd", i).alias(f"fsd{i + 1}") for i in range(bands)])
+    return _ragged(df, keep, points, ", ".join(f"fsd{i + 1} double" for i in range(bands)), describe, 1)
 
 
 def polygon_morphometry(df: DataFrame, keep: list[str], points: str = "points") -> DataFrame:

@@ -6,12 +6,13 @@ joined on equality and the exact box test follows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelquarry.functions.numbers import sign_class
 from labelquarry.functions.text import position_decimal, position_key
 from labelquarry.operators.quadtree import points_in_boxes
+from labelquarry.operators.ranks import running_totals
 
 # Search ranges around a click, padding of a region, tile edge (all pixels at 20x).
 NUCLEUS_RANGE = 10
@@ -149,13 +150,28 @@ def boundary_by_id(wanted: DataFrame, boundaries: DataFrame) -> DataFrame:
     return wanted.join(boundaries.select("slide", "id", "boundary"), ["slide", "id"], "left")
 
 
+def drawn_object_labels(objects: DataFrame, boundaries: DataFrame, tile: int = TILE_SIZE, key: str = "object_id") -> DataFrame:
+    """Objects with a boundary at their position, once for each closed tile that holds them, numbered per slide from 1
+    without gaps (``object_label``): by columns of tiles, then tiles, then id. Objects without a boundary have no number.
+
+    Rows are placed by (tile, id) among all rows of their slide with :mod:`labelquarry.operators.ranks`, so a crowded tile
+    or slide is spread over buckets. Several boundaries at a position count once; equal ids in a tile are numbered in any
+    order. Rows with a null slide, position or id are left out.
+    """
+    known = boundaries.select("slide", "centroid_x", "centroid_y").distinct()
+    drawn = with_position_keys(objects.where(F.col(key).isNotNull())).join(known, ["slide", "centroid_x", "centroid_y"], "left_semi").select(*objects.columns)
+    rows = tile_objects(drawn, tile, closed=True).withColumn("_order", F.struct("tile_x", "tile_y", key))
+    counts = rows.groupBy("slide", "_order").agg(F.count(F.lit(1)).alias("_n"))
+    numbers = running_totals(counts, ["slide"], "_order", {"_upto": "_n"})
+    among_equals = F.row_number().over(Window.partitionBy("slide", "_order").orderBy(key))
+    return rows.join(numbers, ["slide", "_order"]).withColumn("object_label", F.col("_upto") - F.col("_n") + among_equals).drop("_order", "_upto", "_n")
+
+
 def object_labels_by_tile(objects: DataFrame, tile: int = TILE_SIZE, key: str = "object_id") -> DataFrame:
     """Objects of each slide numbered from 1 in tile order (columns of tiles, then id).
 
     Tile counts place each tile; only the objects of one tile region are ordered together.
     """
-    from pyspark.sql import Window
-
     placed = tile_objects(objects, tile)
     # A tile may be crowded, so it is split further by the position inside it.
     part = (F.pmod(F.floor("x"), F.lit(tile)) / F.lit(max(1, tile // 64))).cast("int")

@@ -61,6 +61,9 @@ class Validation:
         """Pixels of :meth:`mask_runs`, by default without those of the background."""
         return runs.run_pixels(self.mask_runs(rois, slides, boundaries, background)).drop("object_id")
 
-    def object_labels(self, tile: int = spatial.TILE_SIZE) -> DataFrame:
-        """Running object numbers over the tiles of each slide, with scores."""
+    def object_labels(self, tile: int = spatial.TILE_SIZE, boundaries: DataFrame | None = None) -> DataFrame:
+        """Running object numbers over the tiles of each slide, with scores; with ``boundaries``, of the objects that have
+        one, for each closed tile that they lie in."""
+        if boundaries is not None:
+            return spatial.drawn_object_labels(self.scores(), boundaries, tile)
         return spatial.object_labels_by_tile(self.scores(), tile)

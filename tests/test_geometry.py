@@ -86,3 +86,38 @@ def test_polygon_text_round_trip(spark):
     df = spark.createDataFrame([("1.5,2.0;3.0,4.5;",)], "t string").withColumn("p", polygon_points(F.col("t"), ";"))
     assert df.select(F.size("p")).first()[0] == 2
     assert df.select(polygon_text(F.col("p"))).first()[0] == "1.5,2.0;3.0,4.5;"
+
+
+def one_resampled(points, steps):
+    x, y = np.array([p[0] for p in points]), np.array([p[1] for p in points])
+    lengths = np.hypot(np.diff(x), np.diff(y))
+    total = lengths.sum()
+    if len(x) < 2 or total == 0:
+        return [(x[0], y[0])] * (steps + 1)
+    ends = np.concatenate([[0.0], np.cumsum(lengths / total)])
+    out = []
+    for place in np.arange(steps + 1) / steps:
+        i = min(max(np.searchsorted(ends, place, side="right") - 1, 0), len(x) - 2)
+        along = (place - ends[i]) / (lengths[i] / total) if lengths[i] else 0.0
+        out.append((x[i] + (x[i + 1] - x[i]) * along, y[i] + (y[i + 1] - y[i]) * along))
+    return out
+
+
+def test_outlines_of_all_lengths_in_one_batch(spark):
+    rng = np.random.default_rng(9)
+    outlines = [[(float(a), float(b)) for a, b in np.round(rng.normal(size=(n, 2)), 1)] for n in [1, 2, 3, 7, 7, 7, 40, 2, 300]]
+    outlines += [[(1.0, 2.0)] * 5, [(0.0, 0.0), (0.0, 0.0), (3.0, 4.0), (3.0, 4.0)], [], None]
+    schema = "id int, tag string, points array<struct<x:double,y:double>>"
+    df = spark.createDataFrame([(i, f"t{i}", p) for i, p in enumerate(outlines)], schema).coalesce(1)
+    got = {}
+    for r in g.arc_length_resample(df, 16, ["id", "tag"]).collect():
+        got.setdefault((r["id"], r["tag"]), {})[r["k"]] = (r["x"], r["y"])
+    assert set(got) == {(i, f"t{i}") for i, p in enumerate(outlines) if p}
+    for (i, _), rows in got.items():
+        assert np.allclose([rows[k] for k in range(17)], one_resampled(outlines[i], 16), atol=1e-12)
+    shapes = g.fourier_descriptors(df, ["id"]).collect()
+    assert [r["id"] for r in shapes] == [i for i, p in enumerate(outlines) if p]
+    angles = [np.arctan2(b[1] - a[1], b[0] - a[0]) for a, b in zip(one_resampled(outlines[8], 128), one_resampled(outlines[8], 128)[1:])]
+    energy = np.abs(np.fft.fft(np.array(angles) - angles[0])) ** 2
+    assert shapes[8]["fsd1"] == pytest.approx(energy[0:2].sum() / energy.sum())
+    assert g.arc_length_resample(df.limit(0), 4, ["id"]).count() == 0

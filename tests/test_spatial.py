@@ -87,3 +87,21 @@ def test_boundary_join_rounds_to_one_decimal(spark):
         "slide", "id", "boundary", F.col("cx").cast("decimal(10,1)").alias("centroid_x"), F.col("cy").cast("decimal(10,1)").alias("centroid_y"))
     got = {r["object_id"]: r["boundary_id"] for r in sp.attach_boundaries(samples, outlines).collect()}
     assert got == {1: 7, 2: None}
+
+
+def test_drawn_labels_have_no_gaps(spark):
+    rng = random.Random(2)
+    objects = [("a", i, float(rng.choice([0, 20, 40, rng.randint(0, 60)])), float(rng.choice([20, rng.randint(0, 60)]))) for i in range(200)]
+    objects += [("b", 7, 20.0, 20.0), ("b", 8, 1.0, 1.0), ("b", 8, 1.0, 1.0), (None, 9, 1.0, 1.0), ("a", None, 1.0, 1.0)]
+    o = spark.createDataFrame(objects, "slide string, object_id int, x double, y double")
+    held = [(s, x, y) for s, i, x, y in objects if s and (s == "b" or i is not None and i % 4)]
+    b = spark.createDataFrame(held + held[:5], "slide string, centroid_x double, centroid_y double").selectExpr(
+        "slide", "cast(centroid_x as decimal(10,1)) as centroid_x", "cast(centroid_y as decimal(10,1)) as centroid_y")
+    got = {}
+    for r in sp.drawn_object_labels(o, b, 20).collect():
+        got.setdefault(r["slide"], []).append((r["object_label"], r["tile_x"], r["tile_y"], r["object_id"]))
+    for slide in "ab":
+        positions = set(held)
+        tiles = lambda v: [int(v // 20) - 1, int(v // 20)] if v % 20 == 0 and v > 0 else [int(v // 20)]
+        want = sorted((tx, ty, i) for s, i, x, y in objects if s == slide and i is not None and (s, x, y) in positions for tx in tiles(x) for ty in tiles(y))
+        assert sorted(got[slide]) == [(n, *w) for n, w in enumerate(want, 1)]

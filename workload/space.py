@@ -135,6 +135,17 @@ def label_export(spark, d):
     return sp.object_labels_by_tile(t.objects(spark, d), 400).select("slide", "object_id", "x", "y", "score", "object_label")
 
 
+@query("drawn_labels", with_ctes("""
+SELECT slide, object_id, x, y, score, tile_x, tile_y, row_number() OVER (PARTITION BY slide ORDER BY tile_x, tile_y, object_id) AS object_label
+FROM (SELECT *, CAST(unnest(CASE WHEN y % 400 = 0 AND y > 0 THEN [floor(y / 400) - 1, floor(y / 400)] ELSE [floor(y / 400)] END) AS INTEGER) AS tile_y
+      FROM (SELECT *, CAST(unnest(CASE WHEN x % 400 = 0 AND x > 0 THEN [floor(x / 400) - 1, floor(x / 400)] ELSE [floor(x / 400)] END) AS INTEGER) AS tile_x
+            FROM obj o WHERE EXISTS (SELECT 1 FROM boundaries bd WHERE bd.slide = o.slide AND bd.cx = o.x AND bd.cy = o.y AND (bd.cx + bd.cy) % 3 > 0)))""", OBJ, BOUNDARIES))
+def drawn_labels(spark, d):
+    """Numbers of the objects that have a boundary, over closed tiles."""
+    return sp.drawn_object_labels(t.objects(spark, d), t.boundaries(spark, d).where("(centroid_x + centroid_y) % 3 > 0"), 400).select(
+        "slide", "object_id", "x", "y", "score", "tile_x", "tile_y", "object_label")
+
+
 @query("samples_with_boundary", with_ctes("""
 SELECT object_id, l.slide, label, bd.id AS boundary_id, bd.boundary
 FROM labeled l LEFT JOIN boundaries bd ON bd.slide = l.slide AND bd.cx = l.x AND bd.cy = l.y""", OBJ, LABELED, BOUNDARIES))
