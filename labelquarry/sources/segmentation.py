@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelquarry.functions.text import polygon_points, slide_from_directory
@@ -14,25 +14,38 @@ def parse_segmentation(lines: DataFrame, column: str = "value", with_magnificati
 
     Header lines (a first coordinate that is no number) are left out.
     """
-    lead = 5 if with_magnification else 3
     parts = lines.select(*keep, F.split(F.col(column), "\t").alias("_p"))
-    number = lambda i: F.get("_p", i).try_cast("double")
+    named = parts.where(_number(1).isNotNull() & (F.size("_p") > _lead(with_magnification)))
+    return named.select(*keep, *_columns(with_magnification))
+
+
+def _lead(with_magnification: bool) -> int:
+    """Fields before the features."""
+    return 5 if with_magnification else 3
+
+
+def _number(i: int) -> Column:
+    return F.get("_p", i).try_cast("double")
+
+
+def _columns(with_magnification: bool) -> list[Column]:
+    """The columns of a line split into ``_p``; null where there is no field or no number."""
+    lead = _lead(with_magnification)
     magnification = (
-        [number(3).alias("scan_mag"), number(4).alias("analysis_mag")]
+        [_number(3).alias("scan_mag"), _number(4).alias("analysis_mag")]
         if with_magnification
         else [F.lit(None).cast("double").alias("scan_mag"), F.lit(None).cast("double").alias("analysis_mag")]
     )
-    return parts.where(number(1).isNotNull() & (F.size("_p") > lead)).select(
-        *keep,
+    return [
         F.trim(F.get("_p", 0)).alias("slide"),
-        number(1).alias("x"),
-        number(2).alias("y"),
+        _number(1).alias("x"),
+        _number(2).alias("y"),
         *magnification,
         F.transform(
-            F.slice("_p", F.lit(lead + 1), F.size("_p") - (lead + 1)), lambda f: _to_double(f)
+            F.slice("_p", F.lit(lead + 1), F.greatest(F.size("_p") - (lead + 1), F.lit(0))), lambda f: _to_double(f)
         ).alias("features"),
         polygon_points(F.element_at("_p", -1), ";").alias("boundary"),
-    )
+    ]
 
 
 def _to_double(text):

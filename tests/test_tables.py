@@ -8,6 +8,7 @@ from labelquarry.operators import pixels as px
 from labelquarry.operators import report, scoring
 from labelquarry.plans.validation import Validation
 from labelquarry.sinks import tables as sink
+from labelquarry.sources.quarantine import REASONS, check_segmentation, quarantine
 from labelquarry.sources import segmentation, tables
 
 
@@ -216,3 +217,24 @@ def test_texture_of_two_levels(spark):
     row = px.object_texture(df).first()
     assert row["entropy"] == pytest.approx(0.8112781) and row["energy"] == pytest.approx(0.625)
     assert row["skewness"] == pytest.approx(1.1547005) and row["kurtosis"] == pytest.approx(2.3333333)
+
+
+def test_quarantine_gives_a_reason(spark, tmp_path):
+    good = "S1\t1.5\t2.0\t20.0\t20.0\t0.1\t0.2\t1.0,1.0;2.0,1.0;"
+    cases = {
+        good: None, good.replace("0.2", "nan"): "feature", good.replace("0.2", "-nan"): "feature", good.replace("0.2", "inf"): "feature", good.replace("0.2", "x"): "feature",
+        good.replace("1.5", "nan"): "coordinate", good.replace("2.0\t", "1,5\t"): "coordinate", good.replace("20.0\t20.0", "\t20.0"): "magnification",
+        good.replace("0.2\t", ""): "length", good.replace("1.0,1.0", "1.0"): "vertex", good.replace("1.0,1.0", "nan,1.0"): "vertex",
+        good.replace("1.0,1.0;2.0,1.0;", ""): "vertex", "S1\t1.5": "fields", "7": "fields", good.replace("S1", " "): "slide",
+        "Slide\tX\tY\tScan\tAnalysis\tf1\tBoundaries": "header", "": "header", None: "header",
+    }
+    lines = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "id int, value string")
+    rows, rejected, counts = quarantine(check_segmentation(lines, dims=2, keep=("id",)), str(tmp_path / "q"))
+    want = {i: r for i, r in enumerate(cases.values()) if r != "header"}
+    assert {r["id"]: r["reason"] for r in rejected.collect()} == {i: r for i, r in want.items() if r}
+    assert [(r["id"], r["slide"], r["x"], r["features"]) for r in rows.collect()] == [(0, "S1", 1.5, [0.1, 0.2])]
+    assert {r["line"] for r in rejected.collect()} == {c for c, r in cases.items() if r not in (None, "header")}
+    assert counts["rows"] == len(want) and counts["good"] == 1 and counts["feature"] == 4
+    assert counts["good"] + sum(counts[r] for r in REASONS) == counts["rows"]
+    rows, rejected, counts = quarantine(check_segmentation(lines.limit(0)), str(tmp_path / "none"))
+    assert rows.count() == rejected.count() == 0 and set(counts.values()) == {0}

@@ -6,7 +6,9 @@ from labelquarry.functions.numbers import unzscore
 from labelquarry.functions.text import compact_polygon, polygon_points, polygon_text
 from labelquarry.operators import features as f
 from labelquarry.operators.ranks import single_row
+from labelquarry.session import scratch_path
 from labelquarry.sinks.tables import boundary_lines, segmentation_lines
+from labelquarry.sources.quarantine import check_segmentation, quarantine
 from labelquarry.sources.segmentation import parse_segmentation
 from labelquarry.sources.tables import decode_label_batch, json_columns_to_rows, with_schema
 from labelquarry.schemas import LABELED as LABELED_SCHEMA
@@ -73,6 +75,50 @@ def ingest_rejects(spark, d):
     return f.ingest_rejects(parse_segmentation(_raw_lines(spark, d)), ["slide"])
 
 
+# Every eleventh line is spoilt in one of six ways, or is a header.
+SPOILT = """
+spoilt AS (
+  SELECT *, object_id % 11 AS way FROM vec)"""
+
+
+def _spoilt_lines(spark, d):
+    field = lambda n, text: F.concat_ws("\t", F.transform("_f", lambda f, i: F.when(i == n, F.lit(text)).otherwise(f)))
+    way = F.col("object_id") % 11
+    lines = _raw_lines(spark, d).withColumn("_f", F.split("value", "\t"))
+    last = F.size("_f") - 1
+    value = (
+        F.when(way == 0, field(1, "12,5")).when(way == 1, field(2, "-nan")).when(way == 2, F.concat_ws("\t", F.slice("_f", 1, 4)))
+        .when(way == 3, field(3, "")).when(way == 4, F.concat_ws("\t", F.filter("_f", lambda f, i: i != 7))).when(way == 5, field(last, "1.0,2.0;3.0;"))
+        .when(way == 6, F.lit("Slide\tX\tY\tScan\tAnalysis\tf1\tBoundaries")).otherwise(F.col("value"))
+    )
+    return lines.select("object_id", value.alias("value"))
+
+
+@query("quarantined_rows", with_ctes("""
+SELECT object_id, CASE way WHEN 0 THEN 'coordinate' WHEN 1 THEN 'coordinate' WHEN 2 THEN 'fields' WHEN 3 THEN 'magnification' WHEN 4 THEN 'length'
+       ELSE CASE WHEN slide IN ('S8', 'S9') THEN 'feature' WHEN way = 5 THEN 'vertex' END END AS reason
+FROM spoilt WHERE way < 6 AND way <> 6 OR way > 6 AND slide IN ('S8', 'S9')""", VEC, SPOILT))
+def quarantined_rows(spark, d):
+    """Rejected lines and why, read back from the quarantine."""
+    checked = check_segmentation(_spoilt_lines(spark, d), dims=65, keep=("object_id",))
+    _, rejected, _ = quarantine(checked, scratch_path(spark, "quarantine"))
+    return rejected.select("object_id", "reason")
+
+
+@query("quarantine_counts", with_ctes("""
+SELECT what, CAST(n AS BIGINT) AS n FROM (
+  SELECT count(*) FILTER (way <> 6) AS rows, count(*) FILTER (way > 6 AND slide NOT IN ('S8', 'S9')) AS good, count(*) FILTER (way IN (0, 1)) AS coordinate,
+         count(*) FILTER (way = 2) AS fields, count(*) FILTER (way = 3) AS magnification, count(*) FILTER (way = 4) AS length,
+         count(*) FILTER (way IN (5, 7, 8, 9, 10) AND slide IN ('S8', 'S9')) AS feature, count(*) FILTER (way = 5 AND slide NOT IN ('S8', 'S9')) AS vertex,
+         count(*) FILTER (false) AS slide
+  FROM spoilt) UNPIVOT (n FOR what IN (rows, good, coordinate, fields, magnification, length, feature, vertex, slide))""", VEC, SPOILT))
+def quarantine_counts(spark, d):
+    """What was counted while the rows were split."""
+    checked = check_segmentation(_spoilt_lines(spark, d), dims=65, keep=("object_id",))
+    _, _, counts = quarantine(checked, scratch_path(spark, "quarantine"))
+    return spark.createDataFrame(sorted(counts.items()), "what string, n long")
+
+
 @query("scale_coordinates", with_ctes("""
 SELECT object_id, x * m AS x, y * m AS y, (SELECT sum(p.y) FROM pts p WHERE p.object_id = v.object_id) * m AS vertex_y_sum
 FROM (SELECT *, CASE WHEN object_id % 2 = 0 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS m FROM vec) v""", VEC, outline_cte(True)))
