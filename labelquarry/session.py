@@ -50,3 +50,25 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that nothing else uses."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _place(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder of any file system that Spark reads; none if there is no such folder."""
+    place, files = _place(spark, path)
+    return [f.getPath().getName() for f in files.listStatus(place)] if files.exists(place) else []
+
+
+def remove_tree(spark: SparkSession, path: str) -> None:
+    place, files = _place(spark, path)
+    files.delete(place, True)
+
+
+def complete_versions(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the tables ``v=<number>`` in a folder whose write has ended, ascending."""
+    names = [n for n in children(spark, folder) if "_SUCCESS" in children(spark, f"{folder}/{n}")]
+    return sorted(int(n.removeprefix("v=")) for n in names)

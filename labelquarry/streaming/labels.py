@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from labelquarry.operators.labels import latest_labels
+from labelquarry.session import children, complete_versions, remove_tree
 
 # Minutes without a request after which a session ends; the iteration sent with
 # hand-picked corrections.
@@ -156,8 +157,7 @@ class LabelTable:
         return f"{self.root}/data/v={version}/{self.BUCKET}={bucket}"
 
     def versions(self, spark: SparkSession) -> list[int]:
-        names = [n for n in _children(spark, f"{self.root}/manifests") if "_SUCCESS" in _children(spark, f"{self.root}/manifests/{n}")]
-        return sorted(int(n.removeprefix("v=")) for n in names)
+        return complete_versions(spark, f"{self.root}/manifests")
 
     def _manifest(self, spark: SparkSession, version: int) -> dict[int, int]:
         rows = spark.read.schema("bucket int, version long, buckets int").parquet(f"{self.root}/manifests/v={version}").collect()
@@ -191,18 +191,18 @@ class LabelTable:
         """Removes manifests but the last ones, and buckets that those don't name."""
         kept = self.versions(spark)[-self.keep :]
         named = {pair for v in kept for pair in self._manifest(spark, v).items()}
-        for name in _children(spark, f"{self.root}/manifests"):
+        for name in children(spark, f"{self.root}/manifests"):
             if int(name.removeprefix("v=")) < kept[0]:
-                _remove(spark, f"{self.root}/manifests/{name}")
-        for name in _children(spark, f"{self.root}/data"):
+                remove_tree(spark, f"{self.root}/manifests/{name}")
+        for name in children(spark, f"{self.root}/data"):
             version = int(name.removeprefix("v="))
-            folders = [n for n in _children(spark, f"{self.root}/data/{name}") if n.startswith(self.BUCKET)]
+            folders = [n for n in children(spark, f"{self.root}/data/{name}") if n.startswith(self.BUCKET)]
             gone = [n for n in folders if (int(n.partition("=")[2]), version) not in named]
             if version < kept[0] and len(gone) == len(folders):
-                _remove(spark, f"{self.root}/data/{name}")
+                remove_tree(spark, f"{self.root}/data/{name}")
             else:
                 for n in gone:
-                    _remove(spark, f"{self.root}/data/{name}/{n}")
+                    remove_tree(spark, f"{self.root}/data/{name}/{n}")
 
     def read(self, spark: SparkSession, version: int | None = None) -> DataFrame:
         """The labels as of a batch (by default the last)."""
@@ -215,21 +215,6 @@ class LabelTable:
         ).start()
 
 
-def _files(spark: SparkSession, path: str):
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
-def _children(spark: SparkSession, path: str) -> list[str]:
-    place, files = _files(spark, path)
-    return [f.getPath().getName() for f in files.listStatus(place)] if files.exists(place) else []
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    place, files = _files(spark, path)
-    files.delete(place, True)
-
-
 def write_log(messages: DataFrame, path: str, checkpoint: str):
     """Append a stream of request and error messages to a table."""
     return messages.writeStream.format("parquet").option("path", path).option(

@@ -8,6 +8,7 @@ from labelquarry.operators import pixels as px
 from labelquarry.operators import report, scoring
 from labelquarry.plans.validation import Validation
 from labelquarry.sinks import tables as sink
+from labelquarry.sinks.catalog import CatalogTables, save_picker_session, save_training_session
 from labelquarry.sources.quarantine import REASONS, check_segmentation, quarantine
 from labelquarry.sources import segmentation, tables
 
@@ -238,3 +239,24 @@ def test_quarantine_gives_a_reason(spark, tmp_path):
     assert counts["good"] + sum(counts[r] for r in REASONS) == counts["rows"]
     rows, rejected, counts = quarantine(check_segmentation(lines.limit(0)), str(tmp_path / "none"))
     assert rows.count() == rejected.count() == 0 and set(counts.values()) == {0}
+
+
+def test_a_session_is_saved_as_a_whole(spark, tmp_path):
+    tables = CatalogTables(spark, str(tmp_path / "catalog"))
+    assert tables.version() == 0 and tables.read("classes").count() == 0
+    samples = spark.createDataFrame([(5, 1, 0), (6, -1, 0), (7, 0, 1), (8, 1, -2)], "id long, label int, iteration int")
+    assert save_training_session(tables, "first", 3, 2, " ", "tumour", "stroma", samples) == 1
+    assert save_picker_session(tables, "check", 3, "p.h5", "a", "b") == 1
+    broken = samples.withColumn("iteration", F.when(F.col("id") == 8, F.raise_error(F.lit("lost"))).cast("int"))
+    with pytest.raises(Exception, match="lost"):
+        save_training_session(tables, "second", 3, 2, "f.h5", "x", "y", broken)
+    # Nothing of the failed one is seen, and its ids are free.
+    assert tables.version() == 2 and [r["name"] for r in tables.read("training_sets").collect()] == ["first"] and tables.read("classes").count() == 2
+    assert save_training_session(tables, "second", 3, 2, "f.h5", "x", "y", samples.where("id < 7")) == 2
+    sets = {r["id"]: (r["name"], r["filename"]) for r in tables.read("training_sets").collect()}
+    assert sets == {1: ("first", "lost filename"), 2: ("second", "f.h5")}
+    classes = {r["id"]: (r["name"], r["training_set_id"], r["color"], r["label"]) for r in tables.read("classes").collect()}
+    assert classes == {1: ("tumour", 1, "green", 1), 2: ("stroma", 1, "red", -1), 3: ("x", 2, "green", 1), 4: ("y", 2, "red", -1)}
+    objs = {(r["training_set_id"], r["cell_id"]): (r["class_id"], r["iteration"]) for r in tables.read("training_objs").collect()}
+    assert objs == {(1, "5"): (1, 0), (1, "6"): (2, 0), (1, "7"): (2, 1), (1, "8"): (1, -2), (2, "5"): (3, 0), (2, "6"): (4, 0)}
+    assert tables.read("training_sets", 2).count() == 1 and tables.read("test_sets").first()["filename"] == "p.h5"

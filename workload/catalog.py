@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from labelquarry.operators import catalog as c
+from labelquarry.session import scratch_path
+from labelquarry.sinks.catalog import CatalogTables, save_picker_session, save_training_session
 from labelquarry.sources.tables import lookup
 from workload import tables as t
 from workload.registry import query
@@ -69,6 +71,22 @@ def trainset_class_counts(spark, d):
     return c.trainset_class_counts(t.training_objs(spark, d), t.training_sets(spark, d), t.classes(spark, d))
 
 
+@query("saved_sessions", with_ctes("""
+SELECT training_set, CASE WHEN label = sign THEN 'tumour' ELSE 'stroma' END AS class, count(*) AS n, CAST(3 AS BIGINT) AS version
+FROM labeled, (VALUES ('first', 1), ('second', -1)) v(training_set, sign) GROUP BY 1, 2
+UNION ALL SELECT 'check', 'tumour/stroma', 1, 3""", OBJ, LABELED))
+def saved_sessions(spark, d):
+    """Two training sessions and a picker session saved in the catalog; objects by set and class, read back."""
+    tables = CatalogTables(spark, scratch_path(spark, "catalog"))
+    for name, sign in (("first", 1), ("second", -1)):
+        samples = t.labeled(spark, d).select(F.col("object_id").alias("id"), (F.col("label") * sign).alias("label"), F.lit(0).alias("iteration"))
+        save_training_session(tables, name, 1, 1, "f.h5", "tumour", "stroma", samples)
+    save_picker_session(tables, "check", 1, "p.h5", "tumour", "stroma")
+    counts = c.trainset_class_counts(tables.read("training_objs"), tables.read("training_sets"), tables.read("classes"))
+    tests = tables.read("test_sets").groupBy(F.col("name").alias("training_set"), F.concat("pos_name", F.lit("/"), "neg_name").alias("class")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.unionByName(tests).withColumn("version", F.lit(tables.version()).cast("long"))
+
+
 @query("training_set_list", with_ctes("SELECT id, name FROM training_sets ORDER BY name", TRAINING_SETS))
 def training_set_list(spark, d):
     return c.order_table(t.training_sets(spark, d), "name").select("id", "name")
