@@ -1,7 +1,8 @@
 """Cox proportional hazards with Efron's handling of ties.
 
-Each Newton step is one Spark job: sums per event time, running sums from the last time back,
-and one row of derivatives per model. Only that row — D and D×D numbers — reaches the driver.
+Each Newton step is one Spark job: sums per event time, running sums from the last time back, ties
+folded inside their row, and one row of derivatives per model. Only that row — D and D×D numbers —
+reaches the driver.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelquarry.functions.numbers import two_digit_scientific
-from labelquarry.operators.ranks import running_totals
+from labelquarry.operators.ranks import BUCKET, cuts_of, place_by, running_totals
 from labelquarry.operators.survival import melt, standardize_covariates, survival_clean
 
 # Fixed value: half-width of the 95 % limits in standard errors.
@@ -43,7 +44,7 @@ def _derivatives(data: DataFrame, keys: list[str], width: int, linear: Column) -
     weighted.update({f"w{i}": xs[i] for i in range(width)})
     weighted.update({f"w{i}_{j}": xs[i] * xs[j] for i, j in _pairs(width)})
     event = F.col("event").cast("double")
-    at_time = data.withColumns({"_theta": theta, "_eta": linear}).groupBy(*keys, "time").agg(
+    at_time = data.withColumns({"_theta": theta, "_eta": linear}).groupBy(*keys, *[c for c in data.columns if c == BUCKET], "time").agg(
         F.sum(F.col("event").cast("long")).alias("d"),
         F.sum(event * F.col("_eta")).alias("eta"),
         *[F.sum(event * xs[i]).alias(f"e{i}") for i in range(width)],
@@ -51,26 +52,60 @@ def _derivatives(data: DataFrame, keys: list[str], width: int, linear: Column) -
         *[F.sum(event * F.col("_theta") * v).alias(f"t_{k}") for k, v in weighted.items()],
     )
     # Running sums from the latest time back give the sums over the risk set.
-    backward = running_totals(
-        at_time.withColumn("_back", -F.col("time")), keys, "_back", {f"s_{k}": f"r_{k}" for k in weighted}
+    backward = running_totals(at_time, keys, "time", {f"s_{k}": f"r_{k}" for k in weighted}, falling=True)
+    tied = backward.where("d > 0").withColumn("_from", F.explode(F.sequence(F.lit(0), F.col("d") - 1, F.lit(TIE_CHUNK))))
+    sums = tied.withColumn("_f", _tie_sums(F.col("s_w"), F.col("t_w"), F.col("d"), F.col("_from"))).withColumn("_once", (F.col("_from") == 0).cast("double"))
+    f, s, t = (lambda k: F.col(f"_f.{k}")), (lambda k: F.col(f"s_{k}")), (lambda k: F.col(f"t_{k}"))
+    mean = lambda k: s(k) * f("a0") - t(k) * f("a1")
+    product = lambda i, j: s(i) * s(j) * f("b0") - (s(i) * t(j) + s(j) * t(i)) * f("b1") + t(i) * t(j) * f("b2")
+    once = F.col("_once")
+    return sums.groupBy(*keys).agg(
+        F.sum(once * F.col("eta") - f("log")).alias("ll"),
+        *[F.sum(once * F.col(f"e{i}") - mean(f"w{i}")).alias(f"g{i}") for i in range(width)],
+        *[F.sum(mean(f"w{i}_{j}") - product(f"w{i}", f"w{j}")).alias(f"h{i}_{j}") for i, j in _pairs(width)],
     )
-    # Efron: the l-th of d tied events sees the risk set less l/d of the tied subjects. Ties are
-    # unrolled in chunks, so a time with very many events is spread over tasks.
-    chunks = backward.where("d > 0").withColumn(
-        "_chunk", F.explode(F.sequence(F.lit(0), F.col("d") - 1, F.lit(TIE_CHUNK)))
-    ).repartition(*keys, "time", "_chunk")
-    unrolled = chunks.withColumn(
-        "_l", F.explode(F.sequence(F.col("_chunk"), F.least(F.col("_chunk") + TIE_CHUNK, F.col("d")) - 1))
-    )
-    fraction = F.col("_l") / F.col("d")
-    risk = {k: F.col(f"s_{k}") - fraction * F.col(f"t_{k}") for k in weighted}
-    once = (F.col("_l") == 0).cast("double")
-    mean = [risk[f"w{i}"] / risk["w"] for i in range(width)]
-    return unrolled.groupBy(*keys).agg(
-        F.sum(once * F.col("eta") - F.log(risk["w"])).alias("ll"),
-        *[F.sum(once * F.col(f"e{i}") - mean[i]).alias(f"g{i}") for i in range(width)],
-        *[F.sum(risk[f"w{i}_{j}"] / risk["w"] - mean[i] * mean[j]).alias(f"h{i}_{j}") for i, j in _pairs(width)],
+
+
+def _tie_sums(whole: Column, tied: Column, d: Column, start: Column) -> Column:
+    """Efron's sums over tied events, folded inside the row.
+
+    The l-th of d tied events sees the risk set W = whole − f · tied with f = l / d. What the derivatives need of it are
+    Σ ln W, Σ 1/W, Σ f/W, Σ 1/W², Σ f/W² and Σ f²/W², however many covariates there are. A row folds at most
+    ``TIE_CHUNK`` events from ``start``; more ties make more rows in the same task.
+    """
+    names = ("log", "a0", "a1", "b0", "b1", "b2")
+    zero = F.struct(*[F.lit(0.0).alias(n) for n in names])
+
+    def add(total: Column, l: Column) -> Column:  # noqa: E741
+        f = l / d
+        w = whole - f * tied
+        more = dict(zip(names, (F.log(w), 1 / w, f / w, 1 / (w * w), f / (w * w), f * f / (w * w)), strict=True))
+        return F.struct(*[(total[n] + more[n]).alias(n) for n in names])
+
+    return F.aggregate(F.sequence(start, F.least(start + TIE_CHUNK, d) - 1), zero, add)
+
+
+def _placed_times(data: DataFrame, keys: list[str]) -> DataFrame:
+    """Times keep their buckets over all steps of a fit."""
+    times = data.groupBy(*keys, "time").agg(F.count(F.lit(1)).alias("n"))
+    return place_by(data, cuts_of(times, keys, "time"), keys, "time")
+
+
+def cox_derivatives(df: DataFrame, covariates: list[str], beta: list[float]) -> DataFrame:
+    """One row: log-likelihood ``ll``, gradient ``g<i>`` and information ``h<i>_<j>`` at given coefficients."""
+    clean = survival_clean(df, ["time", "event", *covariates])
+    data = clean.select(
+        F.col("time").cast("double").alias("time"), F.col("event").cast("int").alias("event"),
+        *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(covariates)],
     )
+    return _derivatives(data, [], len(covariates), _linear(beta))
+
+
+def _linear(beta) -> Column:
+    total = F.lit(0.0)
+    for i, b in enumerate(beta):
+        total = total + F.col(f"x{i}") * float(b)
+    return total
 
 
 def fit_cox(df: DataFrame, covariates: list[str], flip_event: bool = False, standardize: bool = False,
@@ -83,7 +118,8 @@ def fit_cox(df: DataFrame, covariates: list[str], flip_event: bool = False, stan
     data = clean.select(
         F.col("time").cast("double").alias("time"), event.cast("int").alias("event"),
         *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(covariates)],
-    ).persist()
+    )
+    data = _placed_times(data, []).persist()
     try:
         return _newton(data, covariates, max_steps, tolerance)
     finally:
@@ -94,10 +130,7 @@ def _newton(data: DataFrame, names: list[str], max_steps: int, tolerance: float)
     width = len(names)
     beta, previous, step = np.zeros(width), -math.inf, np.zeros(width)
     for count in range(1, max_steps + 1):
-        linear = F.lit(0.0)
-        for i in range(width):
-            linear = linear + F.col(f"x{i}") * float(beta[i])
-        row = _derivatives(data, [], width, linear).first()
+        row = _derivatives(data, [], width, _linear(beta)).first()
         value = row["ll"]
         if not math.isfinite(value) or value < previous - 1e-12 * abs(previous):
             step = step / 2.0
@@ -123,7 +156,7 @@ def fit_cox_univariate(df: DataFrame, covariates: list[str], flip_event: bool =
         clean = standardize_covariates(clean, covariates)
     event = 1 - F.col("event") if flip_event else F.col("event")
     wide = clean.withColumns({"time": F.col("time").cast("double"), "event": event.cast("int")})
-    data = melt(wide, ["time", "event"], covariates).withColumnRenamed("value", "x0").persist()
+    data = _placed_times(melt(wide, ["time", "event"], covariates).withColumnRenamed("value", "x0"), ["variable"]).persist()
     beta = {c: 0.0 for c in covariates}
     step = {c: 0.0 for c in covariates}
     best = {c: -math.inf for c in covariates}
@@ -139,7 +172,7 @@ def fit_cox_univariate(df: DataFrame, covariates: list[str], flip_event: bool =
             # The linear term is a column of its own: written into the aggregates, the chain of
             # conditions makes code that does not compile, and Spark falls back to slow paths.
             part = data.select(
-                "variable", "time", "event", "x0", (F.col("x0") * coefficient).alias("linear")
+                "variable", BUCKET, "time", "event", "x0", (F.col("x0") * coefficient).alias("linear")
             ).where(F.col("variable").isin(open_models))
             for row in _derivatives(part, ["variable"], 1, F.col("linear")).collect():  # one row per model
                 c, value = row["variable"], row["ll"]

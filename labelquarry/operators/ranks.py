@@ -41,7 +41,7 @@ def _located(cuts: Column, value: Column) -> Column:
     return F.aggregate(steps, F.lit(0), lambda pos, step: pos + F.when(at(pos, step) <= value, step).otherwise(F.lit(0)))
 
 
-def _cuts(df: DataFrame, keys: list[str], order: str, rows_per_bucket: int) -> DataFrame:
+def cuts_of(df: DataFrame, keys: Sequence[str], order: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Per group the ascending cuts in two levels: ``_coarse``, and ``_fine`` with the cuts between two coarse ones."""
     total = reading_all(df.groupBy(), df, [], F.count(F.lit(1)).alias("_total")).select("_total").scalar()
     share = F.least(F.lit(DRAWN_PER_BUCKET / rows_per_bucket), F.lit(float(MOST_DRAWN)) / total)
@@ -64,8 +64,12 @@ def place(df: DataFrame, keys: Sequence[str], order: str, rows_per_bucket: int =
     probability below 1e-6. A group too small to have cuts has one bucket. Values may be numbers, times or texts; null
     comes first and NaN last, as in Spark's order.
     """
+    return place_by(df, cuts_of(df, keys, order, rows_per_bucket), keys, order)
+
+
+def place_by(df: DataFrame, cuts: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """As :func:`place`, by cuts of another table with the same groups and values; here several rows may share a value."""
     keys = list(keys)
-    cuts = _cuts(df, keys, order, rows_per_bucket)
     if keys:
         placed = df.join(F.broadcast(cuts), keys, "left")  # at most MOST_DRAWN / DRAWN_PER_BUCKET values in all
     else:

@@ -129,3 +129,23 @@ def test_risk_split(spark):
     df = spark.createDataFrame([(float(i),) for i in range(5)], "a double")
     split = sv.risk_index_split(df, {"a": math.e})
     assert split.agg(F.sum("high_risk")).first()[0] == 3
+
+
+def test_ties_are_folded_without_a_shuffle(spark):
+    """A time with more ties than one row folds, against the sums written out."""
+    rng = np.random.default_rng(3)
+    time, event, x = rng.integers(0, 4, 12_000).astype(float), rng.integers(0, 2, 12_000), rng.normal(size=12_000)
+    time[:9000], event[:9000] = 2.0, 1
+    df = spark.createDataFrame([(float(a), int(b), float(c)) for a, b, c in zip(time, event, x)], "time double, event int, x double")
+    row = cox.cox_derivatives(df, ["x"], [0.3]).first()
+    theta, want = np.exp(0.3 * x), np.zeros(3)
+    for at in np.unique(time):
+        risk, dead = time >= at, (time == at) & (event == 1)
+        d = dead.sum()
+        f = np.arange(d) / d
+        w = [(theta * x**p)[risk].sum() - f * (theta * x**p)[dead].sum() for p in range(3)]
+        want += [0.3 * x[dead].sum() - np.log(w[0]).sum(), x[dead].sum() - (w[1] / w[0]).sum(), (w[2] / w[0] - (w[1] / w[0]) ** 2).sum()]
+    assert [row["ll"], row["g0"], row["h0_0"]] == pytest.approx(want.tolist(), rel=1e-9)
+    data = cox._placed_times(df.select("time", "event", F.col("x").alias("x0")), [])
+    plan = cox._derivatives(data, [], 1, F.col("x0") * 0.3)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 2  # by bucket, for totals and rows: one shared exchange

@@ -162,6 +162,29 @@ def risk_index_logrank(spark, d):
     return _rounded(test.withColumn("observed", F.col("observed").cast("long")), "expected", "variance", "chi2")
 
 
+@query("cox_derivatives", with_ctes("""
+SELECT round(sum(once * eta - ln(w)), 3) AS ll, round(sum(once * e0 - w0 / w), 3) AS g0, round(sum(once * e1 - w1 / w), 3) AS g1,
+       round(sum(w00 / w - (w0 / w) * (w0 / w)), 3) AS h0_0, round(sum(w01 / w - (w0 / w) * (w1 / w)), 3) AS h0_1, round(sum(w11 / w - (w1 / w) * (w1 / w)), 3) AS h1_1
+FROM (SELECT CASE WHEN l = 0 THEN 1 ELSE 0 END AS once, eta, e0, e1, s - l / d * t AS w, s0 - l / d * t0 AS w0, s1 - l / d * t1 AS w1,
+             s00 - l / d * t00 AS w00, s01 - l / d * t01 AS w01, s11 - l / d * t11 AS w11
+      FROM (SELECT *, unnest(range(CAST(d AS BIGINT))) AS l FROM at_risk WHERE d > 0))""", STUDY, """
+terms AS (SELECT time, CAST(event AS DOUBLE) AS event, quantity / 10 AS a, discount * 10 AS b, 0.05 * (quantity / 10) - 0.2 * (discount * 10) AS eta FROM study),
+per_time AS (
+  SELECT time, sum(event) AS d, sum(event * eta) AS eta, sum(event * a) AS e0, sum(event * b) AS e1,
+         sum(exp(eta)) AS r, sum(exp(eta) * a) AS r0, sum(exp(eta) * b) AS r1, sum(exp(eta) * a * a) AS r00, sum(exp(eta) * a * b) AS r01, sum(exp(eta) * b * b) AS r11,
+         sum(event * exp(eta)) AS t, sum(event * exp(eta) * a) AS t0, sum(event * exp(eta) * b) AS t1, sum(event * exp(eta) * a * a) AS t00,
+         sum(event * exp(eta) * a * b) AS t01, sum(event * exp(eta) * b * b) AS t11
+  FROM terms GROUP BY time),
+at_risk AS (
+  SELECT *, sum(r) OVER w AS s, sum(r0) OVER w AS s0, sum(r1) OVER w AS s1, sum(r00) OVER w AS s00, sum(r01) OVER w AS s01, sum(r11) OVER w AS s11
+  FROM per_time WINDOW w AS (ORDER BY time ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))"""))
+def cox_derivatives(spark, d):
+    """Log-likelihood, gradient and information of two covariates at fixed coefficients."""
+    rows = t.study(spark, d).select("time", "event", (F.col("quantity") / 10).alias("a"), (F.col("discount") * 10).alias("b"))
+    out = cox.cox_derivatives(rows, ["a", "b"], [0.05, -0.2])
+    return out.select(*[F.round(c, 3).alias(c) for c in out.columns])
+
+
 @query("cox_table_join", with_ctes("""
 SELECT variable, u.n AS n, m.n AS multi_n FROM (SELECT o_orderpriority AS variable, count(*) AS n FROM orders GROUP BY 1) u
 FULL OUTER JOIN (SELECT CASE WHEN grp = '1-URGENT' THEN 'other' ELSE grp END AS variable, count(*) AS n FROM study GROUP BY 1) m USING (variable)""", STUDY))
