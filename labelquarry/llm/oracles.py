@@ -129,3 +129,79 @@ select doc_id, cast(n as bigint) as n, form,
   sha256(case form when 'plain' then text else p || m || s end) as restored_sha256
 from part
 """
+
+
+def _disclosure() -> str:
+    """The plain patterns and counts of every (entity, term) pair, without filters or digests."""
+    patterns = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+        "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    }
+    digits = "regexp_replace(value, '[^0-9]', '', 'g')"
+    luhn = (
+        f"list_sum(list_transform(range(1, len({digits}) + 1), lambda i: CASE WHEN (len({digits}) - i) % 2 = 0 THEN cast({digits}[i] as int) "
+        f"ELSE 2 * cast({digits}[i] as int) - CASE WHEN cast({digits}[i] as int) > 4 THEN 9 ELSE 0 END END)) % 10 = 0"
+    )
+    valid = {
+        "email": "true", "ip": "list_max(list_transform(string_split(value, '.'), lambda p: cast(p as hugeint))) <= 255",
+        "card": f"len({digits}) between 14 and 19 and {luhn}", "phone": f"len({digits}) between 10 and 15",
+    }
+
+    def matches(source: str, pattern: str) -> str:
+        return f"""
+  select r, gap, value, cast(sum(len(gap) + len(value)) over (partition by r order by i) as bigint) - len(value) as start
+  from (select r, i, gaps[i] as gap, found[i] as value from (
+    select r, gaps, found, unnest(range(1, len(found) + 1)) as i from (
+      select r, regexp_split_to_array(text, '{pattern}') as gaps, regexp_extract_all(text, '{pattern}') as found from {source})))"""
+
+    kinds = " union all ".join(
+        f"select r, '{k}' as kind, {rank} as rank, value, start, start + len(value) as stop from ({matches('d', p)}) where {valid[k]}"
+        for rank, (k, p) in enumerate(patterns.items()))
+    word = r"[\p{L}\p{N}]+"
+
+    def terms(column: str) -> str:
+        w = f"list_distinct(list_transform(regexp_extract_all({column}, '{word}'), lambda w: lower(w)))"
+        return f"list_distinct(list_concat({w}, list_transform({w}, lambda w: w[1:2] || '*')))"
+
+    line = "kind || ':' || start || ':' || stop"
+    return rf"""
+with d as materialized (
+  select row_number() over () as r, doc_id, coalesce(text, '') as text from documents
+), base as materialized ({kinds}
+), mention as (
+  select r, text, kind || ':' || CASE WHEN kind in ('card', 'phone') THEN {digits} ELSE lower(value) END as entity,
+    CASE WHEN start > 200 THEN regexp_replace(substring(text, start - 199, 200), '^{word}', '') ELSE substring(text, 1, start) END || ' ' ||
+    CASE WHEN stop + 200 < len(text) THEN regexp_replace(substring(text, stop + 1, 200), '{word}$', '') ELSE substring(text, stop + 1) END as near
+  from base join d using (r)
+), entity as (
+  select entity, count(distinct r) as n_entity from mention group by entity having count(distinct text) >= 2
+), pair as (
+  select entity, n_entity, term, count(distinct r) as n_both
+  from (select r, text, entity, n_entity, unnest({terms('near')}) as term from mention join entity using (entity))
+  group by entity, n_entity, term having count(distinct text) >= 2
+), met as (
+  select term, count(*) as n_term from (select unnest({terms('text')}) as term from d) group by term
+), strength as (
+  select term, max(CASE WHEN n_entity < total THEN 1 + ln(n_both / n_term) / ln(total / n_entity) ELSE 0 END) as disclosure
+  from pair join met using (term), (select count(*) as total from d) group by term
+), flagged as (
+  select term from strength where disclosure >= 0.95 and not contains(term, '*')
+), place as (
+  select r, 'term' as kind, 4 as rank, start, start + len(value) as stop from ({matches('d', word)}) join flagged on lower(value) = term
+), span as (
+  select r, kind, rank, start, stop from base
+  union all
+  select * from place p where not exists (select 1 from base b where b.r = p.r and b.start < p.stop and p.start < b.stop)
+), told as (
+  select r, count(*) filter (kind = 'email') as n_email, count(*) filter (kind = 'ip') as n_ip, count(*) filter (kind = 'card') as n_card,
+    count(*) filter (kind = 'phone') as n_phone, string_agg({line}, ',' order by start, rank) filter (rank < 4) as base_line,
+    string_agg({line}, ',' order by start, rank) as spans
+  from span group by r
+)
+select doc_id, coalesce(n_email, 0) as n_email, coalesce(n_ip, 0) as n_ip, coalesce(n_card, 0) as n_card, coalesce(n_phone, 0) as n_phone,
+  sha256(coalesce(base_line, '')) as base_sha256, coalesce(spans, '') as spans
+from d left join told using (r)
+"""
+
+
+DISCLOSURE = _disclosure()

@@ -120,7 +120,7 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seekable_fim.fill_in_middle(framed).select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
 
 
-@query("op11_disclosure")
+@query("op11_disclosure", oracles.DISCLOSURE)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = disclosure.find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return disclosure.summary(found).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
