@@ -25,7 +25,7 @@ SPELLINGS = [
     ("sublicence", "sublicense"), ("https", "http"),
 ]
 
-# Texts of short public licences. Longer ones come from a table of the caller.
+# Texts of short public licences. Of longer ones the digests are below, others come from a table of the caller.
 LICENSES = {
     "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
@@ -75,26 +75,48 @@ HEADINGS = {
     "Zlib": ["zlib License", "The zlib License", "zlib/libpng License", "The zlib/libpng License"],
 }
 
+# Digests of the canonical forms of whole public licences, made by digests() from the copies that Debian
+# ships in /usr/share/common-licenses.
+DIGESTS: dict[str, str] = {
+    "Apache-2.0": "95f35d79ea3bab75c250549d6a03cef242e0547d78c99e26fcede49936fb0184",
+    "Artistic-1.0-Perl": "08f1dc258c8f9e175155356aa1dd0dead8cfdec586bc1bb4c8b1452699a91702",
+    "BSD-3-Clause-University": "21ce5e311a0ef74591e636cf6d0a236029bcaa0ee86324ac68d5748657aa8651",
+    "CC0-1.0": "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f",
+    "GFDL-1.2": "94541e73869af10ab6bd68a29575eede324e54e7d5237e7386d12444f593af60",
+    "GFDL-1.3": "a92fdbaeafedd9cbeb812ebbded06ee07e3b1427c81cfc333e682109c594d826",
+    "GPL-1.0": "ec8a6b7d70e9f225b63d3962ed5b4721373f5535d7b967a06722b0d621f6892a",
+    "GPL-2.0": "331b500eb3c5ee796906547305df82fff4a35b3aa03c1d3ea84d32078292b2e6",
+    "GPL-3.0": "eaab5d82fdcca441d83a1913bbf07e4de3a739e190578c0bffde24f84e93bb2a",
+    "LGPL-2.0": "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908",
+    "LGPL-2.1": "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891",
+    "LGPL-3.0": "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be",
+    "MPL-1.1": "cbbde7eeab9b4d180dc00b34252f800e97fb1cddbab38ed8c0c73b956dc2cbf6",
+    "MPL-2.0": "f82071285728ca3ec7685ee9bc4acdae0b8267142a4d20b8f1805eabedb4a98a",
+}
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_COPYRIGHT = r"\n[^a-z0-9\n]*(copyright|\(c\)|\x{a9}|all rights reserved)[^\n]*"
 # A notice names a sign, a year or a holder. These words after "copyright" do not begin a holder's name.
 _NO_HOLDER = (
     "notices?|holders?|owners?|ownership|laws?|licen[cs]es?|licen[cs]ing|statements?|permissions?|interests?|infringements?|protections?|treaty|treaties|doctrines?|rights?|act|acts|"
     "claims?|status|works?|material|materials|management|disclaimers?|date|dates|year|years|line|lines|header|headers|file|files|information|policy|term|terms|"
     "and|or|in|on|to|is|are|was|as|of|for|from|under|over|that|which|with|within|without|if|it|its|this|these|those|but|nor|not|may|can|shall|will|must|does|do|has|have|at|than|when|where|any|all|such|the"
 )
+# Words that end a holder's name with an article, as in "the … authors".
+_HOLDERS = "authors?|contributors?|developers?|maintainers?|team|project|foundation|committers?"
 _NOTICE = (
-    r"\n[^a-z0-9\n]*((copyright|\(c\)|\x{a9})[^a-z0-9\n]*(\(c\)|\x{a9}|[0-9]{4}|copyright\b)|\x{a9}|\(c\)[^\n]*\b(19|20)[0-9]{2}\b"
-    r"|copyright[ \t:]+(by[ \t]+)?(?!(" + _NO_HOLDER + r")(?![a-z0-9]))[a-z0-9\x{80}-\x{10ffff}]|all rights reserved)[^\n]*"
+    r"\n[^a-z0-9\n]*((portions[ \t]+)?((copyright|\(c\)|\x{a9})[^a-z0-9\n]*(\(c\)|\x{a9}|[0-9]{4}|copyright\b)|\x{a9}|\(c\)[^\n]*\b(19|20)[0-9]{2}\b"
+    r"|copyright[ \t:]+(by[ \t]+)?(?!(" + _NO_HOLDER + r")(?![a-z0-9]))[a-z0-9\x{80}-\x{10ffff}]"
+    r"|copyright[ \t:]+(by[ \t]+)?the[ \t][^\n]*\b(" + _HOLDERS + r")[^a-z0-9\n]*(?=\n|\z))|all rights reserved|spdx-license-identifier:)[^\n]*"
 )
 _MARKS = r"[\x00-\x2f\x3a-\x60\x7b-\x7f\x{a0}\x{a9}\x{2010}-\x{2015}\x{2018}-\x{201f}\x{2026}]+"
 
 
-def canonical_sql(text: str, raw: str = "r", everywhere: str = "", notice: str = _NOTICE) -> str:
+def canonical_sql(text: str, raw: str = "r", everywhere: str = "", without_notices: str | None = None) -> str:
     """The canonical form as a SQL expression. ``raw``: what comes before literals with backslashes; ``everywhere``: a last
-    argument that makes regexp_replace replace all places. Spark needs the former only, DuckDB the latter. ``notice``: pattern of removed lines."""
+    argument that makes regexp_replace replace all places. Spark needs the former only, DuckDB the latter.
+    ``without_notices``: another expression for the lowered text without notices, after a line feed."""
     lowered = f"translate(coalesce({text}, ''), '{_UPPER}', '{_LOWER}')"
-    unmarked = f"regexp_replace(concat(chr(10), {lowered}), {raw}'{notice}', ''{everywhere})"
+    unmarked = without_notices or f"regexp_replace(concat(chr(10), {lowered}), {raw}'{_NOTICE}', ''{everywhere})"
     form = f"concat('  ', replace(regexp_replace({unmarked}, {raw}'{_MARKS}', ' '{everywhere}), ' ', '  '), '  ')"
     for one, other in SPELLINGS:
         form = f"replace({form}, ' {one} ', ' {other} ')"
@@ -107,13 +129,15 @@ def digests(df: DataFrame, text: str, out: str) -> DataFrame:
 
 
 def known_licenses(spark: SparkSession, more: DataFrame | None = None) -> DataFrame:
-    """(digest, license_id), with and without headings; ``more`` adds rows (license_id, text). Of licences with equal forms the smallest id counts; texts without words are left out."""
+    """(digest, license_id) of the texts of :data:`LICENSES`, with and without headings, and of :data:`DIGESTS`; ``more`` adds rows (license_id, text). Of licences with equal forms the smallest id counts; texts without words are left out."""
     headed = [(name, f"{line}\n\n{LICENSES[name]}") for name, lines in HEADINGS.items() for line in lines]
     rows = spark.createDataFrame(sorted(LICENSES.items()) + headed, "license_id string, text string")
     if more is not None:
         rows = rows.unionByName(more.select("license_id", "text"))
     empty = F.sha2(F.lit(""), 256)
-    return digests(rows, "text", "digest").filter(F.col("digest") != empty).groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    whole = spark.createDataFrame([(d, name) for name, d in sorted(DIGESTS.items())], "digest string, license_id string")
+    made = digests(rows, "text", "digest").select("digest", "license_id").unionByName(whole)
+    return made.filter(F.col("digest") != empty).groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
 def find_licenses(docs: DataFrame, known: DataFrame, text: str = "text") -> DataFrame:
@@ -132,10 +156,24 @@ def find_licenses(docs: DataFrame, known: DataFrame, text: str = "text") -> Data
 
 
 def duckdb_sql() -> str:
-    form = canonical_sql("text", "", ", 'g'", _COPYRIGHT)  # removes every line that begins with copyright; differs from the operator on wrapped licences
+    """Says line by line what a notice is, without look-ahead."""
+    lowered = f"translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}')"
+    lead, holder = r"^[^a-z0-9\n]*", r"(portions[ \t]+)?copyright[ \t:]+(by[ \t]+)?"
+    rules = [
+        lead + r"(portions[ \t]+)?(copyright|\(c\)|©)[^a-z0-9\n]*(\(c\)|©|[0-9]{4}|copyright\b)", lead + r"(portions[ \t]+)?©",
+        lead + r"(portions[ \t]+)?\(c\).*\b(19|20)[0-9]{2}\b", lead + "(all rights reserved|spdx-license-identifier:)",
+        lead + holder + rf"the[ \t].*\b({_HOLDERS})[^a-z0-9\n]*$",
+    ]
+    named = f"(regexp_matches(x, '{lead}{holder}[a-z0-9\\x{{80}}-\\x{{10ffff}}]') and not regexp_matches(x, '{lead}{holder}({_NO_HOLDER})($|[^a-z0-9])'))"
+    notice = " or ".join([*[f"regexp_matches(x, '{r}')" for r in rules], named])
+    stay = f"concat(chr(10), list_aggregate(list_transform(string_split({lowered}, chr(10)), lambda x: CASE WHEN {notice} THEN '' ELSE x END), 'string_agg', chr(10)))"
+    form = canonical_sql("text", "", ", 'g'", stay)
     rows = ", ".join("('{}', '{}')".format(name, body.replace("'", "''")) for name, body in sorted(LICENSES.items()))
+    whole = ", ".join(f"('{digest}', '{name}')" for name, digest in DIGESTS.items())
     return f"""
-with known as (select sha256({form}) as digest, min(license_id) as license_id from (values {rows}) t(license_id, text) group by 1)
+with known as (
+  select sha256({form}) as digest, min(license_id) as license_id from (values {rows}) t(license_id, text) group by 1
+  union all select * from (values {whole}) w(digest, license_id))
 select doc_id, canonical_sha256, license_id, license_id is not null as is_license
 from (select doc_id, sha256({form}) as canonical_sha256 from documents) d left join known on digest = canonical_sha256
 """
