@@ -158,11 +158,11 @@ def find_licenses(docs: DataFrame, known: DataFrame, text: str = "text") -> Data
 def duckdb_sql() -> str:
     """Says line by line what a notice is, without look-ahead."""
     lowered = f"translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}')"
-    lead, holder = r"^[^a-z0-9\n]*", r"(portions[ \t]+)?copyright[ \t:]+(by[ \t]+)?"
+    lead, holder = r"^[^a-z0-9\n]*", r"(portions[ \t]+)?copyright[ \t:]+"
     rules = [
         lead + r"(portions[ \t]+)?(copyright|\(c\)|©)[^a-z0-9\n]*(\(c\)|©|[0-9]{4}|copyright\b)", lead + r"(portions[ \t]+)?©",
         lead + r"(portions[ \t]+)?\(c\).*\b(19|20)[0-9]{2}\b", lead + "(all rights reserved|spdx-license-identifier:)",
-        lead + holder + rf"the[ \t].*\b({_HOLDERS})[^a-z0-9\n]*$",
+        lead + holder + rf"(by[ \t]+)?the[ \t].*\b({_HOLDERS})[^a-z0-9\n]*$",
     ]
     named = f"(regexp_matches(x, '{lead}{holder}[a-z0-9\\x{{80}}-\\x{{10ffff}}]') and not regexp_matches(x, '{lead}{holder}({_NO_HOLDER})($|[^a-z0-9])'))"
     notice = " or ".join([*[f"regexp_matches(x, '{r}')" for r in rules], named])
