@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -69,12 +70,16 @@ def stored_scores(spark: SparkSession, objects: DataFrame, model: Model, root: s
     return spark.read.parquet(path)
 
 
-def labels_version(labels: DataFrame) -> str:
-    """A short text that changes with the labels (order-independent)."""
-    row = labels.agg(
-        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("object_id", "label")).alias("h")
-    ).first()
-    return f"{row['n']}-{(row['h'] or 0) & 0xFFFFFFFFFFFFFFFF:016x}"
+def labels_version(labels: DataFrame, scorer: Scorer | None = None) -> str:
+    """A short text that changes with the labels (order-independent) and, if given, with the scorer's kind and settings."""
+    key = F.xxhash64("object_id", "label")
+    # Equal rows cancel in the exclusive or, but not in the sum.
+    row = labels.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(key).alias("h"), F.sum(F.pmod(key, F.lit(1 << 31))).alias("s")).first()
+    version = f"{row['n']}-{(row['h'] or 0) & 0xFFFFFFFFFFFFFFFF:016x}-{row['s'] or 0:x}"
+    if scorer is None:
+        return version
+    settings = f"{type(scorer).__name__} {sorted(vars(scorer).items())}"
+    return f"{version}-{hashlib.sha256(settings.encode()).hexdigest()[:16]}"
 
 
 def _exists(spark: SparkSession, path: str) -> bool:

@@ -266,3 +266,12 @@ def test_scores_are_kept_per_label_state(spark, objects, tmp_path):
     b = active.stored_scores(spark, objects, LinearScorer([-1.0]), root, version)
     assert isinstance(a.toPandas(), pd.DataFrame) and a.agg(F.sum("x")).first() == b.agg(F.sum("x")).first()
     assert a.where("object_id = 0").first()["score"] == -1.0 == b.where("object_id = 0").first()["score"]
+
+
+def test_versions_tell_duplicates_and_scorers_apart(spark):
+    labels = lambda rows: spark.createDataFrame(rows, "object_id int, label int")
+    one, twice, other = labels([(1, 1), (1, 1), (2, 1)]), labels([(3, 1), (3, 1), (2, 1)]), labels([(2, 1), (1, 1), (1, 1)])
+    assert active.labels_version(one) != active.labels_version(twice) and active.labels_version(one) == active.labels_version(other)
+    versions = {active.labels_version(one, s) for s in (LinearScorer([1.0]), LinearScorer([2.0]), LinearScorer([1.0], 0.5), None)}
+    assert len(versions) == 4 and active.labels_version(one, LinearScorer([1.0])) in versions
+    assert active.labels_version(labels([])) == "0-0000000000000000-0"
