@@ -33,7 +33,7 @@ from labelquarry.llm.common import free_name, map_text, store
 
 WINDOW = 35
 M = 8
-HOT = 16_384  # windows in a bucket of the first level
+HOT = 4096  # windows in a bucket of the first level
 LONGEST_RUN = 256  # windows in one packed string
 
 
