@@ -53,7 +53,7 @@ def test_run_and_registration(spark):
     assert spark_entry.queries()["pipeline"] is corpus_pipeline.run
     out = corpus_pipeline.run(spark, FOLDER).collect()
     assert out and all(len(r.ids) == r.n_tokens for r in out)
-    assert {k.split("_")[0] for k in QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {k.split("_")[0] for k in QUERIES} == {f"op{n}" for n in range(1, 14)}
     assert set(QUERIES) <= set(spark_entry.queries())
 
 
