@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelquarry.operators.features import is_finite_vector
@@ -42,17 +42,16 @@ def check_segmentation(lines: DataFrame, column: str = "value", with_magnificati
 
 
 def quarantine(checked: DataFrame, root: str) -> tuple[DataFrame, DataFrame, dict[str, int]]:
-    """Writes good and rejected rows apart, in one pass, and counts them on the way.
+    """Writes good and rejected rows apart, in one pass, and counts them.
 
     Returns the good rows, the rejected ones (``line`` and ``reason`` with what could be read) and the counts: ``rows``,
     ``good`` and one for each reason, which add up to ``rows``. ``root`` must not exist yet.
     """
-    seen = Observation()
-    count = lambda c: F.sum(F.when(c, 1).otherwise(0))
-    counted = checked.observe(
-        seen, F.count(F.lit(1)).alias("rows"), count(F.col("reason").isNull()).alias("good"), *[count(F.col("reason") == r).alias(r) for r in REASONS])
-    split = counted.withColumn("state", F.when(F.col("reason").isNull(), "good").otherwise("rejected"))
+    split = checked.withColumn("state", F.when(F.col("reason").isNull(), "good").otherwise("rejected"))
     split.write.partitionBy("state").parquet(root)
     table = checked.sparkSession.read.schema(split.schema).parquet(root)
+    # Read back from one column: an Observation would leave a session in which Spark ML models can't be applied.
+    counts = {r["reason"]: r["count"] for r in table.groupBy("reason").count().collect()}
+    told = {"rows": sum(counts.values()), "good": counts.get(None, 0)} | {r: counts.get(r, 0) for r in REASONS}
     part = lambda state: table.where(F.col("state") == state).drop("state")
-    return part("good").drop("reason", "line"), part("rejected"), {k: v or 0 for k, v in seen.get.items()}
+    return part("good").drop("reason", "line"), part("rejected"), told
