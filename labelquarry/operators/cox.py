@@ -1,8 +1,8 @@
 """Cox proportional hazards with Efron's handling of ties.
 
-Each Newton step is one Spark job: sums per event time, running sums from the last time back, ties
-folded inside their row, and one row of derivatives per model. Only that row — D and D×D numbers —
-reaches the driver.
+Equal rows are counted, once per fit. Each Newton step is one Spark job: sums per event time, running sums
+from the last time back, ties summed by numpy beside their row, and one row of derivatives per model. Only
+that row — D and D×D numbers — reaches the driver.
 """
 
 from __future__ import annotations
@@ -11,8 +11,10 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from labelquarry.functions.numbers import two_digit_scientific
 from labelquarry.operators.ranks import BUCKET, cuts_of, place_by, running_totals
@@ -21,6 +23,9 @@ from labelquarry.operators.survival import melt, standardize_covariates, surviva
 # Fixed value: half-width of the 95 % limits in standard errors.
 Z_95 = 1.959963984540054
 TIE_CHUNK = 4096
+TIE_MANY = 256  # events from which a row is summed by itself
+TIE_SLAB = 1 << 18  # events of several rows summed at once
+TIE_SUMS = ["log", "a0", "a1", "b0", "b1", "b2"]
 
 
 @dataclass
@@ -37,24 +42,28 @@ def _pairs(width: int) -> list[tuple[int, int]]:
 
 
 def _derivatives(data: DataFrame, keys: list[str], width: int, linear: Column) -> DataFrame:
-    """Log-likelihood, gradient and information per ``keys``; covariates are x0 … x{D−1}."""
-    theta = F.exp(linear)
+    """Log-likelihood, gradient and information per ``keys``; covariates are x0 … x{D−1}. A row stands for ``n`` equal
+    ones if it has that column (:func:`_counted`)."""
+    times = F.col("n") if "n" in data.columns else F.lit(1).cast("long")
+    theta = F.exp(linear) * times
     xs = [F.col(f"x{i}") for i in range(width)]
     weighted = {"w": F.lit(1.0)}
     weighted.update({f"w{i}": xs[i] for i in range(width)})
     weighted.update({f"w{i}_{j}": xs[i] * xs[j] for i, j in _pairs(width)})
     event = F.col("event").cast("double")
+    events = event * times
     at_time = data.withColumns({"_theta": theta, "_eta": linear}).groupBy(*keys, *[c for c in data.columns if c == BUCKET], "time").agg(
-        F.sum(F.col("event").cast("long")).alias("d"),
-        F.sum(event * F.col("_eta")).alias("eta"),
-        *[F.sum(event * xs[i]).alias(f"e{i}") for i in range(width)],
+        F.sum(F.col("event").cast("long") * times).alias("d"),
+        F.sum(events * F.col("_eta")).alias("eta"),
+        *[F.sum(events * xs[i]).alias(f"e{i}") for i in range(width)],
         *[F.sum(F.col("_theta") * v).alias(f"r_{k}") for k, v in weighted.items()],
         *[F.sum(event * F.col("_theta") * v).alias(f"t_{k}") for k, v in weighted.items()],
     )
     # Running sums from the latest time back give the sums over the risk set.
     backward = running_totals(at_time, keys, "time", {f"s_{k}": f"r_{k}" for k in weighted}, falling=True)
     tied = backward.where("d > 0").withColumn("_from", F.explode(F.sequence(F.lit(0), F.col("d") - 1, F.lit(TIE_CHUNK))))
-    sums = tied.withColumn("_f", _tie_sums(F.col("s_w"), F.col("t_w"), F.col("d"), F.col("_from"))).withColumn("_once", (F.col("_from") == 0).cast("double"))
+    known = F.col("s_w").isNotNull() & F.col("t_w").isNotNull()
+    sums = tied.withColumn("_f", F.when(known, _tie_sums("s_w", "t_w", "d", "_from"))).withColumn("_once", (F.col("_from") == 0).cast("double"))
     f, s, t = (lambda k: F.col(f"_f.{k}")), (lambda k: F.col(f"s_{k}")), (lambda k: F.col(f"t_{k}"))
     mean = lambda k: s(k) * f("a0") - t(k) * f("a1")
     product = lambda i, j: s(i) * s(j) * f("b0") - (s(i) * t(j) + s(j) * t(i)) * f("b1") + t(i) * t(j) * f("b2")
@@ -66,23 +75,46 @@ def _derivatives(data: DataFrame, keys: list[str], width: int, linear: Column) -
     )
 
 
-def _tie_sums(whole: Column, tied: Column, d: Column, start: Column) -> Column:
-    """Efron's sums over tied events, folded inside the row.
+def efron_sums(whole: np.ndarray, tied: np.ndarray, d: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Efron's sums over tied events, one row of six for each row given.
 
     The l-th of d tied events sees the risk set W = whole − f · tied with f = l / d. What the derivatives need of it are
-    Σ ln W, Σ 1/W, Σ f/W, Σ 1/W², Σ f/W² and Σ f²/W², however many covariates there are. A row folds at most
+    Σ ln W, Σ 1/W, Σ f/W, Σ 1/W², Σ f/W² and Σ f²/W², however many covariates there are. A row sums at most
     ``TIE_CHUNK`` events from ``start``; more ties make more rows in the same task.
     """
-    names = ("log", "a0", "a1", "b0", "b1", "b2")
-    zero = F.struct(*[F.lit(0.0).alias(n) for n in names])
-
-    def add(total: Column, l: Column) -> Column:  # noqa: E741
-        f = l / d
-        w = whole - f * tied
-        more = dict(zip(names, (F.log(w), 1 / w, f / w, 1 / (w * w), f / (w * w), f * f / (w * w)), strict=True))
-        return F.struct(*[(total[n] + more[n]).alias(n) for n in names])
-
-    return F.aggregate(F.sequence(start, F.least(start + TIE_CHUNK, d) - 1), zero, add)
+    sizes = np.minimum(start + TIE_CHUNK, d) - start
+    out = np.empty((len(d), 6))
+    for i in np.flatnonzero(sizes >= TIE_MANY):
+        f = np.arange(start[i], start[i] + sizes[i]) / d[i]
+        w = whole[i] - f * tied[i]
+        with np.errstate(divide="raise"):
+            one = 1 / w
+        part = f * one
+        out[i] = np.log(w).sum(), one.sum(), part.sum(), one @ one, part @ one, part @ part
+    few = np.flatnonzero(sizes < TIE_MANY)
+    slab = (np.cumsum(sizes[few]) - 1) // TIE_SLAB
+    for rows in np.split(few, np.flatnonzero(np.diff(slab)) + 1) if len(few) else []:
+        first = np.cumsum(sizes[rows]) - sizes[rows]
+        row = np.repeat(np.arange(len(rows)), sizes[rows])
+        f = (np.arange(len(row)) - first[row] + start[rows][row]) / d[rows][row]
+        w = whole[rows][row] - f * tied[rows][row]
+        with np.errstate(divide="raise"):
+            one = 1 / w
+        part = f * one
+        for k, terms in enumerate((np.log(w), one, part, one * one, part * one, part * part)):
+            out[rows, k] = np.add.reduceat(terms, first)
+    return out
+
+
+@F.pandas_udf(StructType([StructField(n, DoubleType()) for n in TIE_SUMS]))
+def _tie_sums(whole: pd.Series, tied: pd.Series, d: pd.Series, start: pd.Series) -> pd.DataFrame:
+    sums = efron_sums(whole.to_numpy(), tied.to_numpy(), d.to_numpy(), start.to_numpy()) if len(d) else np.empty((0, 6))
+    return pd.DataFrame(sums, columns=TIE_SUMS)
+
+
+def _counted(data: DataFrame) -> DataFrame:
+    """Equal rows once, with their number ``n``: every Newton step reads each time and covariate that occur once."""
+    return data.groupBy(*data.columns).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _placed_times(data: DataFrame, keys: list[str]) -> DataFrame:
@@ -119,7 +151,7 @@ def fit_cox(df: DataFrame, covariates: list[str], flip_event: bool = False, stan
         F.col("time").cast("double").alias("time"), event.cast("int").alias("event"),
         *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(covariates)],
     )
-    data = _placed_times(data, []).persist()
+    data = _placed_times(_counted(data), []).persist()
     try:
         return _newton(data, covariates, max_steps, tolerance)
     finally:
@@ -156,7 +188,7 @@ def fit_cox_univariate(df: DataFrame, covariates: list[str], flip_event: bool =
         clean = standardize_covariates(clean, covariates)
     event = 1 - F.col("event") if flip_event else F.col("event")
     wide = clean.withColumns({"time": F.col("time").cast("double"), "event": event.cast("int")})
-    data = _placed_times(melt(wide, ["time", "event"], covariates).withColumnRenamed("value", "x0"), ["variable"]).persist()
+    data = _placed_times(_counted(melt(wide, ["time", "event"], covariates).withColumnRenamed("value", "x0")), ["variable"]).persist()
     beta = {c: 0.0 for c in covariates}
     step = {c: 0.0 for c in covariates}
     best = {c: -math.inf for c in covariates}
@@ -172,7 +204,7 @@ def fit_cox_univariate(df: DataFrame, covariates: list[str], flip_event: bool =
             # The linear term is a column of its own: written into the aggregates, the chain of
             # conditions makes code that does not compile, and Spark falls back to slow paths.
             part = data.select(
-                "variable", BUCKET, "time", "event", "x0", (F.col("x0") * coefficient).alias("linear")
+                "variable", BUCKET, "time", "event", "x0", "n", (F.col("x0") * coefficient).alias("linear")
             ).where(F.col("variable").isin(open_models))
             for row in _derivatives(part, ["variable"], 1, F.col("linear")).collect():  # one row per model
                 c, value = row["variable"], row["ll"]

@@ -149,3 +149,36 @@ def test_ties_are_folded_without_a_shuffle(spark):
     data = cox._placed_times(df.select("time", "event", F.col("x").alias("x0")), [])
     plan = cox._derivatives(data, [], 1, F.col("x0") * 0.3)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("RepartitionByExpression") == 2  # by bucket, for totals and rows: one shared exchange
+
+
+def test_ties_are_summed_in_slabs(spark, monkeypatch):
+    """Rows across slabs and chunks, against the sums written out; no step of the JVM for each tied event."""
+    monkeypatch.setattr(cox, "TIE_SLAB", 5000)
+    rng = np.random.default_rng(5)
+    d = np.concatenate([rng.integers(1, 4, 3000), [9000, 1, 12_000]])
+    whole, tied = rng.random(len(d)) * 50 + 10, rng.random(len(d)) * 10
+    start = np.zeros(len(d), int)
+    start[-1] = 2 * cox.TIE_CHUNK
+    for got, s, t, n, low in zip(cox.efron_sums(whole, tied, d, start), whole, tied, d, start):
+        f = np.arange(low, min(low + cox.TIE_CHUNK, n)) / n
+        w = s - f * t
+        assert got.tolist() == pytest.approx([np.log(w).sum(), (1 / w).sum(), (f / w).sum(), (1 / w**2).sum(), (f / w**2).sum(), (f * f / w**2).sum()], rel=1e-12)
+    with pytest.raises(FloatingPointError):
+        cox.efron_sums(np.zeros(1), np.zeros(1), np.ones(1, int), np.zeros(1, int))
+    df = spark.createDataFrame([(1.0, 1, 0.5), (1.0, 1, 0.1), (2.0, 1, 0.3)], "time double, event int, x double")
+    plan = cox.cox_derivatives(df, ["x"], [0.3])._jdf.queryExecution().optimizedPlan().toString()
+    assert "_tie_sums" in plan and "aggregate(sequence" not in plan
+
+
+def test_equal_rows_count_as_often_as_they_occur(spark, study):
+    time, event, x = study
+    kept = [(float(t), int(e), float(b)) for t, e, (_, b) in zip(time, event, x) for _ in range(1 + int(t) % 3)]
+    df = spark.createDataFrame(kept, "time double, event int, x0 double")
+    counted = cox._counted(df)
+    assert counted.count() < len(kept) and counted.agg(F.sum("n")).first()[0] == len(kept)
+    once, all_ = (cox._derivatives(d, [], 1, F.col("x0") * 0.4).first() for d in (counted, df))
+    assert list(once) == pytest.approx(list(all_), rel=1e-12)
+    t, e, v = (np.array(c) for c in zip(*kept))
+    beta = efron_fit(t, e.astype(int), v[:, None])[0][0]
+    assert cox.fit_cox(df, ["x0"]).beta[0] == pytest.approx(beta, abs=1e-5)
+    assert cox.fit_cox_univariate(df, ["x0"])[0].beta[0] == pytest.approx(beta, abs=1e-5)
