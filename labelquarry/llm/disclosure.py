@@ -43,7 +43,8 @@ THRESHOLD = 0.95
 STEM = 2  # letters that stay of a generalised term
 MIN_TEXTS = 2  # different texts in which a term must be near an entity to count as evidence
 BLOCK = 4096  # characters of a text that are cut out of it at once
-BUCKETS = (1 << 16, 1 << 22)  # least and most bytes of a filter
+BUCKETS = (1 << 16, 1 << 22)  # least and most bits of a filter
+BITS = 7  # of a byte
 
 SPAN = "struct<start: bigint, rank: int, `end`: bigint, kind: string, value: string, near: string>"
 PLACE = "struct<start: bigint, `end`: bigint, word: string>"
@@ -173,10 +174,11 @@ def entity(span: Column) -> Column:
 
 
 class WordFilter:
-    """Tells words that are not in a table of terms, for certain: three of a bounded number of bytes, chosen by the word's
+    """Tells words that are not in a table of terms, for certain: three of a bounded number of bits, chosen by the word's
     hash, are set for each term.
 
-    The bytes are a literal of the plan, at most 4 MB whatever the number of terms. Up to 130,000 terms about one word in
+    The bits are a literal of the plan, at most 0.6 MB whatever the number of terms: every text of a plan spells it out in
+    full, and the driver holds many. A byte has seven of them, so that it is a character that Spark turns into a number. Up to 130,000 terms about one word in
     1,200 passes without being a term; with more terms more words pass.
     """
 
@@ -186,17 +188,21 @@ class WordFilter:
         count = terms.count()
         while self.size < most and self.size < 32 * count:
             self.size *= 2
-        taken = bytearray(self.size)
+        taken = bytearray(self.size // BITS + 1)
         asked = terms.select(F.explode(F.array(*[self.bucket(F.col(term), i) for i in range(3)])).alias("b")).distinct()
         for row in asked.toLocalIterator():  # at most 4M numbers
-            taken[row["b"]] = 1
+            taken[row["b"] // BITS] |= 1 << row["b"] % BITS
         self.bytes = F.lit(bytes(taken))
 
     def bucket(self, word: Column, i: int) -> Column:
         return F.pmod(F.shiftrightunsigned(F.xxhash64(word), 21 * i), F.lit(self.size)).cast("int")
 
     def may_hold(self, word: Column) -> Column:
-        first, second, third = [F.substring(self.bytes, self.bucket(word, i) + 1, F.lit(1)) == F.lit(b"\x01") for i in range(3)]
+        def taken(bucket: Column) -> Column:
+            byte = F.ascii(F.substring(self.bytes, F.floor(bucket / BITS).cast("int") + 1, F.lit(1)).cast("string"))
+            return F.getbit(byte, bucket % BITS) == 1
+
+        first, second, third = [taken(self.bucket(word, i)) for i in range(3)]
         return first & second & third
 
 

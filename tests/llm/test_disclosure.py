@@ -7,6 +7,7 @@ from collections import defaultdict
 
 import pytest
 import regex
+from pyspark.sql import functions as F
 
 from labelquarry.llm import disclosure
 
@@ -150,3 +151,13 @@ def test_empty_table(spark):
 def test_no_python_on_the_executors(spark):
     plan = disclosure.find_personal_data(spark.createDataFrame([("a@b.c",)], "text string"))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|MapInArrow", plan)
+
+
+def test_word_filter_is_short_in_plans(spark):
+    """The driver keeps texts of plans, and each spells the filter out."""
+    terms = spark.range(3000).select(F.concat(F.lit("t"), F.col("id")).alias("term"))
+    words = disclosure.WordFilter(terms)
+    asked = spark.range(6000).select(F.concat(F.lit("t"), F.col("id")).alias("w"), "id").withColumn("may", words.may_hold(F.col("w")))
+    assert asked.where("id < 3000 AND NOT may").count() == 0
+    assert asked.where("id >= 3000 AND may").count() < 30
+    assert len(asked._jdf.queryExecution().analyzed().toString()) < words.size * 2  # at one byte each, 6 times the size
