@@ -9,8 +9,9 @@ sequences that applying the merges in order can give.
 
 A clone differs from its source by one missing arc, so states are stored as (source, missing label,
 merge number), and arcs gained later are decided from the left parts of a token: ``t`` is there if
-its left part was still there when the merge that makes ``t`` was worked in. Looked-up arcs are kept
-in a table.
+its left part was still there when the merge that makes ``t`` was worked in. Sources form trees, and no label
+goes missing twice on a path, so a label's missing arcs lie in disjoint ranges of the trees' preorder and one binary
+search tells whether a state lacks it. Looked-up arcs are kept in a table.
 
 A pre-split word has exactly one accepted path, and so has each of its prefixes. It is found left to
 right by table look-ups: characters lead to the labels that match, labels to the next state.
@@ -22,12 +23,14 @@ import hashlib
 import json
 import unicodedata
 from array import array
+from bisect import bisect_right
+from collections.abc import Callable
 
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from labelquarry.llm.common import map_text
+from labelquarry.llm.common import kept_in_worker, map_text
 
 END = "</w>"
 STOP = "\n"  # stands for a word's end; no base symbol
@@ -50,13 +53,33 @@ class Automaton:
         made_by_merge = {a + b for a, b in merges}
         for t in made_by_merge:
             self.usable[self.ids[t]] = 0
-        self.cuts: dict[int, dict[int, int]] = {}
         self.arcs: dict[int, bool] = {}
         for number, (a, b) in enumerate(merges):
             self._gadget(number, self.ids[a], self.ids[b], self.ids[a + b])
-        self.cuts.clear()
+        self._order()
         self._spell()
 
+    def _order(self) -> None:
+        """Numbers the states in preorder and sorts the missing arcs by label and range of states."""
+        n = len(self.source)
+        below = array("q", [1]) * n  # states of each subtree; a source comes before its clones
+        for at in range(n - 1, -1, -1):
+            if self.source[at] >= 0:
+                below[self.source[at]] += below[at]
+        self.place, free, roots = array("q", [0]) * n, array("q", [0]) * n, 0
+        for at in range(n):
+            source = self.source[at]
+            if source < 0:
+                self.place[at], roots = roots, roots + below[at]
+            else:
+                self.place[at] = free[source]
+                free[source] += below[at]
+            free[at] = self.place[at] + 1
+        clones = sorted((self.missing[at] << 32 | self.place[at], at) for at in range(n) if self.source[at] >= 0)
+        self.gone_from = array("q", [key for key, _ in clones])
+        self.gone_to = array("q", [key + below[at] for key, at in clones])
+        self.gone_since = array("q", [self.since[at] for _, at in clones])
+
     def _spell(self) -> None:
         """The table of character transitions that finds the labels matching at a position, as nested rows; key 0 has the label."""
         self.root: dict = {}
@@ -70,7 +93,7 @@ class Automaton:
     def _gadget(self, number: int, u: int, v: int, t: int) -> None:
         if self.made[t] >= 0:
             raise ValueError(f"token {self.labels[t]!r} is made by two merges")
-        if not (self.usable[u] and self.usable[v] and self._has(u, v)):
+        if not (self.usable[u] and self.usable[v] and self._present(v, self._missing(self.state[u]).get)):
             return  # u is never followed by v at this point, so the merge never applies
         after_v, before = self.state[v], self.state[u]
         clone = len(self.source)
@@ -83,30 +106,34 @@ class Automaton:
 
     def _missing(self, state: int) -> dict[int, int]:
         """Missing labels of a state and since which merge."""
-        found = self.cuts.get(state)
-        if found is None:
-            chain, at = [], state
-            while self.source[at] >= 0:
-                chain.append(at)
-                at = self.source[at]
-            found = {}
-            for one in reversed(chain):
-                found.setdefault(self.missing[one], self.since[one])
-            self.cuts[state] = found
+        found = {}
+        while self.source[state] >= 0:
+            found[self.missing[state]] = self.since[state]
+            state = self.source[state]
         return found
 
-    def _has(self, last: int, label: int) -> bool:
-        """Whether the state after ``last`` has an arc ``label``."""
-        cut = self._missing(self.state[last])
-        if label in cut:
+    def _present(self, label: int, since: Callable[[int], int | None]) -> bool:
+        """Whether a state has an arc ``label``; ``since`` tells by which merge it lost a label, if it did."""
+        if since(label) is not None:
             return False
         while (part := self.left[label]) >= 0:
-            gone = cut.get(part)
+            gone = since(part)
             if gone is not None and gone <= self.made[label]:
                 return False
             label = part
         return True
 
+    def _has(self, last: int, label: int) -> bool:
+        """Whether the state after ``last`` has an arc ``label``."""
+        place = self.place[self.state[last]]
+
+        def since(one: int) -> int | None:
+            key = one << 32 | place
+            i = bisect_right(self.gone_from, key) - 1
+            return self.gone_since[i] if i >= 0 and key < self.gone_to[i] else None
+
+        return self._present(label, since)
+
     def encode(self, word: str) -> list[int]:
         """Token ids of one non-empty pre-split word of base characters.
 
@@ -183,14 +210,15 @@ class Tokenizer:
 
 
 class Pieces(dict):
-    """Packed ids by piece of text. When it is full, a new generation begins; pieces met again are taken over from the last one."""
+    """Packed ids by piece of text, ``limit`` at most in two generations. When one is full, a new one begins; pieces met again are taken over from the last one."""
 
     def __init__(self, make, limit: int):
         super().__init__()
-        self.make, self.limit, self.old = make, limit, {}
+        self.make, self.limit, self.old = make, limit // 2, {}
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= self.limit:
+            self.old = {}  # goes before the copy comes
             self.old = dict(self)
             self.clear()
         found = self.old.get(piece)
@@ -220,8 +248,11 @@ class Encoder:
         self.split_words = Pieces(self._word, cached * 3 // 4)
 
     def _piece(self, piece: str) -> bytes:
+        parts = self.special.split(piece) if self.special else [piece]
+        if len(parts) == 1 and piece.isascii() and piece.isalpha():
+            return self.split_words[piece if piece.islower() else piece.lower()]  # both caches share the ids
         ids = array("I")
-        for i, part in enumerate(self.special.split(piece) if self.special else [piece]):
+        for i, part in enumerate(parts):
             if i % 2:
                 ids.append(self.added[part])
             elif part:
@@ -284,19 +315,16 @@ def encode_texts(docs: DataFrame, path: str, outputs: tuple[str, ...] = ("ids",
 
         return work
 
-    return map_text(docs, text, schema, start)
-
-
-_encoders: dict = {}
+    return map_text(docs, text, schema, start, kept=_name(spec))
 
 
 def worker_encoder(spec) -> Encoder:
     """One encoder per Python worker: tasks that follow in the same worker reuse it."""
-    key = getattr(spec, "_jbid", None) or id(spec)
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = Encoder(spec.value)
-    return _encoders[key]
+    return kept_in_worker(_name(spec), lambda: Encoder(spec.value))
+
+
+def _name(spec) -> tuple:
+    return "encoder", getattr(spec, "_jbid", None) or id(spec)
 
 
 def decode_ids(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:

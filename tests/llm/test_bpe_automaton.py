@@ -1,14 +1,18 @@
 """Against the tokenizers library, on given texts, random strings and edge cases."""
 
+import gc
 import hashlib
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import types as T
 from tokenizers import Tokenizer as Library
 
-from labelquarry.llm.bpe_automaton import Automaton, Encoder, Tokenizer, decode_ids, encode_texts
+from labelquarry.llm.bpe_automaton import Automaton, Encoder, Pieces, Tokenizer, decode_ids, encode_texts
+from labelquarry.llm.common import map_text
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 ALPHABET = "abcdefghijklmnopqrstuvwxyz   aaaeee''''sstt.,!?<|>-_0123456789ÄÖÜäßéñΣσςİıǅﬁ́̈\x1c\x1f\x85 　\t\n日本語한국가각²½٣🙂👨‍👩​­\x00"
@@ -84,3 +88,39 @@ def test_table(spark, library):
     assert encode_texts(df.limit(0), PATH).count() == 0
     back = decode_ids(encode_texts(df, PATH, ("ids", "decoded")).withColumnRenamed("decoded", "want"), PATH).collect()
     assert all(r.decoded == r.want for r in back)
+
+
+def test_states_of_frequent_labels_take_little_memory():
+    """One label that 1200 merges take an arc from: a table per state would hold 720,000 missing arcs."""
+    others = [chr(0x4E00 + i) for i in range(1200)]
+    merges = [("a", x) for x in others]
+    tracemalloc.start()
+    try:
+        automaton = Automaton(["a", "a</w>", *others, *[x + "</w>" for x in others], *[a + x for a, x in merges]], merges)
+        for i in range(0, len(others), 3):
+            x, y = others[i], others[-1 - i]
+            words = [automaton.decode(automaton.encode(w)) for w in (f"a{x}a{y}a", f"{x}{y}aa{x}")]
+            assert words == [f"a{x} a{y} a</w>", f"{x} {y} a a {x}</w>"]
+        assert tracemalloc.get_traced_memory()[1] < 15e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_cache_holds_no_more_than_its_limit():
+    pieces = Pieces(str.encode, 10)
+    for i in range(40):
+        assert pieces[str(i)] == str(i).encode() == pieces[str(i)]
+        assert len(pieces.keys() | pieces.old.keys()) <= 10
+
+
+def test_workers_let_go_of_the_encoder(spark):
+    """Workers are reused: what a query leaves in them would take memory from all that follow."""
+    docs = spark.createDataFrame([("hello world",)], "text string").coalesce(1)
+    assert encode_texts(docs, PATH).first().n_tokens == 2
+
+    def start():
+        held = sum(type(x).__name__ == "Encoder" for x in gc.get_objects())
+        return lambda texts: [[held] * len(texts)]
+
+    shape = T.StructType([T.StructField("held", T.LongType())])
+    assert {r.held for r in map_text(spark.range(64).selectExpr("string(id) AS text").repartition(16), "text", shape, start).collect()} == {0}
